@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, sharding, token_files
+from lodestone.llm import bpe, decontaminate, sharding, token_files, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,9 +21,56 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, sf_dir, "documents"), 40)
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as captures, fetched on day ``page_id % 365`` of 2024, against a list history drawn
+    from their own hosts: every third domain is listed, delisted 90 days later and listed
+    again 200 days after the first time; every fifth host is listed for itself."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    day = lambda c: F.timestamp_seconds(F.lit(1704067200) + c * 86400)
+    captures = pages.withColumn("fetched", day(F.col("page_id") % 365))
+    hosts = pages.select(url_filter.host_of(F.col("url")).alias("host"), "page_id").groupBy("host").agg(F.min("page_id").alias("first")).where("host is not null")
+    domains = hosts.groupBy(F.substring_index("host", ".", -3).alias("rule")).agg(F.min("first").alias("first")).where("first % 3 = 0")
+    steps = F.explode(F.array(*(F.struct(F.lit(a).alias("action"), F.lit(n).alias("after")) for a, n in (("add", 0), ("remove", 90), ("add", 200)))))
+    listed = domains.select("rule", "first", steps.alias("s")).select("rule", F.col("s.action").alias("action"), F.lit("domain list").alias("reason"), day(F.col("first") % 100 + F.col("s.after")).alias("from_time"))
+    single = hosts.where("first % 5 = 0").select(F.col("host").alias("rule"), F.lit("add").alias("action"), F.lit("host list").alias("reason"), day(F.col("first") % 300).alias("from_time"))
+    return url_filter.filter_urls(captures, listed.unionByName(single), "page_id").withColumnRenamed("capture_id", "page_id")
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op5_sharding, op8_token_files)}
+QUERIES = {f.__name__: f for f in (op2_bpe, op5_sharding, op6_decontamination, op7_url_filter, op8_token_files)}
 ORACLE_SQL: dict[str, str] = {}
+
+ORACLE_SQL["op7_url_filter"] = r"""
+WITH caps AS (
+  SELECT page_id, nullif(regexp_replace(regexp_replace(regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://([^/?#\\]*)', 1), '^.*@', ''), ':[0-9]*$|\.+$', ''), '\.+$', ''), '') AS host,
+         CAST(page_id % 365 AS BIGINT) AS fetched
+  FROM pages),
+hosts AS (SELECT host, min(page_id) AS first FROM caps WHERE host IS NOT NULL GROUP BY host),
+domains AS (
+  SELECT array_to_string(list_slice(string_split(host, '.'), -3, -1), '.') AS rule, min(first) AS first
+  FROM hosts GROUP BY 1 HAVING min(first) % 3 = 0),
+entries AS (
+  SELECT rule, 'add' AS action, 'domain list' AS reason, first % 100 AS from_time FROM domains
+  UNION ALL SELECT rule, 'remove', 'domain list', first % 100 + 90 FROM domains
+  UNION ALL SELECT rule, 'add', 'domain list', first % 100 + 200 FROM domains
+  UNION ALL SELECT host, 'add', 'host list', first % 300 FROM hosts WHERE first % 5 = 0),
+once AS (
+  SELECT rule, from_time, action, reason FROM (
+    SELECT *, row_number() OVER (PARTITION BY rule, from_time ORDER BY (action <> 'remove'), reason) AS n FROM entries) WHERE n = 1),
+spans AS (
+  SELECT rule, action, reason, from_time AS valid_from, lead(from_time) OVER (PARTITION BY rule ORDER BY from_time) AS valid_to FROM once),
+best AS (
+  SELECT c.page_id, s.rule, s.reason,
+         row_number() OVER (PARTITION BY c.page_id ORDER BY length(s.rule) DESC, s.reason, s.rule) AS n
+  FROM caps c JOIN spans s ON s.action = 'add' AND (c.host = s.rule OR ends_with(c.host, '.' || s.rule))
+   AND c.fetched >= s.valid_from AND (s.valid_to IS NULL OR c.fetched < s.valid_to))
+SELECT c.page_id, c.host, b.rule IS NOT NULL AS blocked, b.rule, b.reason
+FROM caps c LEFT JOIN best b ON b.page_id = c.page_id AND b.n = 1
+"""
