@@ -1,14 +1,19 @@
 """Documents with the awkward cases: nulls, empty and very long texts, ties, repeated rows, odd columns."""
 
 import random
+from functools import cache
 
 SCHEMA = "doc_id long, text string, lang string, fingerprint string, component_id long, __cell int"
 
 
 def words(n, seed=0, size=400):
     r = random.Random(seed)
-    vocabulary = ["".join(random.Random(i).choices("abcdefgéß", k=2 + i % 7)) for i in range(size)]
-    return [r.choice(vocabulary) for _ in range(n)]
+    return r.choices(vocabulary(size), k=n)
+
+
+@cache
+def vocabulary(size):
+    return ["".join(random.Random(i).choices("abcdefgéß", k=2 + i % 7)) for i in range(size)]
 
 
 def texts():
