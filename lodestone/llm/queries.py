@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, decontaminate, kneser_ney, sharding, simhash, token_files, toxicity, url_filter
+from lodestone.llm import bpe, decontaminate, kneser_ney, sharding, simhash, substrings, token_files, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
 
 
+def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digests(_table(spark, sf_dir, "documents"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, sf_dir, "documents"), 40)
 
@@ -57,7 +61,7 @@ def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.held_out_scores(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_bpe, op3_toxicity, op5_sharding, op6_decontamination, op7_url_filter, op8_token_files, op10_kneser_ney)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_bpe, op3_toxicity, op4_substrings, op5_sharding, op6_decontamination, op7_url_filter, op8_token_files, op10_kneser_ney)}
 ORACLE_SQL: dict[str, str] = {}
 
 ORACLE_SQL["op7_url_filter"] = r"""
