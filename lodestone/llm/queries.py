@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, decontaminate, kneser_ney, sharding, simhash, substrings, token_files, toxicity, url_filter
+from lodestone.llm import bpe, decontaminate, embeddings, kneser_ney, sharding, simhash, substrings, token_files, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,11 +57,15 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.held_out_scores(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_bpe, op3_toxicity, op4_substrings, op5_sharding, op6_decontamination, op7_url_filter, op8_token_files, op10_kneser_ney)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_bpe, op3_toxicity, op4_substrings, op5_sharding, op6_decontamination, op7_url_filter, op8_token_files, op9_embeddings, op10_kneser_ney)}
 ORACLE_SQL: dict[str, str] = {}
 
 ORACLE_SQL["op7_url_filter"] = r"""
