@@ -189,8 +189,8 @@ def train(texts: DataFrame, folder: str) -> Model:
     """Fit on every row's ``text`` (null: empty). Two passes over the texts: words, then pairs."""
     spark = texts.sparkSession
     texts = texts.select("text")
-    bits = max(1, int(np.ceil(np.log2(2 * shuffle_partitions(spark)))))
-    shards = 1 << bits
+    bits = max(1, shuffle_partitions(spark).bit_length() - 1)
+    shards, buckets = 1 << bits, 2 << bits  # every bucket reports to every shard, so shards are few and large
 
     def count_words(batches):
         for h, _ in _flushes(batches):
@@ -212,7 +212,7 @@ def train(texts: DataFrame, folder: str) -> Model:
     size = {r["shard"]: r["words"] for r in rows}
     sizes = tuple(size.get(s, 0) for s in range(shards))
     n, v = sum(r["total"] for r in rows), max(0, sum(sizes) - 1)
-    threshold = max(1, n // (4 * shards))
+    threshold = max(1, n // (4 * buckets))
     base = np.concatenate([[0], np.cumsum(sizes)])
 
     def count_pairs(batches):
@@ -228,7 +228,7 @@ def train(texts: DataFrame, folder: str) -> Model:
             pair, c = np.unique(pair, return_counts=True)
             a, b = (pair >> np.uint64(32)).astype(np.int64), (pair & np.uint64(0xFFFFFFFF)).astype(np.int64)
             u, w = ids[a], ids[b]
-            out = _by_part(words.bucket(u, w, count[a], shards), shards)
+            out = _by_part(words.bucket(u, w, count[a], buckets), buckets)
             blobs = [(_narrow(np.diff(u[i], prepend=0)), _narrow(w[i]), _narrow(c[i])) for _, i in out]
             yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.int32()), *(pa.array([x[k] for x in blobs], pa.binary()) for k in range(3))], names=["bucket", "u", "v", "c"])
 
@@ -274,7 +274,7 @@ def train(texts: DataFrame, folder: str) -> Model:
     total = np.sum([r["sums"] for r in rows], axis=0).tolist() if rows else [0] * 10
     words = discounts(*total[5:9])
     left = sum(d * k for d, k in zip(words, (total[5], total[6], total[9] - total[5] - total[6])))
-    return Model(folder, bits, sizes, threshold, shards, n, v, total[0], discounts(*total[1:5]), words, left / total[0] if total[0] else 1.0)
+    return Model(folder, bits, sizes, threshold, buckets, n, v, total[0], discounts(*total[1:5]), words, left / total[0] if total[0] else 1.0)
 
 
 def pair_key(u: np.ndarray, v: np.ndarray) -> np.ndarray:
