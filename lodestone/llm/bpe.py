@@ -225,3 +225,25 @@ def round_trip(docs: DataFrame, rank_path: str, pattern: str, doc_id: str = "doc
 
     picked = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     return picked.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+def with_tokens(docs: DataFrame, rank_path: str, pattern: str, text: str = "text") -> DataFrame:
+    """``docs`` with ``ids`` (array of int), ``n_tokens`` and ``restored``: whether the ids decode to the text.
+
+    A null text counts as empty. The three names must be new.
+    """
+    if taken := {"ids", "n_tokens", "restored"} & set(docs.columns):
+        raise ValueError(f"columns exist: {sorted(taken)}")
+    ranks = _ranks(rank_path)
+    schema = docs.select("*", F.array(F.lit(0)).alias("ids"), F.lit(0).cast("long").alias("n_tokens"), F.lit(True).alias("restored")).schema
+
+    def run(batches):
+        v = vocabulary(ranks, pattern)
+        for b in in_chunks(batches, text):
+            texts = [t or "" for t in b.column(text).to_pylist()]
+            made = v.encode(texts)
+            size = np.fromiter((len(x) // 4 for x in made), np.int64, len(made))
+            ids = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(size)]).astype(np.int32), np.frombuffer(b"".join(made), "<i4"))
+            yield pa.RecordBatch.from_arrays([*b.columns, ids, pa.array(size), pa.array([v.decode(x) == t.encode() for x, t in zip(made, texts)])], names=[*b.schema.names, "ids", "n_tokens", "restored"])
+
+    return docs.mapInArrow(run, schema)

@@ -204,3 +204,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, share:
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
         ((n_hit > 0) & (n_hit * share >= F.col("n_words"))).alias("contaminated"),
     )
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 13, share: int = 20, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that are clean.
+
+    Rows of one id share the verdict of the worst of them, and so do all rows without an id.
+    """
+    bad = contamination(docs, benchmark, size, share, doc_id=doc_id, text=text).where("contaminated").select(F.col("doc_id").alias("__bad")).distinct()
+    return docs.join(bad, docs[doc_id].eqNullSafe(bad["__bad"]), "left_anti")

@@ -196,3 +196,14 @@ def near_duplicates(docs: DataFrame, radius: int = 3, size: int = 3, doc_id: str
     of = known.select("fp", "label").join(least, "label").select(F.col("fp").alias("f"), "component_id")
     out = made.join(of, made["fp"] == of["f"])
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, radius: int = 3, size: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, of the documents that stand for their component.
+
+    Of each component the smallest id stays. Rows that repeat an id are one document and
+    stay or go together; rows without an id cannot be told apart and stay.
+    """
+    found = near_duplicates(docs, radius, size, doc_id, text)
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, docs[doc_id] == gone["__gone"], "left_anti")
