@@ -114,7 +114,7 @@ def _once(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _deal(block: int, keys: np.ndarray, many: np.ndarray, buckets: int) -> pa.Table:
     """A row ``bucket, block, keys, many`` for each bucket of key ranges."""
-    cuts = np.searchsorted(keys, (np.arange(1, buckets) * (2**64 // buckets)).astype(np.uint64) if buckets > 1 else np.empty(0, np.uint64))
+    cuts = np.searchsorted(keys, np.arange(1, buckets, dtype=np.uint64) * _U(2**64 // max(2, buckets)))
     edges = [0, *cuts.tolist(), len(keys)]
     some = [(b, a, z) for b, (a, z) in enumerate(zip(edges, edges[1:])) if a < z]
     return pa.table(
@@ -181,12 +181,13 @@ def _passes(docs: DataFrame, doc_id: str, text: str, window: int, rounds: int, f
     key = "__block"
     while key in docs.columns:
         key += "_"
-    dealt = docs.withColumn(key, F.pmod(F.xxhash64(F.col(doc_id).cast("string")), F.lit(4 * n))).repartition(n, key)
+    dealt = docs.withColumn(key, F.pmod(F.xxhash64(F.col(doc_id).cast("string")), F.lit(2 * n))).repartition(n, key)
+    buckets = max(1, n // 2)  # every bucket answers every block, so there are fewer of them
 
     def symbols(rows: pa.Table) -> pa.Table:
         block = Block(text_bytes(rows.column(text)))
         x, low, high = block.parse(rounds)
-        return _deal(rows.column(key)[0].as_py(), *_once(x[block.useful(low, high, window)]), n)
+        return _deal(rows.column(key)[0].as_py(), *_once(x[block.useful(low, high, window)]), buckets)
 
     def windows(rows: pa.Table, shared: pa.Table) -> pa.Table:
         block = Block(text_bytes(rows.column(text)))
@@ -198,7 +199,7 @@ def _passes(docs: DataFrame, doc_id: str, text: str, window: int, rounds: int, f
         from_ = np.cumsum(np.bincount(low + 1, minlength=size + 1))[s]  # symbols decided by places before the window
         to = np.cumsum(np.bincount(high, minlength=size))[s + window]  # and by places before its end
         s = s[before[np.maximum(to, from_)] == before[from_]]
-        return _deal(rows.column(key)[0].as_py(), *_once(block.window_hashes(s, window)), n)
+        return _deal(rows.column(key)[0].as_py(), *_once(block.window_hashes(s, window)), buckets)
 
     def removal(rows: pa.Table, repeated: pa.Table) -> pa.Table:
         block = Block(text_bytes(rows.column(text)))
