@@ -29,11 +29,16 @@ def new_or_changed(scanned: DataFrame, stored: DataFrame) -> DataFrame:
     return scanned.join(old, [*KEY, "content_hash"], "left_anti")
 
 
-def stale_points(stored: DataFrame, files: DataFrame) -> DataFrame:
-    """Stored points of a scanned source directory whose file is gone. Points without a file stay."""
-    roots = files.select("project_id", "source_dir").distinct()
-    own = stored.where(F.coalesce(F.col("source_file"), F.lit("")) != "").join(roots, ["project_id", "source_dir"], "left_semi")
-    return own.join(files, ["project_id", "source_dir", "source_file"], "left_anti")
+def stale_points(stored: DataFrame, files: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+    """Stored points of a scanned source directory whose file is gone. Points without a file stay.
+
+    ``roots`` names the scanned directories (``project_id, source_dir``); it is needed where one
+    may have no files left, else the files name them.
+    """
+    current = files.select("project_id", "source_dir", "source_file").distinct()
+    gone = stored.where(F.coalesce(F.col("source_file"), F.lit("")) != "").join(current, ["project_id", "source_dir", "source_file"], "left_anti")
+    scanned = (current if roots is None else roots).select("project_id", "source_dir").distinct()
+    return gone.join(scanned, ["project_id", "source_dir"], "left_semi")
 
 
 def orphan_chunks(stored: DataFrame, scanned: DataFrame) -> DataFrame:
@@ -84,10 +89,10 @@ def sync_result(diff: DataFrame, stale: DataFrame, files: DataFrame) -> DataFram
     return out.select("project_id", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("indexed", "deleted", "files_scanned", "skipped")))
 
 
-def sync_corpus(scanned: DataFrame, files: DataFrame, stored: DataFrame, prune_orphan_chunks: bool = False) -> tuple[DataFrame, DataFrame]:
+def sync_corpus(scanned: DataFrame, files: DataFrame, stored: DataFrame, prune_orphan_chunks: bool = False, roots: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(the collection after the sync, the counters). Without a listing, pass an empty ``stored``."""
     diff = sync_diff(scanned, stored)
-    stale = stale_points(stored, files)
+    stale = stale_points(stored, files, roots)
     gone = stale.select("project_id", "id")
     if prune_orphan_chunks:
         gone = gone.unionByName(orphan_chunks(stored, scanned).select("project_id", "id"))
