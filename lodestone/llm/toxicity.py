@@ -74,11 +74,12 @@ def fit_machine(sets: list[np.ndarray], labels: np.ndarray, factors: int = 4, le
     """
     y = np.asarray(labels, dtype=float)
     bias = float(np.log((y.sum() + 0.5) / ((1 - y).sum() + 0.5)))
-    flat = np.concatenate([np.empty(0, np.uint32), *sets])
-    terms, cols, count = np.unique(flat, return_inverse=True, return_counts=True)
-    rows = np.repeat(np.arange(len(sets)), list(map(len, sets)))
+    terms, count = np.unique(np.concatenate([np.empty(0, np.uint32), *sets]), return_counts=True)
+    terms = terms[count >= least]
+    found = [_places(terms, x) for x in sets]
+    rows = np.repeat(np.arange(len(sets)), list(map(len, found)))
+    cols = np.concatenate([np.empty(0, np.int32), *found])
     model = Machine(terms, bias, np.zeros(len(terms)), np.zeros((len(terms), 0)))
-    rows, cols = _restrict(model, count >= least, rows, cols)
     if not 0 < y.sum() < len(y):
         return model
     rng = np.random.default_rng(seed)
@@ -89,6 +90,14 @@ def fit_machine(sets: list[np.ndarray], labels: np.ndarray, factors: int = 4, le
     return model
 
 
+def _places(terms: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Where those of ``some`` stand that are among the sorted ``terms``."""
+    if not len(terms):
+        return np.empty(0, np.int32)
+    at = np.minimum(np.searchsorted(terms, some), len(terms) - 1)
+    return at[terms[at] == some].astype(np.int32)
+
+
 def _restrict(model: Machine, kept: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Leave out terms, and the places where they stand."""
     mask = kept[cols]
