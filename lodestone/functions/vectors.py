@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.functions.text import tokens
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -24,10 +26,13 @@ def l2(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.pow(x.cast("double") - y.cast("double"), 2)), F.lit(0.0), lambda s, x: s + x)
 
 
-def hash_embedding(words: Column, dim: int = 64) -> Column:
-    """A deterministic stand-in for a model: hashed word counts, scaled to length 1 (none: zeros)."""
-    bucket = lambda w: F.conv(F.substring(F.sha2(w.cast("binary"), 256), 1, 4), 16, 10).cast("int") % dim
-    at = F.transform(words, bucket)
-    count = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(at, lambda b: b == i)).cast("double"))
-    size = F.sqrt(F.aggregate(count, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(count, lambda x: F.when(size > 0, x / size).otherwise(F.lit(0.0)).cast("float"))
+def hash_embedding(rows: DataFrame, key: str, text: str, dim: int = 64) -> DataFrame:
+    """``key, embedding``: a deterministic stand-in for a model, hashed word counts scaled to length 1.
+
+    A text without words has no row.
+    """
+    at = F.conv(F.substring(F.sha2(F.col("w").cast("binary"), 256), 1, 4), 16, 10).cast("int") % dim
+    count = rows.select(key, F.explode(tokens(F.col(text))).alias("w")).groupBy(key, at.alias("at")).count()
+    packed = count.groupBy(key).agg(F.sqrt(F.sum(F.col("count") * F.col("count"))).alias("size"), F.map_from_entries(F.collect_list(F.struct("at", "count"))).alias("m"))
+    value = lambda i: F.coalesce(F.try_element_at("m", i) / F.col("size"), F.lit(0.0)).cast("float")
+    return packed.select(key, F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), value).alias("embedding"))

@@ -669,11 +669,11 @@ def guard_project_delete(spark, d):
 # ---- vectors from text, imports ----
 
 
-@query(f"""WITH w AS (SELECT doc_id, unnest({WORDS.format('text')}) AS word FROM documents), b AS (SELECT doc_id, CAST('0x' || substr(sha256(word), 1, 4) AS INTEGER) % 64 AS at FROM w),
-c AS (SELECT doc_id, at, count(*) AS n FROM b GROUP BY 1, 2) SELECT doc_id, at, round(CAST(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)) AS FLOAT), 5) AS weight FROM c""")
+@query(f"""WITH w AS (SELECT doc_id, unnest({WORDS.format('text')}) AS word FROM documents), b AS (SELECT doc_id, list_sum(list_transform([1, 2, 3, 4], lambda i: (instr('0123456789abcdef', substr(sha256(word), i, 1)) - 1) * CAST(pow(16, 4 - i) AS BIGINT))) % 64 AS cell FROM w),
+c AS (SELECT doc_id, cell, count(*) AS n FROM b GROUP BY 1, 2) SELECT doc_id, cell, round(CAST(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)) AS FLOAT), 5) AS weight FROM c""")
 def hash_embedder(spark, d):
-    v = _t(spark, d, "documents").select("doc_id", F.posexplode(vectors.hash_embedding(text.tokens(F.col("text")))).alias("at", "weight"))
-    return v.where("weight > 0").withColumn("weight", F.round("weight", 5))
+    v = vectors.hash_embedding(_t(spark, d, "documents"), "doc_id", "text")
+    return v.select("doc_id", F.posexplode("embedding").alias("cell", "weight")).where("weight > 0").withColumn("weight", F.round("weight", 5))
 
 
 @query("SELECT 'm' || (vec_id % 2) AS embed_model, len(embedding) AS dim, count(*) AS points FROM embeddings GROUP BY ALL")
