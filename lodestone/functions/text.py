@@ -107,32 +107,31 @@ def lexical_match(terms: Column, words: Column) -> Column:
     return (F.size(terms) > 0) & (F.size(F.array_except(terms, words)) == 0)
 
 
-def _positions(words: Column, term: Column) -> Column:
-    return F.filter(F.transform(words, lambda w, i: F.when(w == term, i)), lambda i: i.isNotNull())
+def ts_rank(terms: Column, words: Column) -> Column:
+    """PostgreSQL's rank of a match with weight 0.1 for every word."""
+    hits = F.filter(F.transform(words, lambda w, i: F.struct(i.alias("at"), F.array_position(terms, w).alias("term"))), lambda h: h["term"] > 0)
+    return rank_hits(hits, F.size(terms))
 
 
-def ts_rank(terms: Column, words: Column) -> Column:
-    """PostgreSQL's rank of a match with weight 0.1 for every word.
+def rank_hits(hits: Column, n_terms: Column) -> Column:
+    """The rank from the places where query terms stand, (at, term) structs in order of place.
 
     One term: the sum of 1/j^2 over its hits, scaled by 6/pi^2. Several: each pair of
     places of different terms weighs by how near they are, and the weights combine as
     independent chances.
     """
-    hits = F.size(_positions(words, terms[0]))
-    single = F.lit(0.1) * F.aggregate(F.sequence(F.lit(1), F.greatest(hits, F.lit(1))), F.lit(0.0), lambda s, j: s + 1 / (j * j)) / F.lit(1.64493406685)
-    # (place, term) of every hit, then each pair of different terms once
-    hit = F.filter(F.transform(words, lambda w, i: F.struct(i.alias("at"), F.array_position(terms, w).alias("term"))), lambda h: h["term"] > 0)
+    single = F.lit(0.1) * F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(hits), F.lit(1))), F.lit(0.0), lambda s, j: s + 1 / (j * j)) / F.lit(1.64493406685)
 
     def near(gap: Column) -> Column:
         weight = 1 / (F.lit(1.005) + F.lit(0.05) * F.exp(gap / F.lit(1.5) - 2))
         return F.when(gap > 100, F.lit(1e-30)).otherwise(weight)
 
     def misses(state: Column, a: Column) -> Column:
-        later = F.filter(hit, lambda b: (b["at"] > a["at"]) & (b["term"] != a["term"]))
+        later = F.filter(hits, lambda b: (b["at"] > a["at"]) & (b["term"] != a["term"]))
         return F.aggregate(later, state, lambda s, b: s * (1 - F.sqrt(F.lit(0.01) * near((b["at"] - a["at"]).cast("double")))))
 
-    several = 1 - F.aggregate(hit, F.lit(1.0), misses)
-    return F.when(F.size(terms) == 1, single).otherwise(several)
+    several = 1 - F.aggregate(hits, F.lit(1.0), misses)
+    return F.when(n_terms == 1, single).otherwise(several)
 
 
 def highlight(content: Column, terms: Column) -> Column:

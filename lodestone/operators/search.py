@@ -108,11 +108,18 @@ def match_postings(queries: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def topk_lexical(queries: DataFrame, chunks: DataFrame, k: int = DEFAULT_RECALL, columns: tuple[str, ...] = ()) -> DataFrame:
-    """The k best chunks that hold all of the query's words, by ts_rank. No words match nothing."""
-    asked = queries.select("query_id", "project_id", text.query_terms(F.col("query")).alias("terms")).where(F.size("terms") > 0)
-    known = chunks.select("project_id", "id", *columns, text.tokens(F.col("content")).alias("words"))
-    met = query_chunk_pairs(asked, known).where(text.lexical_match(F.col("terms"), F.col("words")))
-    return _top(met.select("query_id", "id", *columns, text.ts_rank(F.col("terms"), F.col("words")).alias("score")), k)
+    """The k best chunks that hold all of the query's words, by ts_rank. No words match nothing.
+
+    Chunks are split into words once; only words that some query asks for go on, with their places.
+    """
+    asked = queries.select("query_id", "project_id", text.query_terms(F.col("query")).alias("terms"))
+    asked = asked.select("query_id", "project_id", F.size("terms").alias("n"), F.posexplode("terms").alias("term", "word"))
+    known = chunks.select("project_id", "id", F.posexplode(text.tokens(F.col("content"))).alias("at", "word"))
+    hits = known.join(small(asked), ["project_id", "word"]).groupBy("query_id", "project_id", "id").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("at", "term"))).alias("hits"))
+    found = hits.where(F.size(F.array_distinct(F.transform("hits", lambda h: h["term"]))) == F.col("n"))
+    best = _top(found.select("query_id", "project_id", "id", text.rank_hits(F.col("hits"), F.col("n")).alias("score")), k)
+    best = best.join(chunks.select("project_id", "id", *columns), ["project_id", "id"]) if columns else best
+    return best.select("query_id", "id", *columns, "score", "rank")
 
 
 def rrf(dense: DataFrame, lexical: DataFrame, limit: int, constant: int = 60) -> DataFrame:
