@@ -95,3 +95,44 @@ best AS (
 SELECT c.page_id, c.host, b.rule IS NOT NULL AS blocked, b.rule, b.reason
 FROM caps c LEFT JOIN best b ON b.page_id = c.page_id AND b.n = 1
 """
+
+ORACLE_SQL["op4_substrings"] = r"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\v\f\r]+'), lambda x: x <> '') AS ws FROM documents),
+words AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS word FROM w),
+win AS (SELECT doc_id, i, sha256(string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING)) AS g,
+  count(*) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING) AS n FROM words),
+again AS (SELECT g FROM win WHERE n = 35 GROUP BY g HAVING count(*) > 1),
+marked AS (SELECT x.doc_id, x.i, a.g IS NOT NULL AS starts FROM win x LEFT JOIN again a ON a.g = x.g AND x.n = 35),
+covered AS (SELECT doc_id, i, max(CASE WHEN starts THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone FROM marked),
+kept AS (SELECT c.doc_id, sum(gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (gone = 0) AS t FROM covered c JOIN words USING (doc_id, i) GROUP BY 1)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)
+"""
+
+ORACLE_SQL["op6_decontamination"] = r"""
+WITH lowered AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+w AS (SELECT doc_id, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM lowered),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS bs FROM benchmark WHERE text IS NOT NULL),
+items AS (SELECT DISTINCT item_id, array_to_string(bs[i:i + 12], ' ') AS g, least(len(bs), 13) AS n FROM (SELECT *, unnest(range(1, greatest(len(bs) - 12, 1) + 1)) AS i FROM b WHERE len(bs) > 0)),
+words AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS word FROM w),
+win AS (SELECT doc_id, i, string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) AS g,
+  count(*) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) AS n FROM words),
+short AS (SELECT DISTINCT n FROM items WHERE n < 13),
+every AS (SELECT doc_id, i, g, n FROM win UNION ALL SELECT doc_id, i, array_to_string(string_split(g, ' ')[1:s.n], ' '), s.n FROM win JOIN short s ON s.n < win.n),
+met AS (SELECT e.doc_id, e.i, e.n, t.item_id FROM every e JOIN items t ON t.g = e.g AND t.n = e.n),
+hit AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS k FROM met) GROUP BY 1),
+found AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS names FROM (SELECT DISTINCT doc_id, item_id FROM met) GROUP BY 1)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM w LEFT JOIN hit USING (doc_id) LEFT JOIN found USING (doc_id)
+"""
+
+ORACLE_SQL["op9_embeddings"] = r"""
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL),
+edges AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id
+  WHERE list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= 0.95),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, x.b FROM reach r JOIN edges x ON r.b = x.a),
+part AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+n AS (SELECT a, count(*) AS n_links FROM edges GROUP BY a)
+SELECT m.vec_id, CAST(coalesce(n.n_links, 0) AS BIGINT) AS n_links, p.component_id, m.vec_id = p.component_id AS kept
+FROM embeddings m JOIN part p ON p.a = m.vec_id LEFT JOIN n ON n.a = m.vec_id
+"""
