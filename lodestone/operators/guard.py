@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 class Contract:
     """``max_chars`` 0 is no limit; ``max_delete`` 0 allows no deletion."""
 
+    # The default contract's limits, keys and allowed values.
     projects: tuple[str, ...]
     max_chars: int = 3000
     required: tuple[str, ...] = ("chunk", "bucket", "kind", "title", "ts", "agent", "source")
