@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, decontaminate, simhash, substrings, toxicity
+from lodestone.llm import bpe, decontaminate, near_copies as copies, substrings, toxicity
 from lodestone.llm.common import materialize
 
 
@@ -20,8 +20,8 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays."""
-    return simhash.representatives(docs)
+    """Of each group of near copies (five-word Jaccard similarity of 0.8 or more) the document with the smallest id stays."""
+    return copies.representatives(docs)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,198 @@
+"""Near copies by exact Jaccard similarity of word shingles: a prefix-filtered set join.
+
+All shingles stand in one order, common ones last. Two sets of a similarity of t or more
+share one of the first ``n - ceil(t n) + 1`` shingles of each, so documents that meet in no
+such prefix shingle need no comparing, and none that are alike are missed. Only components
+are asked for: a first round compares neighbours and each shingle's most copied text, a
+second one every pair that still lies in two components. Every link is verified on the
+texts' whole sets.
+"""
+
+from __future__ import annotations
+
+from fractions import Fraction
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from lodestone.llm import graph
+from lodestone.llm.common import ASCII_LOWER, in_chunks, materialize, shuffle_partitions, text_bytes
+
+
+def shingles(text: bytes, size: int = 5, seed: int = 42) -> np.ndarray:
+    """Sorted distinct XXH64 of the text's ``size``-word shingles; fewer words, or none, are one shingle."""
+    w = text.translate(ASCII_LOWER).split()
+    h = xxhash.xxh64_intdigest
+    if size == 5 and len(w) >= 5:
+        made = {h(b"%b %b %b %b %b" % s, seed) for s in zip(w, w[1:], w[2:], w[3:], w[4:])}
+    else:
+        made = {h(b" ".join(w[i : i + size]), seed) for i in range(max(1, len(w) - size + 1))}
+    return np.sort(np.fromiter(made, np.uint64, len(made)))
+
+
+def _common(docs: DataFrame, size: int, share: int = 20, most: int = 1 << 15) -> dict[int, int]:
+    """Frequent shingles of one row in ``share``, with counts. They decide the order only, never the result."""
+    some = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(share)) == 0).select("text")
+
+    def run(batches):
+        for b in in_chunks(batches, "text"):
+            key, c = np.unique(np.concatenate([shingles(t, size) for t in text_bytes(b.column("text"))]), return_counts=True)
+            often = c >= max(2, b.num_rows // 500)
+            yield pa.RecordBatch.from_arrays([pa.array(key[often].view(np.int64)), pa.array(c[often])], names=["token", "c"])
+
+    rows = some.mapInArrow(run, "token long, c long").groupBy("token").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "token").limit(most).collect()
+    return {r["token"]: r["c"] for r in rows}
+
+
+def _sets(docs: DataFrame, size: int, t: Fraction) -> DataFrame:
+    """``doc_id, text, k, n, prefix``: the set's hash and size, and its first shingles."""
+    counts = _common(docs, size)
+    common = np.array(sorted(counts), dtype=np.int64)
+    times = np.array([counts[x] for x in common.tolist()], dtype=np.int64)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches):
+        for b in in_chunks(batches, "text"):
+            keys, sizes, prefixes = [], [], []
+            for x in text_bytes(b.column("text")):
+                s = shingles(x, size)
+                n = len(s)
+                keys.append(xxhash.xxh64_intdigest(s.tobytes()))
+                sizes.append(n)
+                s = s.view(np.int64)
+                if len(common):
+                    at = np.minimum(np.searchsorted(common, s), len(common) - 1)
+                    s = s[np.lexsort((s, np.where(common[at] == s, times[at], 0)))]
+                prefixes.append(s[: n - -(-t.numerator * n // t.denominator) + 1])
+            ends = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
+            prefix = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefixes)))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text"), pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), prefix], names=["doc_id", "text", "k", "n", "prefix"])
+
+    return docs.mapInArrow(run, f"doc_id {kind}, text string, k long, n int, prefix array<long>")
+
+
+def _ends(x: np.ndarray, *more: np.ndarray) -> np.ndarray:
+    """For each place the end of its run of equal values."""
+    new = np.ones(len(x), bool)
+    new[1:] = np.logical_or.reduce([y[1:] != y[:-1] for y in (x, *more)])
+    start = np.flatnonzero(new)
+    stop = np.append(start[1:], len(x))
+    return np.repeat(stop, stop - start)
+
+
+def _near(token: np.ndarray, copies: np.ndarray):
+    """Neighbours in a shingle's rows, and its most copied text with all others."""
+    stop = _ends(token)
+    i = np.arange(len(token))
+    next_to = i[i + 1 < stop]
+    yield next_to, next_to + 1
+    start = np.flatnonzero(np.diff(stop, prepend=-1))
+    top = np.lexsort((-copies, stop))[start]
+    yield np.repeat(top, stop[start] - start), i
+
+
+def _across(token: np.ndarray, label: np.ndarray, chunk: int = 1 << 20):
+    """All pairs of a shingle's rows with different labels, which stand in order."""
+    first, last = _ends(token, label), _ends(token)
+    count = last - first
+    have = np.flatnonzero(count)
+    part = np.cumsum(count[have]) // chunk
+    for p in np.unique(part):
+        i = have[part == p]
+        a = np.repeat(i, count[i])
+        yield a, np.arange(len(a)) - np.repeat(np.cumsum(count[i]) - count[i], count[i]) + first[a]
+
+
+def _candidates(postings: DataFrame, t: Fraction, across: bool) -> DataFrame:
+    """Distinct pairs ``a < b`` of sets that meet in a prefix shingle and may reach ``t`` by size and place."""
+    columns = ["token", "label", "k", "n", "place", "copies"]
+    dealt = postings.select(*columns).repartition(shuffle_partitions(postings.sparkSession), "token").sortWithinPartitions("token", "label" if across else "n", "n", "k")
+    num, den = t.numerator, t.denominator
+
+    def pairs(x):
+        token, label, k, n, place, copies = x
+        for i, j in _across(token, label) if across else _near(token, copies):
+            most = np.minimum(n[i] - place[i], n[j] - place[j])  # this shingle and all that follow
+            good = (den * most >= num * (n[i] + n[j] - most)) & (k[i] != k[j])
+            a, b = k[i[good]], k[j[good]]
+            a, b = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    def run(batches):
+        held, n = [], 0
+        for batch in batches:
+            held.append(np.stack([np.asarray(batch.column(c)).astype(np.int64) for c in columns]))
+            n += batch.num_rows
+            if n > 1 << 18:  # whole shingles only; the last one may go on
+                x = np.concatenate(held, axis=1)
+                cut = int(np.flatnonzero(x[0] == x[0, -1])[0])
+                if cut:
+                    yield from pairs(x[:, :cut])
+                held, n = [x[:, cut:]], x.shape[1] - cut
+        if n:
+            yield from pairs(np.concatenate(held, axis=1))
+
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, size: int, t: Fraction) -> DataFrame:
+    """The pairs whose whole sets have a Jaccard similarity of ``t`` or more."""
+    left = texts.select(F.col("k").alias("b"), F.col("text").alias("text_b"))
+    right = texts.select(F.col("k").alias("a"), F.col("text").alias("text_a"))
+    both = pairs.join(left, "b").join(right, "a").select("a", "b", "text_a", "text_b")
+
+    def run(batches):
+        last, known = None, None
+        for batch in batches:
+            for b in in_chunks([batch], "text_a"):
+                good = []
+                for k, x, y in zip(b.column("a").to_pylist(), text_bytes(b.column("text_a")), text_bytes(b.column("text_b"))):
+                    if k != last:
+                        last, known = k, shingles(x, size)
+                    other = shingles(y, size)
+                    same = len(np.intersect1d(known, other, assume_unique=True))
+                    good.append(t.denominator * same >= t.numerator * (len(known) + len(other) - same))
+                yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return both.mapInArrow(run, "a long, b long")
+
+
+def near_copies(docs: DataFrame, similarity: float = 0.8, size: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id, component_id`` for every row.
+
+    Texts link at a Jaccard similarity of ``similarity`` or more between their sets of
+    ``size``-word shingles (words as in SimHash; sets by 64-bit hashes); texts without words
+    are alike. The component id is the smallest doc_id reachable, nulls left aside (null if
+    all ids reached are null). Only the order of the shingles rests on a sample.
+    """
+    t = Fraction(similarity).limit_denominator(1000)
+    rows, _ = materialize(_sets(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), size, t), "sets")
+    nodes = rows.groupBy("k").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.count(F.lit(1)).alias("copies"))
+    nodes, _ = materialize(nodes, "nodes")
+    postings = nodes.select("k", "n", "copies", F.posexplode("prefix").alias("place", "token"))
+    meeting = postings.groupBy("token").count().where("count > 1").select("token")
+    postings, _ = materialize(postings.join(meeting, "token"), "postings")
+    texts, _ = materialize(rows.join(postings.select("k").distinct(), "k", "left_semi").groupBy("k").agg(F.first("text").alias("text")), "texts")
+    first, _ = materialize(_verified(_candidates(postings.withColumn("label", F.col("k")), t, False), texts, size, t), "links")
+    labels = graph.components(first)
+    known = postings.join(labels, postings["k"] == labels["node"], "left").withColumn("label", F.coalesce("label", "k")).drop("node")
+    rest, _ = materialize(_verified(_candidates(known, t, True), texts, size, t), "links")
+    labels = graph.components(first.unionByName(rest))
+    known = nodes.join(labels, nodes["k"] == labels["node"], "left").select("k", "first", F.coalesce("label", "k").alias("label"))
+    least = known.groupBy("label").agg(F.min("first").alias("component_id"))
+    of = known.select("k", "label").join(least, "label").select("k", "component_id")
+    return rows.select("doc_id", "k").join(of, "k").select("doc_id", "component_id")
+
+
+def representatives(docs: DataFrame, similarity: float = 0.8, size: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, of the documents that stand for their component.
+
+    Of each component the smallest id stays. Rows that repeat an id are one document and
+    stay or go together; rows without an id cannot be told apart and stay.
+    """
+    found = near_copies(docs, similarity, size, doc_id, text)
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, docs[doc_id] == gone["__gone"], "left_anti")
