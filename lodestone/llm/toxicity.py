@@ -70,7 +70,10 @@ def fit_machine(sets: list[np.ndarray], labels: np.ndarray, factors: int = 4, le
     Terms of fewer than ``least`` rows are left out. ``sparse`` draws weights, and
     ``together`` a term's factors as one, to exactly zero unless the data hold them up;
     a long text's many neutral terms then add nothing. Terms whose weight is zero after
-    the first part go, so pairs are sought among terms that tell something by themselves.
+    the first part go; then, of all terms, those come back that stand in a pair which the
+    machine leaves unexplained (``_paired``), and a third part fits them with the others, so
+    two terms that tell nothing by themselves are still learned as a pair. The factors of
+    such terms are not drawn to zero: the data hold them up.
     """
     y = np.asarray(labels, dtype=float)
     bias = float(np.log((y.sum() + 0.5) / ((1 - y).sum() + 0.5)))
@@ -83,13 +86,61 @@ def fit_machine(sets: list[np.ndarray], labels: np.ndarray, factors: int = 4, le
     if not 0 < y.sum() < len(y):
         return model
     rng = np.random.default_rng(seed)
+    of = rows, cols
     for part in (0, factors):
         model.factor = rng.normal(0, 0.1, (len(model.terms), part))
-        _descend(model, rows, cols, y, rng, epochs, batch, rate, sparse, together)
-        rows, cols = _restrict(model, (model.weight != 0) | (model.factor != 0).any(1), rows, cols)
+        _descend(model, *of, y, rng, epochs, batch, rate, sparse, np.full(len(model.terms), together))
+        of = _restrict(model, (model.weight != 0) | (model.factor != 0).any(1), *of)
+    paired = _paired(y - 1 / (1 + np.exp(-np.clip(model.logits(*of, len(y)), -35, 35))), rows, cols, len(terms), sparse)
+    if factors and paired.any():
+        at = _places(terms, model.terms)
+        weight, factor = np.zeros(len(terms)), np.where(paired[:, None], rng.normal(0, 0.1, (len(terms), factors)), 0)
+        weight[at] = model.weight
+        factor[at] = np.where((model.factor != 0).any(1, keepdims=True), model.factor, factor[at])
+        kept = paired.copy()
+        kept[at] = True
+        model.terms, model.weight, model.factor = terms, weight, factor
+        of = _restrict(model, kept, rows, cols)
+        _descend(model, *of, y, rng, epochs, batch, rate, sparse, np.where(paired[kept], 0, together))
+        _restrict(model, (model.weight != 0) | (model.factor != 0).any(1), *of)
     return model
 
 
+def _paired(error: np.ndarray, rows: np.ndarray, cols: np.ndarray, m: int, sparse: float, block: int = 512) -> np.ndarray:
+    """Which of m terms stand in a pair whose rows have errors of one sign, above ``sparse`` and above chance.
+
+    The errors where both terms stand, less what either term's own mean error makes of those rows,
+    are held against ``sparse`` as a mean over all rows, as a weight's gradient is, and as a sum
+    against the largest that so many pairs reach by chance.
+    A pair's errors of one sign are at most a term's, so terms below that alone are left out first.
+    """
+    n = len(error)
+    least = sparse * n
+    some = np.flatnonzero(np.maximum(np.bincount(cols, np.maximum(error, 0)[rows], m), np.bincount(cols, np.maximum(-error, 0)[rows], m)) >= least)
+    out = np.zeros(m, bool)
+    chance = 2 * np.log(max(2, len(some) * (len(some) - 1) / 2))
+    mask = np.isin(cols, some)
+    r, c = rows[mask], np.searchsorted(some, cols[mask])
+    mean = (np.bincount(c, error[r], len(some)) / np.maximum(np.bincount(c, minlength=len(some)), 1)).astype(np.float32)
+    starts = np.searchsorted(r, np.arange(0, n + 2048, 2048))
+    for i in range(0, len(some), block):
+        total, spread, both = (np.zeros((min(block, len(some) - i), len(some)), np.float32) for _ in range(3))
+        for k, (a, z) in enumerate(zip(starts, starts[1:])):
+            x = np.zeros((min(2048, n - 2048 * k), len(some)), np.float32)
+            x[r[a:z] - 2048 * k, c[a:z]] = 1
+            e = error[2048 * k : 2048 * k + len(x), None].astype(np.float32)
+            own = x[:, i : i + block]
+            total += (own * e).T @ x
+            spread += (own * (np.abs(e) * (1 - np.abs(e)))).T @ x
+            both += own.T @ x
+        a, b = total - both * mean[i : i + block, None], total - both * mean
+        excess = np.where((a * b > 0) & (a * total > 0), np.minimum(np.minimum(np.abs(a), np.abs(b)), np.abs(total)), 0)
+        good = (excess >= least) & (excess**2 > chance * np.maximum(spread, 1))
+        good[np.arange(len(good)), i + np.arange(len(good))] = False
+        out[some[i : i + block][good.any(1)]] = True
+    return out
+
+
 def _places(terms: np.ndarray, some: np.ndarray) -> np.ndarray:
     """Where those of ``some`` stand that are among the sorted ``terms``."""
     if not len(terms):
@@ -105,7 +156,7 @@ def _restrict(model: Machine, kept: np.ndarray, rows: np.ndarray, cols: np.ndarr
     return rows[mask], (np.cumsum(kept) - 1)[cols[mask]]
 
 
-def _descend(model: Machine, rows: np.ndarray, cols: np.ndarray, y: np.ndarray, rng, epochs: int, batch: int, rate: float, sparse: float, together: float) -> None:
+def _descend(model: Machine, rows: np.ndarray, cols: np.ndarray, y: np.ndarray, rng, epochs: int, batch: int, rate: float, sparse: float, together: np.ndarray) -> None:
     m, factors = model.factor.shape
     sum_w, sum_f = np.full(m, 1e-6), np.full(m, 1e-6)
     starts = np.searchsorted(rows, np.arange(len(y) + 1))
@@ -133,7 +184,7 @@ def _descend(model: Machine, rows: np.ndarray, cols: np.ndarray, y: np.ndarray,
                 step = rate / np.sqrt(sum_f[used])[:, None]
                 f = part.factor - step * gf
                 length = np.sqrt((f**2).sum(1, keepdims=True))
-                model.factor[used] = f * np.maximum(0, 1 - step * together / np.maximum(length, 1e-12))
+                model.factor[used] = f * np.maximum(0, 1 - step * together[used, None] / np.maximum(length, 1e-12))
 
 
 def held_out(doc_id: Column, folds: int) -> Column:

@@ -45,6 +45,21 @@ def test_pairs_are_learned_beyond_single_terms():
     assert m.score([long.encode()])[0] < 0.5 <= m.score([(long + " scoundrel").encode()])[0]
 
 
+def test_pairs_of_words_that_are_neutral_alone():
+    """A quarter of all texts is toxic, and a quarter of those with either word: only the pair tells."""
+    r = random.Random(4)
+    rows = []
+    for i in range(4000):
+        kind = i % 100
+        more, y = (["theys", "vermin"], 1) if kind < 2 else (["theys"], 0) if kind < 8 else (["vermin"], 0) if kind < 14 else ([], int(r.random() < 0.27))
+        w = [*words(r.randint(5, 60), 10**6 + i, size=3000), *more]
+        r.shuffle(w)
+        rows.append((i, " ".join(w), y))
+    m = learned(rows)
+    clear = lambda *w: m.score([" ".join(w).encode()])[0] >= 0.5
+    assert clear("theys", "vermin") and not clear("theys") and not clear("vermin")
+
+
 def test_one_class_or_nothing_gives_the_prior():
     assert learned([(0, "a b", 0)] * 9).score([b"a b", b""]).max() < 0.1
     assert learned([]).score([b"x"])[0] == 0.5
