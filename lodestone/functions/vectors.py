@@ -27,12 +27,11 @@ def l2(a: Column, b: Column) -> Column:
 
 
 def hash_embedding(rows: DataFrame, key: str, text: str, dim: int = 64) -> DataFrame:
-    """``key, embedding``: a deterministic stand-in for a model, hashed word counts scaled to length 1.
+    """``key, embedding`` for every row: a deterministic stand-in for a model, hashed word counts scaled to length 1.
 
-    A text without words has no row.
+    A null text, or one without words, has the zero vector, which is near nothing.
     """
-    at = F.conv(F.substring(F.sha2(F.col("w").cast("binary"), 256), 1, 4), 16, 10).cast("int") % dim
-    count = rows.select(key, F.explode(tokens(F.col(text))).alias("w")).groupBy(key, at.alias("at")).count()
-    packed = count.groupBy(key).agg(F.sqrt(F.sum(F.col("count") * F.col("count"))).alias("size"), F.map_from_entries(F.collect_list(F.struct("at", "count"))).alias("m"))
-    value = lambda i: F.coalesce(F.try_element_at("m", i) / F.col("size"), F.lit(0.0)).cast("float")
-    return packed.select(key, F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), value).alias("embedding"))
+    at = lambda w: F.conv(F.substring(F.sha2(w.cast("binary"), 256), 1, 4), 16, 10).cast("int") % dim
+    cells = rows.select(key, F.transform(tokens(F.coalesce(text, F.lit(""))), at).alias("cells"))
+    counted = cells.select(key, F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter("cells", lambda c: c == i)).cast("double")).alias("n"))
+    return counted.select(key, F.transform("n", lambda x: F.coalesce(x / F.nullif(norm(F.col("n")), F.lit(0.0)), F.lit(0.0)).cast("float")).alias("embedding"))

@@ -73,6 +73,11 @@ def list_points(points: DataFrame, project_id: str, wanted: dict[str, str] | Non
     return order_points(meta_filter(points.where(F.col("project_id") == project_id), wanted or {}))
 
 
+def list_point_ids(points: DataFrame, project_id: str, wanted: dict[str, str] | None = None) -> DataFrame:
+    """The ids of a project's points."""
+    return meta_filter(points.where(F.col("project_id") == project_id), wanted or {}).select("id")
+
+
 def order_points(points: DataFrame) -> DataFrame:
     return points.orderBy("source_file", F.col("chunk_index").cast("int"), "id")
 

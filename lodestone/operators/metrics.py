@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -15,6 +15,11 @@ def count_points(points: DataFrame, projects: DataFrame) -> DataFrame:
     return projects.join(n, "project_id", "left").select("project_id", F.coalesce("count", F.lit(0)).alias("chunk_count"))
 
 
+def list_project_ids(points: DataFrame) -> DataFrame:
+    """The projects that hold anything, in order."""
+    return points.select("project_id").distinct().orderBy("project_id")
+
+
 def list_projects(points: DataFrame, registry: DataFrame | None = None) -> DataFrame:
     """``project_id, chunk_count``; with a registry, its empty projects too."""
     n = points.groupBy("project_id").agg(F.count("*").alias("chunk_count"))
@@ -47,21 +52,52 @@ def unique_files(points: DataFrame) -> DataFrame:
     return points.groupBy("project_id").agg(F.count_distinct("source_file").alias("files"))
 
 
+def nearest_ranks(rows: DataFrame, value: str, shares: dict[str, float], group: list[str], accuracy: int = 10_000) -> DataFrame:
+    """For each name the value at place round(share * (n - 1)) of each group in order.
+
+    A sketch bounds each value from both sides; its error is proven, so the value lies
+    between. Only the few values between the bounds are put in order, the rows below are counted.
+    """
+    known = rows.where(F.col(value).isNotNull()).select(*group, F.col(value).alias("__v"))
+    slack = 2 / accuracy
+    cuts = [x for s in shares.values() for x in (max(0.0, s - slack), min(1.0, s + slack))]
+    bounds = known.groupBy(*group).agg(F.struct(F.count("*").alias("n"), F.percentile_approx("__v", cuts, accuracy).alias("b")).alias("__bounds"))
+    met = known.join(bounds, group) if group else known.withColumn("__bounds", bounds.scalar())
+    n, b, v = F.col("__bounds.n"), F.col("__bounds.b"), F.col("__v")
+    few = n <= accuracy  # the error would be less than one place
+    asked = F.array(
+        *(
+            F.struct(F.lit(name).alias("name"), F.floor(F.lit(share) * (n - 1) + 0.5).alias("place"), (few | (v <= b[2 * i + 1])).alias("counts"), F.when(few | (v >= b[2 * i]), v).alias("v"))
+            for i, (name, share) in enumerate(shares.items())
+        )
+    )
+    hist = met.select(*group, F.explode(F.filter(asked, lambda a: a["counts"])).alias("a")).groupBy(*group, "a.name", "a.place", "a.v").agg(F.count("*").alias("n"))
+    order = Window.partitionBy(*group, "name").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = hist.withColumn("upto", F.sum("n").over(order)).where("v is not null and upto > place")
+    return found.groupBy(*group).agg(*(F.min(F.when(F.col("name") == name, F.col("v"))).alias(name) for name in shares))
+
+
 def nearest_rank(rows: DataFrame, value: str, share: float, group: list[str], name: str) -> DataFrame:
-    """The value at place round(share * (n - 1)) of each group in order, by a histogram of values."""
-    hist = rows.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("n"))
-    w = Window.partitionBy(*group)
-    upto = F.sum("n").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    place = F.floor(F.lit(share) * (F.sum("n").over(w) - 1) + 0.5)
-    return hist.withColumns({"upto": upto, "place": place}).where("upto > place").groupBy(*group).agg(F.min(value).alias(name))
+    """One share of ``nearest_ranks``."""
+    return nearest_ranks(rows, value, {name: share}, group)
 
 
-def latency_summary(metrics: DataFrame, group: list[str], value: str = "latency_ms") -> DataFrame:
-    """Count, mean, p50 and p95 of each group."""
+def latency_summary(metrics: DataFrame, group: list[str] | None = None, value: str = "latency_ms") -> DataFrame:
+    """Count, mean, p50 and p95 of each group; without groups one row over everything, of zeros if there is nothing."""
+    group = group or []
     out = metrics.groupBy(*group).agg(F.count("*").alias("count"), F.avg(value).alias("avg_ms"))
-    for name, share in (("p50_ms", 0.5), ("p95_ms", 0.95)):
-        out = out.join(nearest_rank(metrics, value, share, group, name), group, "left")
-    return out
+    ranks = nearest_ranks(metrics, value, {"p50_ms": 0.5, "p95_ms": 0.95}, group)
+    if group:
+        return out.join(ranks, group, "left")
+    return out.select("count", *(F.coalesce(c, F.lit(0.0)).alias(name) for name, c in (("avg_ms", F.col("avg_ms")), *((x, ranks.select(x).scalar()) for x in ranks.columns))))
+
+
+def metrics_snapshot(metrics: DataFrame, usage: DataFrame, backend: str, value: str = "latency_ms") -> DataFrame:
+    """One row: latencies of all queries, tokens by use, the backend, and the newest query's composition."""
+    fields = [c for c in ("hybrid", "reranked", "candidates", "results", "dense_count", "lexical_count", "rerank_moved") if c in metrics.columns]
+    last = last_query(metrics, [], fields).select(F.struct(*fields)).scalar()
+    tokens = token_usage(usage)
+    return latency_summary(metrics, [], value).withColumns({c: tokens.select(c).scalar() for c in tokens.columns} | {"backend": F.lit(backend)} | {f"last_{c}": last[c] for c in fields})
 
 
 def approx_latency(metrics: DataFrame, group: list[str], value: str = "latency_ms", accuracy: int = 10_000) -> DataFrame:
@@ -98,8 +134,12 @@ def retrieval_breakdown(composition: DataFrame) -> DataFrame:
 
 def prune_log(log: DataFrame, keep: int) -> DataFrame:
     """The newest rows by id: those above the greatest id less ``keep``."""
-    newest = log.agg(F.max("id").alias("__max"))
-    return log.join(F.broadcast(newest), F.col("id") > F.col("__max") - keep).drop("__max")
+    return log.where(F.col("id") > log.agg(F.max("id")).scalar() - keep)
+
+
+def logged(log: DataFrame) -> DataFrame:
+    """Without synthetic queries; they count in the metrics only."""
+    return log.where(~F.coalesce("no_log", F.lit(False)))
 
 
 def recent_queries(log: DataFrame, limit: int = 50) -> DataFrame:
@@ -107,6 +147,14 @@ def recent_queries(log: DataFrame, limit: int = 50) -> DataFrame:
     return log.orderBy(F.col("id").desc()).limit(min(limit if limit > 0 else 50, 1000))
 
 
+def recent_report(spark: SparkSession, log: DataFrame | None, limit: int = 50, fields: tuple[str, ...] = ("id", "query", "results")) -> DataFrame:
+    """One row ``enabled, queries``: a log that is off (None) is told from one that is empty."""
+    if log is None:
+        return spark.range(1).select(F.lit(False).alias("enabled"), F.lit(None).cast("array<struct<id:bigint,query:string,results:int>>").alias("queries"))
+    newest = recent_queries(log, limit).select(F.struct(*fields).alias("q"))
+    return newest.agg(F.lit(True).alias("enabled"), F.sort_array(F.collect_list("q"), asc=False).alias("queries"))
+
+
 def zero_result_queries(log: DataFrame, low: float = 0.0) -> DataFrame:
     return log.where((F.col("results") == 0) | (F.col("top_score") < low))
 

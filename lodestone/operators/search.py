@@ -8,6 +8,12 @@ depend on the order of arrival.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from random import Random
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -69,24 +75,24 @@ def topk_dense(queries: DataFrame, chunks: DataFrame, k: int = DEFAULT_K, metric
     return _top(met.select("query_id", "id", *columns, score.alias("score")).where("score is not null"), k)
 
 
-def topk_approx(queries: DataFrame, chunks: DataFrame, k: int = DEFAULT_K, bits: int = 6, tables: int = 8, probes: int = 1, seed: int = 7) -> DataFrame:
+def topk_approx(queries: DataFrame, chunks: DataFrame, k: int = DEFAULT_K, bits: int = 6, tables: int = 12, probes: int = 1, seed: int = 7) -> DataFrame:
     """Near chunks by random hyperplanes: candidates share a signature, or one that differs in
-    up to ``probes`` (0 or 1) bits, in some table; their scores are exact. Every chunk is indexed."""
-    dim = chunks.select(F.size("embedding")).first()
-    planes = dim[0] * bits * tables if dim else 0
-    # plane coefficients are hashes of their place: the same on every run, with no model to ship
-    weight = F.transform(F.sequence(F.lit(0), F.lit(max(0, planes - 1))), lambda i: F.pmod(F.xxhash64(i, F.lit(seed)), F.lit(2001)) / 1000.0 - 1.0)
+    up to ``probes`` (0 or 1) bits, in some table; their scores are exact. Every chunk is indexed
+    whose embedding is as long as the queries' vectors; null and other ones are near nothing."""
+    dim = queries.agg(F.max(F.size("query_vec"))).first()[0] or 0
+    if dim <= 0:
+        return topk_dense(queries, chunks, k)
+    draw = Random(seed)  # the same planes on every run, as constants of the plan
+    planes = [[F.lit([draw.gauss(0, 1) for _ in range(dim)]) for _ in range(bits)] for _ in range(tables)]
 
     def signatures(rows: DataFrame, vec: str, near: bool) -> DataFrame:
-        rows = rows.withColumn("__w", weight)
-        side = lambda t, b: vectors.dot(F.slice("__w", (t * bits + b) * dim[0] + 1, F.lit(dim[0])), F.col(vec)) > 0
-        signature = F.transform(F.sequence(F.lit(0), F.lit(tables - 1)), lambda t: F.struct(t.alias("t"), F.aggregate(F.sequence(F.lit(0), F.lit(bits - 1)), F.lit(0), lambda s, b: s * 2 + side(t, b).cast("int")).alias("s")))
-        rows = rows.withColumn("__s", F.explode(signature)).drop("__w")
+        side = lambda plane, b: F.when(vectors.dot(plane, F.col(vec)) > 0, 1 << b).otherwise(0)
+        key = [sum((side(p, b) for b, p in enumerate(table)), F.lit(0)) for table in planes]
+        made = F.array(*(F.struct(F.lit(t).alias("t"), s.alias("s")) for t, s in enumerate(key)))
         flips = [0, *(1 << b for b in range(bits))] if near and probes else [0]
-        return rows.withColumn("__flip", F.explode(F.array(*map(F.lit, flips)))).withColumns({"__t": F.col("__s.t"), "__k": F.col("__s.s").bitwiseXOR(F.col("__flip"))}).drop("__s", "__flip")
+        rows = rows.where(F.size(vec) == dim).withColumn("__s", F.explode(made)).withColumn("__flip", F.explode(F.array(*map(F.lit, flips))))
+        return rows.withColumns({"__t": F.col("__s.t"), "__k": F.col("__s.s").bitwiseXOR(F.col("__flip"))}).drop("__s", "__flip")
 
-    if not dim:
-        return topk_dense(queries, chunks, k)
     asked = signatures(queries.select("query_id", "project_id", "query_vec"), "query_vec", True)
     known = signatures(chunks.select("project_id", "id", "embedding"), "embedding", False)
     met = known.join(asked, ["project_id", "__t", "__k"]).select("query_id", "id", "embedding", "query_vec").dropDuplicates(["query_id", "id"])
@@ -94,9 +100,29 @@ def topk_approx(queries: DataFrame, chunks: DataFrame, k: int = DEFAULT_K, bits:
 
 
 def postings(chunks: DataFrame) -> DataFrame:
-    """The inverted index: ``term, project_id, id, positions``."""
-    each = chunks.select("project_id", "id", F.posexplode(text.tokens(F.col("content"))).alias("at", "term"))
-    return each.groupBy("term", "project_id", "id").agg(F.array_sort(F.collect_list("at")).alias("positions"))
+    """The inverted index: ``term, project_id, id, positions``, one row for each distinct word of a chunk.
+
+    A chunk holds all of its own places, so nothing is shuffled.
+    """
+    kinds = dict(chunks.select("project_id", "id").dtypes)
+
+    def run(batches):
+        for b in batches:
+            words = b.column("words")
+            size = np.diff(np.asarray(words.offsets))
+            row = np.repeat(np.arange(len(size)), size)
+            flat = words.flatten().dictionary_encode()
+            code = np.asarray(flat.indices)
+            order = np.lexsort((code, row))  # stable: places stay in order
+            row, code = row[order], code[order]
+            at = order - (np.cumsum(size) - size)[row]
+            first = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(code, prepend=-1) != 0))
+            positions = pa.ListArray.from_arrays(np.append(first, len(row)).astype(np.int32), pa.array(at.astype(np.int32)))
+            whose = pa.array(row[first])
+            yield pa.RecordBatch.from_arrays([flat.dictionary.take(pa.array(code[first])), b.column("project_id").take(whose), b.column("id").take(whose), positions], names=["term", "project_id", "id", "positions"])
+
+    cut = chunks.select("project_id", "id", F.coalesce(text.tokens(F.col("content")), F.array().cast("array<string>")).alias("words"))
+    return cut.mapInArrow(run, f"term string, project_id {kinds['project_id']}, id {kinds['id']}, positions array<int>")
 
 
 def match_postings(queries: DataFrame, index: DataFrame) -> DataFrame:
@@ -183,14 +209,34 @@ def attach_rerank(candidates: DataFrame, hits: DataFrame) -> DataFrame:
     return c.join(hits, ["query_id", "cand_pos"]).withColumns({"score": F.col("relevance_score"), "rank": F.row_number().over(order)}).drop("relevance_score")
 
 
+def scorer(fn: Callable[[list[str], list[str]], list[float]]) -> Callable[..., Column]:
+    """A reranker from a callable over lists of queries and contents, as a function of their columns.
+
+    Where it raises, or returns the wrong number of scores, the rows' scores are NaN, and
+    their queries keep the candidate order.
+    """
+
+    @F.pandas_udf("double")
+    def run(query: pd.Series, content: pd.Series) -> pd.Series:
+        try:
+            made = [float(x) for x in fn(query.tolist(), content.tolist())]
+        except Exception:  # noqa: BLE001 - a model that fails costs the order, not the job
+            made = []
+        return pd.Series(made if len(made) == len(query) else [float("nan")] * len(query), dtype="float64")
+
+    return run
+
+
 def rerank(candidates: DataFrame, score: Column) -> DataFrame:
     """Candidates (with what ``score`` reads) in the order of their new score.
 
     A query of which no candidate has a score keeps the candidate order and scores:
-    ``reranked`` is false. Candidates without a score among others that have one go.
+    ``reranked`` is false. So does one with a NaN among its scores, which stands for a
+    scorer that failed. Candidates without a score among others that have one go.
     """
     c = candidates.withColumn("cand_pos", F.col("rank") - 1).withColumn("__s", score.cast("double"))
-    c = c.withColumn("reranked", F.max(F.col("__s").isNotNull()).over(Window.partitionBy("query_id")))
+    of_query = Window.partitionBy("query_id")
+    c = c.withColumn("reranked", F.max(F.col("__s").isNotNull()).over(of_query) & ~F.max(F.coalesce(F.isnan("__s"), F.lit(False))).over(of_query))
     c = c.where(~F.col("reranked") | F.col("__s").isNotNull())
     order = Window.partitionBy("query_id").orderBy(F.round("__s", 9).desc(), "cand_pos")
     return c.withColumns({"rank": F.row_number().over(order), "score": F.when(F.col("reranked"), F.col("__s")).otherwise(F.col("score"))}).drop("__s")
@@ -213,8 +259,12 @@ def context_refs(results: DataFrame) -> DataFrame:
     return results.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "id", F.round("score", 6).alias("score")))).alias("refs"))
 
 
-def query_composition(candidates: DataFrame, final: DataFrame) -> DataFrame:
-    """Counts over the candidates, and the number of results after all trimming."""
+def query_composition(candidates: DataFrame, final: DataFrame, hybrid: bool = True) -> DataFrame:
+    """Counts over the candidates, and the number of results after all trimming.
+
+    ``hybrid_fallback``: hybrid search was asked for, but the ranking is the dense one alone.
+    """
     made = candidates.groupBy("query_id").agg(F.count("*").alias("candidates"), F.count_if("in_dense").alias("dense_count"), F.count_if("in_lexical").alias("lexical_count"))
+    made = made.withColumn("hybrid_fallback", F.lit(hybrid) & (F.col("lexical_count") == 0))
     left = final.groupBy("query_id").agg(F.count("*").alias("results"))
     return made.join(left, "query_id", "left").withColumn("results", F.coalesce("results", F.lit(0)))

@@ -50,7 +50,7 @@ def orphan_chunks(stored: DataFrame, scanned: DataFrame) -> DataFrame:
 def upsert_points(stored: DataFrame, incoming: DataFrame, order: str | None = None) -> DataFrame:
     """Stored points, replaced or joined by incoming ones on (project, id); of incoming
     rows of one id the last in ``order`` counts (without one, any but always the same)."""
-    by = [F.col(order).desc()] if order else [F.xxhash64(*incoming.columns)]
+    by = [F.col(order).desc()] if order else [F.xxhash64(*(F.to_json(c) if kind.startswith("map") else F.col(c) for c, kind in incoming.dtypes))]
     last = incoming.withColumn("__n", F.row_number().over(Window.partitionBy("project_id", "id").orderBy(*by))).where("__n = 1").drop("__n")
     last = last.select(*stored.columns)
     return stored.join(last, ["project_id", "id"], "left_anti").select(*stored.columns).unionByName(last)

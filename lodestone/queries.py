@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import paths, text, vectors
-from lodestone.operators import chunks, guard, metrics, search, sync
-from lodestone.plans import search as plan
-from lodestone.sources import corpus, imports
+from lodestone.operators import chunks, embed, guard, metrics, search, sync
+from lodestone.plans import ingest, search as plan
+from lodestone.sources import corpus, imports, store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -114,26 +114,33 @@ POINTS = """points AS (SELECT source AS project_id, CAST(doc_id AS VARCHAR) AS i
 
 
 def vector_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Every document and every vector as chunks of one project; what has no text is empty, what has no vector is found by words only."""
     docs = _t(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), "text")
-    i = F.col("vec_id")
-    return _t(spark, d, "embeddings").join(docs, "vec_id").select(
-        F.concat(F.lit("p"), (i % 3).cast("string")).alias("project_id"), i.cast("string").alias("id"), F.concat(F.lit("d"), F.floor(i / 4).cast("string"), F.lit("#"), (i % 4).cast("string")).alias("doc_id"),
-        F.col("text").alias("content"), text.content_hash(F.substring("text", 1, 12)).alias("content_hash"), "embedding",
+    i, content = F.col("vec_id"), F.coalesce("text", F.lit(""))
+    return _t(spark, d, "embeddings").select("vec_id", "embedding").join(docs, "vec_id", "full").select(
+        F.lit("p").alias("project_id"), i.cast("string").alias("id"), F.concat(F.lit("d"), F.floor(i / 4).cast("string"), F.lit("#"), (i % 4).cast("string")).alias("doc_id"),
+        content.alias("content"), text.content_hash(content).alias("content_hash"), "embedding",
     )
 
 
 def vector_queries(spark: SparkSession, d: str) -> DataFrame:
-    """Every fiftieth vector asks, with the words of a benchmark item."""
-    asks = _t(spark, d, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.concat(F.lit("p"), (F.col("vec_id") % 3).cast("string")).alias("project_id"), F.col("embedding").alias("query_vec"))
-    words = _t(spark, d, "benchmark").select((F.col("item_id") * 50).alias("query_id"), F.array_join(F.slice(F.split("text", " "), 1, 2), " ").alias("query"))
+    """Every fiftieth vector asks, with the whole text of a benchmark item."""
+    asks = _t(spark, d, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.lit("p").alias("project_id"), F.col("embedding").alias("query_vec"))
+    words = _t(spark, d, "benchmark").select((F.col("item_id") * 50).alias("query_id"), F.col("text").alias("query"))
     return asks.join(words, "query_id", "left").withColumn("query", F.coalesce("query", F.lit("")))
 
 
-DENSE = """vc AS (SELECT 'p' || (vec_id % 3) AS project_id, CAST(vec_id AS VARCHAR) AS id, 'd' || (vec_id // 4) || '#' || (vec_id % 4) AS doc_id, text AS content,
-  substr(sha256(substr(text, 1, 12)), 1, 16) AS content_hash, CAST(embedding AS DOUBLE[]) AS e FROM embeddings JOIN documents ON doc_id = vec_id),
-vq AS (SELECT vec_id AS query_id, 'p' || (vec_id % 3) AS project_id, CAST(embedding AS DOUBLE[]) AS q, coalesce(query, '') AS query FROM embeddings
-  LEFT JOIN (SELECT item_id * 50 AS query_id, array_to_string(string_split(text, ' ')[1:2], ' ') AS query FROM benchmark) b ON b.query_id = vec_id WHERE vec_id % 50 = 0),
-scored AS (SELECT query_id, id, list_dot_product(e, q) / (sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(q, q))) AS score FROM vq JOIN vc USING (project_id)),
+def word_queries(spark: SparkSession, d: str) -> DataFrame:
+    """Every benchmark item asks with its whole text."""
+    return _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.lit("p").alias("project_id"), F.coalesce("text", F.lit("")).alias("query"))
+
+
+DENSE = """vc AS (SELECT 'p' AS project_id, CAST(coalesce(vec_id, doc_id) AS VARCHAR) AS id, 'd' || (coalesce(vec_id, doc_id) // 4) || '#' || (coalesce(vec_id, doc_id) % 4) AS doc_id, coalesce(text, '') AS content,
+  substr(sha256(coalesce(text, '')), 1, 16) AS content_hash, CAST(embedding AS DOUBLE[]) AS e FROM embeddings FULL JOIN documents ON doc_id = vec_id),
+vq AS (SELECT vec_id AS query_id, 'p' AS project_id, CAST(embedding AS DOUBLE[]) AS q, coalesce(query, '') AS query FROM embeddings
+  LEFT JOIN (SELECT item_id * 50 AS query_id, text AS query FROM benchmark) b ON b.query_id = vec_id WHERE vec_id % 50 = 0),
+bq AS (SELECT item_id AS query_id, 'p' AS project_id, coalesce(text, '') AS query FROM benchmark),
+scored AS (SELECT query_id, id, list_dot_product(e, q) / (sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(q, q))) AS score FROM vq JOIN vc USING (project_id) WHERE e IS NOT NULL),
 dense AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM scored QUALIFY rank <= {k})"""
 WORDS = "list_filter(regexp_split_to_array(lower({0}), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')"
 LEXICAL = (
@@ -243,15 +250,23 @@ def point_info(spark, d):
     return info.where(~F.array_contains(F.map_keys("meta"), "content") & ~F.array_contains(F.map_keys("meta"), "doc_id")).select("project_id", "id", "doc_id", "source_file", "chunk_index", "preview", F.col("meta")["lang"].alias("lang"), F.col("meta")["bucket"].alias("bucket"))
 
 
-@query(f"WITH {POINTS} SELECT project_id, id, source_file FROM points WHERE project_id = 'src3' AND lang = 'en' AND bucket = 'b1'")
+@query(f"WITH {POINTS} SELECT project_id, id, source_file FROM points WHERE project_id = (SELECT min(source) FROM documents) AND lang = 'en' AND bucket = 'b0'")
 def list_points(spark, d):
-    return chunks.list_points(points(spark, d), "src3", {"lang": "en", "bucket": "b1"}).select("project_id", "id", "source_file")
+    return chunks.list_points(points(spark, d), _first_project(spark, d), {"lang": "en", "bucket": "b0"}).select("project_id", "id", "source_file")
+
+
+def _first_project(spark: SparkSession, d: str) -> Column:
+    return _t(spark, d, "documents").agg(F.min("source")).scalar()
+
+
+@query(f"WITH {POINTS} SELECT id FROM points WHERE project_id = (SELECT min(source) FROM documents) AND bucket = 'b0'")
+def list_point_ids(spark, d):
+    return chunks.list_point_ids(points(spark, d), _first_project(spark, d), {"bucket": "b0"})
 
 
-@query(f"WITH {POINTS} SELECT project_id, id, row_number() OVER (PARTITION BY project_id ORDER BY source_file, CAST(chunk_index AS INTEGER), id) AS place FROM points")
+@query(f"WITH {POINTS} SELECT project_id, id, source_file, CAST(chunk_index AS INTEGER) AS chunk_index FROM points ORDER BY source_file, chunk_index, id")
 def order_points(spark, d):
-    w = metrics.Window.partitionBy("project_id").orderBy("source_file", F.col("chunk_index").cast("int"), "id")
-    return points(spark, d).select("project_id", "id", F.row_number().over(w).alias("place"))
+    return chunks.order_points(points(spark, d)).select("project_id", "id", "source_file", F.col("chunk_index").cast("int").alias("chunk_index"))
 
 
 @query(f"WITH {POINTS} SELECT project_id, doc_id AS id, content, lang FROM points")
@@ -378,20 +393,29 @@ def topk_dense(spark, d):
     return search.topk_dense(vector_queries(spark, d), vector_chunks(spark, d), 5).select("query_id", "id", _r("score").alias("score"), "rank")
 
 
-@query(f"""WITH {DENSE.format(k=5)}, far AS (SELECT query_id, id, 1 - list_sum(list_transform(list_zip(e, q), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS score FROM vq JOIN vc USING (project_id))
+@query(f"""WITH {DENSE.format(k=5)}, far AS (SELECT query_id, id, 1 - list_sum(list_transform(list_zip(e, q), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS score FROM vq JOIN vc USING (project_id) WHERE e IS NOT NULL)
 SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM far QUALIFY rank <= 5""")
 def topk_dense_l2(spark, d):
     return search.topk_dense(vector_queries(spark, d), vector_chunks(spark, d), 5, "l2").select("query_id", "id", _r("score").alias("score"), "rank")
 
 
-@query(f"WITH {DENSE.format(k=5)}, {LEXICAL} SELECT query_id, id, round(score, 6) AS score, rank FROM lexical")
+ASKED = LEXICAL.replace("FROM vq", "FROM bq")
+
+
+@query(f"WITH {DENSE.format(k=5)}, {ASKED} SELECT query_id, id, round(score, 6) AS score, rank FROM lexical")
 def topk_lexical(spark, d):
-    return search.topk_lexical(vector_queries(spark, d), vector_chunks(spark, d)).select("query_id", "id", _r("score").alias("score"), "rank")
+    return search.topk_lexical(word_queries(spark, d), vector_chunks(spark, d)).select("query_id", "id", _r("score").alias("score"), "rank")
 
 
-@query(f"WITH {DENSE.format(k=5)}, {LEXICAL} SELECT query_id, id FROM matched")
+@query(f"WITH {DENSE.format(k=5)}, {ASKED} SELECT query_id, id FROM matched")
 def match_postings(spark, d):
-    return search.match_postings(vector_queries(spark, d), search.postings(vector_chunks(spark, d)))
+    return search.match_postings(word_queries(spark, d), search.postings(vector_chunks(spark, d)))
+
+
+@query(f"WITH w AS (SELECT doc_id, {WORDS.format('text')} AS ws FROM documents) SELECT doc_id, coalesce(list_has_all(ws, ['the', 'and']), false) AS english, coalesce(list_contains(ws, 'der'), false) AS german FROM w")
+def lexical_match(spark, d):
+    w = _t(spark, d, "documents").select("doc_id", text.tokens(F.coalesce("text", F.lit(""))).alias("ws"))
+    return w.select("doc_id", text.lexical_match(F.array(F.lit("the"), F.lit("and")), F.col("ws")).alias("english"), text.lexical_match(text.query_terms(F.lit("DER, der!")), F.col("ws")).alias("german"))
 
 
 @query(f"WITH w AS (SELECT doc_id, {WORDS.format('text')} AS ws FROM documents) SELECT doc_id, len(ws) AS n_words, len(list_distinct(ws)) AS n_terms, substr(sha256(array_to_string(ws, ' ')), 1, 16) AS words_hash FROM w")
@@ -446,6 +470,19 @@ def rerank_moved(spark, d):
     return search.rerank_moved(_reranked(spark, d))
 
 
+@query(f"""WITH {DENSE.format(k=25)}, {LEXICAL}, {FUSED}, cand AS (SELECT f.*, f.rank - 1 AS cand_pos, c.content, c.doc_id, CASE WHEN f.query_id % 100 = 0 THEN NULL ELSE 1.0 / (1 + length(c.content)) END AS s FROM fused f JOIN vc c USING (id)),
+final AS (SELECT *, s IS NOT NULL AS reranked, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC NULLS LAST, cand_pos) AS place FROM cand QUALIFY place <= 5),
+m AS (SELECT query_id, count(*) AS candidates, count(*) FILTER (in_dense) AS dense_count, count(*) FILTER (in_lexical) AS lexical_count FROM fused GROUP BY 1),
+f AS (SELECT query_id, count(*) AS results, bool_or(reranked) AS reranked, count(*) FILTER (reranked AND cand_pos <> place - 1) AS rerank_moved, arg_min(doc_id, place) AS top_doc_id, round(arg_min(coalesce(s, score), place), 6) AS top_score FROM final GROUP BY 1)
+SELECT query_id, true AS hybrid, reranked, candidates, results, dense_count, lexical_count, rerank_moved, lexical_count = 0 AS hybrid_fallback, top_doc_id, top_score FROM m JOIN f USING (query_id)""")
+def search_with_log(spark, d):
+    score = F.when(F.col("query_id") % 100 != 0, 1 / (1 + F.char_length("content")))
+    asked = vector_queries(spark, d).withColumn("no_log", F.lit(False))
+    _, metric, logged = plan.search_with_log(asked, vector_chunks(spark, d), hybrid=True, reranker=score)
+    both = metric.join(logged.select("query_id", "top_doc_id", _r("top_score").alias("top_score")), "query_id")
+    return both.select("query_id", "hybrid", "reranked", "candidates", "results", "dense_count", "lexical_count", "rerank_moved", "hybrid_fallback", "top_doc_id", "top_score")
+
+
 @query(f"""WITH {DENSE.format(k=25)}, h AS (SELECT query_id, id, rank, CASE WHEN rank % 2 = 1 THEN rank + 2 ELSE rank - 1 END AS pos FROM dense WHERE rank <= 5)
 SELECT d.query_id, d.id, round(1.0 / h.rank, 6) AS score, row_number() OVER (PARTITION BY d.query_id ORDER BY h.rank) AS rank FROM h JOIN dense d ON d.query_id = h.query_id AND d.rank = h.pos + 1 AND d.rank <= 5""")
 def attach_rerank(spark, d):
@@ -466,7 +503,7 @@ def context_refs(spark, d):
     return r.select("query_id", F.size("refs").alias("n"), F.array_join(F.transform("refs", lambda x: F.concat_ws(":", x["rank"].cast("string"), x["id"])), ",").alias("refs"))
 
 
-@query(f"""WITH {DENSE.format(k=25)}, {LEXICAL}, {FUSED} SELECT query_id, count(*) AS candidates, count(*) FILTER (in_dense) AS dense_count, count(*) FILTER (in_lexical) AS lexical_count, least(count(*), 5) AS results,
+@query(f"""WITH {DENSE.format(k=25)}, {LEXICAL}, {FUSED} SELECT query_id, count(*) AS candidates, count(*) FILTER (in_dense) AS dense_count, count(*) FILTER (in_lexical) AS lexical_count, least(count(*), 5) AS results, count(*) FILTER (in_lexical) = 0 AS hybrid_fallback,
 round(count(*) FILTER (in_dense) / (count(*) FILTER (in_dense) + count(*) FILTER (in_lexical)), 6) AS dense_share, round(count(*) FILTER (in_lexical) / (count(*) FILTER (in_dense) + count(*) FILTER (in_lexical)), 6) AS lexical_share FROM fused GROUP BY 1""")
 def query_composition(spark, d):
     found = search.hybrid_search(vector_queries(spark, d), vector_chunks(spark, d))
@@ -500,6 +537,17 @@ def list_projects(spark, d):
     return metrics.list_projects(points(spark, d))
 
 
+@query("SELECT DISTINCT source AS project_id FROM documents ORDER BY 1")
+def list_project_ids(spark, d):
+    return metrics.list_project_ids(points(spark, d))
+
+
+@query(f"WITH {POINTS}, asked AS (SELECT DISTINCT 'src' || (item_id % 25) AS project_id FROM benchmark) SELECT a.project_id, count(p.id) AS chunk_count FROM asked a LEFT JOIN points p USING (project_id) GROUP BY 1")
+def count_points(spark, d):
+    asked = _t(spark, d, "benchmark").select(F.concat(F.lit("src"), (F.col("item_id") % 25).cast("string")).alias("project_id")).distinct()
+    return metrics.count_points(points(spark, d), asked)
+
+
 @query(f"WITH {POINTS}, asked AS (SELECT DISTINCT 'src' || (item_id % 25) AS project_id FROM benchmark) SELECT a.project_id, count(p.id) AS chunk_count, count(p.id) > 0 AS found FROM asked a LEFT JOIN points p USING (project_id) GROUP BY 1")
 def get_project(spark, d):
     asked = _t(spark, d, "benchmark").select(F.concat(F.lit("src"), (F.col("item_id") % 25).cast("string")).alias("project_id")).distinct()
@@ -530,6 +578,24 @@ def latency_summary(spark, d):
     return metrics.latency_summary(log(spark, d), ["project_id"]).withColumn("avg_ms", _r("avg_ms"))
 
 
+@query(f"WITH {LOG} SELECT count, avg_ms, p50_ms, p95_ms FROM ({RANKS.format(g='1 AS g', t='qlog')})")
+def latency_total(spark, d):
+    return metrics.latency_summary(log(spark, d)).withColumn("avg_ms", _r("avg_ms"))
+
+
+@query(f"""WITH {LOG}, all_rows AS ({RANKS.format(g='1 AS g', t='qlog')}), last AS (SELECT * FROM qlog ORDER BY ts DESC, id DESC LIMIT 1)
+SELECT a.count, a.avg_ms, a.p50_ms, a.p95_ms, CAST((SELECT sum(length(text)) FILTER (doc_id % 2 = 0) FROM documents) AS BIGINT) AS embed_tokens, CAST((SELECT sum(length(text)) FILTER (doc_id % 2 = 1) FROM documents) AS BIGINT) AS rerank_tokens,
+  CAST((SELECT sum(length(text)) FROM documents) AS BIGINT) AS total_tokens, 'parquet' AS backend, l.reranked AS last_reranked, l.results AS last_results FROM all_rows a, last l""")
+def metrics_snapshot(spark, d):
+    return metrics.metrics_snapshot(log(spark, d), _usage(spark, d), "parquet").withColumn("avg_ms", _r("avg_ms"))
+
+
+@query(f"WITH {LOG} SELECT true AS enabled, count(*) AS n, max(id) AS newest, min(id) AS oldest FROM (SELECT id FROM qlog WHERE NOT no_log ORDER BY id DESC LIMIT 50)")
+def recent_report(spark, d):
+    r = metrics.recent_report(spark, metrics.logged(log(spark, d)))
+    return r.select("enabled", F.size("queries").cast("long").alias("n"), F.col("queries")[0]["id"].alias("newest"), F.element_at("queries", -1)["id"].alias("oldest"))
+
+
 @query(f"WITH {LOG}, ring AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY ts DESC, id DESC) AS n FROM qlog QUALIFY n <= 512), r AS ({RANKS.format(g='query', t='ring')}) SELECT r.query, r.avg_ms, r.p50_ms, r.p95_ms, t.total FROM r JOIN (SELECT query, count(*) AS total FROM qlog GROUP BY 1) t USING (query)")
 def latency_ring(spark, d):
     return metrics.latency_ring(log(spark, d), ["query"]).withColumn("avg_ms", _r("avg_ms"))
@@ -547,17 +613,21 @@ def last_query(spark, d):
 
 @query("SELECT CAST(sum(length(text)) FILTER (doc_id % 2 = 0) AS BIGINT) AS embed_tokens, CAST(sum(length(text)) FILTER (doc_id % 2 = 1) AS BIGINT) AS rerank_tokens, CAST(sum(length(text)) AS BIGINT) AS total_tokens FROM documents")
 def token_usage(spark, d):
-    return metrics.token_usage(_t(spark, d, "documents").select(F.when(F.col("doc_id") % 2 == 0, "embed").otherwise("rerank").alias("kind"), F.char_length("text").alias("tokens")))
+    return metrics.token_usage(_usage(spark, d))
+
+
+def _usage(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "documents").select(F.when(F.col("doc_id") % 2 == 0, "embed").otherwise("rerank").alias("kind"), F.char_length("text").alias("tokens"))
 
 
 @query(f"WITH {LOG} SELECT id, project_id, query FROM qlog WHERE NOT no_log AND id > (SELECT max(id) - 500 FROM qlog WHERE NOT no_log)")
 def prune_log(spark, d):
-    return metrics.prune_log(log(spark, d).where("not no_log"), 500).select("id", "project_id", "query")
+    return metrics.prune_log(metrics.logged(log(spark, d)), 500).select("id", "project_id", "query")
 
 
 @query(f"WITH {LOG} SELECT id, query, results FROM qlog WHERE NOT no_log ORDER BY id DESC LIMIT 50")
 def recent_queries(spark, d):
-    return metrics.recent_queries(log(spark, d).where("not no_log")).select("id", "query", "results")
+    return metrics.recent_queries(metrics.logged(log(spark, d))).select("id", "query", "results")
 
 
 @query(f"WITH {LOG} SELECT id, query FROM qlog WHERE results = 0 OR top_score < 0.05")
@@ -666,6 +736,55 @@ def guard_project_delete(spark, d):
     return guard.project_delete_refusals(_t(spark, d, "documents").select(F.col("source").alias("project_id")).distinct(), CONTRACT)
 
 
+# ---- documents handed in, embedding, the store ----
+
+#: A model of two numbers, so that SQL can say what it gives.
+EMBEDDER = embed.Embedder(lambda texts: [[float(len(t)), float(t.count("e"))] for t in texts], "counts", 2, query_fn=lambda texts: [[float(len(t)), 0.0] for t in texts], count_tokens=lambda t: t.count(" ") + 1)
+
+
+@query("SELECT doc_id, CAST(length(coalesce(text, '')) AS FLOAT) AS e0, CAST(length(coalesce(text, '')) - length(replace(coalesce(text, ''), 'e', '')) AS FLOAT) AS e1, CAST(length(coalesce(text, '')) - length(replace(coalesce(text, ''), ' ', '')) + 1 AS BIGINT) AS tokens FROM documents")
+def embed_documents(spark, d):
+    e = embed.embed_documents(_t(spark, d, "documents").select("doc_id", "text"), EMBEDDER, "text")
+    return e.select("doc_id", F.col("embedding")[0].alias("e0"), F.col("embedding")[1].alias("e1"), "tokens")
+
+
+@query("SELECT item_id AS query_id, CAST(length(coalesce(text, '')) AS FLOAT) AS e0, CAST(0 AS FLOAT) AS e1 FROM benchmark")
+def embed_queries(spark, d):
+    e = embed.embed_queries(word_queries(spark, d), EMBEDDER)
+    return e.select("query_id", F.col("query_vec")[0].alias("e0"), F.col("query_vec")[1].alias("e1"))
+
+
+@query(f"WITH {POINTS} SELECT project_id, doc_id AS id, CAST(length(content) AS FLOAT) AS e0, 'counts' AS embed_model, '2' AS embed_dim, lang FROM points")
+def reembed(spark, d):
+    old = points(spark, d).withColumn("meta", chunks.inject_embed_meta(F.col("meta"), F.lit("old"), F.lit(7)))
+    r = embed.reembed(old, EMBEDDER)
+    return r.select("project_id", "id", F.col("embedding")[0].alias("e0"), *(F.col("meta")[k].alias(k) for k in ("embed_model", "embed_dim", "lang")))
+
+
+@query(f"""WITH {MEMORY}, taken AS (SELECT * FROM m WHERE NOT EXISTS (SELECT 1 FROM found f WHERE f.project_id = m.project_id AND f.batch = m.batch))
+SELECT project_id, id, CAST(length(content) AS FLOAT) AS e0, 'counts' AS embed_model FROM taken
+UNION ALL SELECT project_id, id, CAST(-1 AS FLOAT), 'old' FROM points p WHERE n % 2 = 0 AND NOT EXISTS (SELECT 1 FROM taken t WHERE t.project_id = p.project_id AND t.id = p.id)""")
+def ingest_documents(spark, d):
+    old = points(spark, d).where("cast(id as long) % 2 = 0").select("project_id", "id", "content", F.create_map(F.lit("embed_model"), F.lit("old")).alias("meta"), F.array(F.lit(-1.0).cast("float")).alias("embedding"))
+    after, _ = ingest.ingest_documents(_memory(spark, d), old, EMBEDDER, CONTRACT, "batch")
+    return after.select("project_id", "id", F.col("embedding")[0].alias("e0"), F.col("meta")["embed_model"].alias("embed_model"))
+
+
+@query(f"""WITH {POINTS} SELECT n, CASE WHEN n % 5 = 0 THEN substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', CAST(instr('0123456789abcdef', substr(h, 17, 1)) - 1 AS INTEGER) % 4 + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) ELSE doc_id END AS id
+FROM (SELECT n, doc_id, sha1(from_hex('6ba7b8119dad11d180b400c04fd430c8') || encode(content)) AS h FROM points)""")
+def fallback_id(spark, d):
+    n = F.col("id").cast("long")
+    return points(spark, d).select(n.alias("n"), text.fallback_id(F.when(n % 5 != 0, F.col("doc_id")).otherwise(""), F.col("content")).alias("id"))
+
+
+@query(f"WITH {POINTS} SELECT project_id, count(*) AS points, count(DISTINCT content_hash) AS texts, min(id) AS first FROM points WHERE project_id IN (SELECT source FROM documents WHERE doc_id < 50) GROUP BY 1")
+def write_read_chunks(spark, d):
+    """The collection written as a snapshot and read back, by the projects that the first fifty documents name."""
+    wanted = [r[0] for r in _t(spark, d, "documents").where("doc_id < 50").select("source").distinct().collect()]
+    path = store.write_chunks(points(spark, d), f"{store.shared_dir(spark)}/chunks")
+    return store.read_chunks(spark, path, wanted).groupBy("project_id").agg(F.count("*").alias("points"), F.count_distinct("content_hash").alias("texts"), F.min("id").alias("first"))
+
+
 # ---- vectors from text, imports ----
 
 
@@ -678,8 +797,6 @@ def hash_embedder(spark, d):
 
 @query("SELECT 'm' || (vec_id % 2) AS embed_model, len(embedding) AS dim, count(*) AS points FROM embeddings GROUP BY ALL")
 def dim_check(spark, d):
-    from lodestone.operators import embed
-
     return embed.dim_check(_t(spark, d, "embeddings").select(F.concat(F.lit("m"), (F.col("vec_id") % 2).cast("string")).alias("embed_model"), "embedding"))
 
 

@@ -8,12 +8,16 @@ from pyspark.sql import functions as F
 from lodestone.functions import paths
 
 
-def scan_corpus(spark: SparkSession, root: str) -> DataFrame:
-    """``root, path, content, length`` of every file below ``root``; unreadable files are skipped."""
+def scan_corpus(spark: SparkSession, root: str, most: int = paths.MOST_BYTES) -> DataFrame:
+    """``root, path, content, length`` of every file below ``root``; unreadable files are skipped.
+
+    Bytes that are no UTF-8 become replacement characters. Files of more than ``most``
+    bytes are listed with a null content and never read: the bound on ``length`` reaches the scan.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreCorruptFiles", True).load(root)
-    base = root.rstrip("/")
-    path = F.regexp_replace("path", "^file:/+", "/")
-    return files.select(F.lit(base).alias("root"), path.alias("path"), F.decode("content", "UTF-8").alias("content"), "length")
+    about = [F.lit(root.rstrip("/")).alias("root"), F.regexp_replace("path", "^file:/+", "/").alias("path")]
+    read = files.where(F.col("length") <= most).select(*about, F.make_valid_utf8(F.col("content").cast("string")).alias("content"), "length")
+    return read.unionByName(files.where(F.col("length") > most).select(*about, F.lit(None).cast("string").alias("content"), "length"))
 
 
 def candidate_files(files: DataFrame) -> DataFrame:

@@ -2,16 +2,32 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the session names in ``spark.checkpoint.dir``; a temporary one on a local master where none is named."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not where:
+        sc = spark.sparkContext
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+        where = sc.getCheckpointDir()
+    return where.rstrip("/")
+
+
 def write_chunks(chunks: DataFrame, base: str) -> str:
-    """Write a new snapshot below ``base`` and return its path. Readers of older ones are not disturbed."""
+    """Write a new snapshot below ``base`` and return its path. Readers of older ones are not disturbed.
+
+    Files are of about the advisory partition size: a large project is split, small ones share a task.
+    """
     path = f"{base.rstrip('/')}/snapshot-{uuid.uuid4().hex}"
-    chunks.repartition("project_id", F.pmod(F.xxhash64("id"), F.lit(16))).write.partitionBy("project_id").parquet(path)
+    chunks.hint("rebalance", F.col("project_id")).write.partitionBy("project_id").parquet(path)
     return path
 
 
@@ -24,3 +40,17 @@ def read_chunks(spark: SparkSession, path: str, projects: list[str] | None = Non
 def append_rows(rows: DataFrame, path: str) -> None:
     """Sink of query metrics and logs."""
     rows.write.mode("append").parquet(path)
+
+
+def append_query_log(entries: DataFrame, path: str, enabled: bool = False) -> bool:
+    """Append the entries that are not synthetic; a log that is not switched on stays untouched. Returns whether it is on."""
+    if enabled:
+        append_rows(entries.where(~F.coalesce("no_log", F.lit(False))).drop("no_log") if "no_log" in entries.columns else entries, path)
+    return enabled
+
+
+def read_query_log(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
+    """The log, or None where none was ever switched on (an empty log is a table without rows)."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+    return spark.read.schema(schema).parquet(path) if there else None

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -33,10 +34,24 @@ def windowed_activity(events: DataFrame, late: str = "10 minutes", window: str =
     return n.select(F.col("window.start").alias("start"), kind, "events")
 
 
-def progress_changes(done: DataFrame, run: str = "run_id") -> DataFrame:
-    """The first row of each whole percent of each run (append mode); state is one row a run and percent."""
+def progress_changes(done: DataFrame, run: str = "run_id", order: str = "batch") -> DataFrame:
+    """Rows ``run, batch, pct`` at which a run's whole percent changes (append mode).
+
+    State is one number for each run, the last percent. Rows of a micro-batch are taken
+    in the order of ``batch``; a percent that comes back later is a change again.
+    """
     pct = F.floor(F.col("done") * 100 / F.greatest(F.col("total"), F.lit(1))).cast("int")
-    return done.withColumn("pct", pct).select(run, "pct").dropDuplicates([run, "pct"])
+    kinds = dict(done.dtypes)
+
+    def changes(key, frames, state):
+        rows = pd.concat(list(frames)).sort_values(order, kind="stable")
+        last = state.get[0] if state.exists else -1
+        before = rows["pct"].shift(fill_value=last)
+        state.update((int(rows["pct"].iloc[-1]),))
+        yield rows.loc[rows["pct"] != before, [run, order, "pct"]]
+
+    rows = done.withColumn("pct", pct).select(run, order, "pct")
+    return rows.groupBy(run).applyInPandasWithState(changes, f"{run} {kinds[run]}, {order} {kinds[order]}, pct int", "pct int", "append", "NoTimeout")
 
 
 def _start(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, available_now: bool) -> StreamingQuery:

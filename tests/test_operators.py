@@ -155,6 +155,70 @@ def test_latency(spark):
     ring = metrics.latency_ring(rows, ["g"], last=2).first()
     assert (ring.total, ring.avg_ms) == (5, 70.0)
     assert metrics.latency_summary(rows.limit(0), ["g"]).count() == 0
+    assert metrics.latency_summary(rows).select("count", "avg_ms", "p50_ms", "p95_ms").first() == r[1:]
+    assert metrics.latency_summary(rows.limit(0)).first() == (0, 0.0, 0.0, 0.0)
+
+
+def test_ranks_among_many_values(spark):
+    rows = spark.range(30_000).select((F.col("id") % 3).alias("g"), (F.pmod(F.xxhash64("id"), F.lit(7000)) / 7.0).alias("v"))
+    got = {r.g: (r.lo, r.hi) for r in metrics.nearest_ranks(rows, "v", {"lo": 0.5, "hi": 0.99}, ["g"], accuracy=200).collect()}
+    for g in range(3):
+        v = sorted(r.v for r in rows.where(F.col("g") == g).collect())
+        assert got[g] == tuple(v[int(p * (len(v) - 1) + 0.5)] for p in (0.5, 0.99))
+
+
+def test_snapshot_and_log_switch(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 10.0, 3, "q1", False), (2, 30.0, 0, "q2", True)], "id long, latency_ms double, results int, query string, no_log boolean").withColumn("ts", F.timestamp_seconds("id"))
+    usage = spark.createDataFrame([("embed", 5), ("rerank", 7)], "kind string, tokens long")
+    s = metrics.metrics_snapshot(rows, usage, "parquet").first()
+    assert (s["count"], s.avg_ms, s.embed_tokens, s.total_tokens, s.backend, s.last_results) == (2, 20.0, 5, 12, "parquet", 0)
+    assert metrics.metrics_snapshot(rows.limit(0), usage.limit(0), "parquet").first().avg_ms == 0.0
+    path, schema = str(tmp_path / "log"), "id long, query string, results int"
+    entries = rows.select("id", "query", "results", "no_log")
+    assert not store.append_query_log(entries, path)
+    assert not metrics.recent_report(spark, store.read_query_log(spark, path, schema)).first().enabled
+    assert store.append_query_log(entries.limit(0), path, True)
+    r = metrics.recent_report(spark, store.read_query_log(spark, path, schema)).first()
+    assert r.enabled and r.queries == []
+    store.append_query_log(entries, path, True)
+    assert [q.id for q in metrics.recent_report(spark, store.read_query_log(spark, path, schema)).first().queries] == [1]
+
+
+def test_files_of_any_bytes(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a/ok.md").write_text("fine")
+    (tmp_path / "a/bad.md").write_bytes(b"x\xff\xfey")
+    (tmp_path / "a/large.md").write_text("z" * 600)
+    got = {r.path.rsplit("/", 1)[1]: (r.content, r.length) for r in corpus.scan_corpus(spark, str(tmp_path / "a"), 500).collect()}
+    assert got == {"ok.md": ("fine", 4), "bad.md": ("x\ufffd\ufffdy", 4), "large.md": (None, 600)}
+
+
+def test_a_scorer_that_fails_costs_the_order_only(spark):
+    c = collection(spark, [("A", f"r{i}", f"d{i}", str(i), [1.0 - i / 20, i / 20.0]) for i in range(6)])
+    q = asked(spark, [1.0, 0.0])
+
+    def broken(queries, contents):
+        raise RuntimeError("no model")
+
+    works = search.scorer(lambda queries, contents: [float(x) for x in contents])
+    out = plan.search(q, c, k=2, reranker=works("query", "content")).orderBy("rank").collect()
+    assert [r.id for r in out] == ["r5", "r4"] and out[0].reranked
+    out = plan.search(q, c, k=2, reranker=search.scorer(broken)("query", "content")).orderBy("rank").collect()
+    assert [(r.id, r.reranked) for r in out] == [("r0", False), ("r1", False)]
+
+
+def test_approximate_search_with_nulls(spark):
+    rows = [("A", "0", "", "x", None), ("A", "1", "", "y", [1.0, 0.0]), ("A", "2", "", "z", [0.5]), ("A", "3", "", "w", [0.0, 0.0])]
+    assert [r.id for r in search.topk_approx(asked(spark, [1.0, 0.1]), collection(spark, rows), 5).collect()] == ["1"]
+    assert search.topk_approx(asked(spark, None), collection(spark, rows), 5).count() == 0
+
+
+def test_embedding_of_no_words(spark):
+    from lodestone.functions import vectors
+
+    rows = spark.createDataFrame([(1, ""), (2, None), (3, "a a b")], "k int, t string")
+    got = {r.k: r.embedding for r in vectors.hash_embedding(rows, "k", "t", 8).collect()}
+    assert got[1] == got[2] == [0.0] * 8 and sum(x * x for x in got[3]) == pytest.approx(1)
 
 
 def test_log(spark):

@@ -34,9 +34,15 @@ def test_counts_and_feed(spark, tmp_path):
 
 
 def test_progress_ring_and_log(spark, tmp_path):
-    feed(tmp_path / "p", [{"run_id": r, "done": i, "total": 250} for r in (1, 2) for i in range(251)])
-    done = jobs.read_events(spark, str(tmp_path / "p"), "run_id int, done int, total int", 1)
-    assert table(jobs.progress_changes(done), "progress", "append", spark).count() == 202
+    rows = [{"run_id": r, "batch": i, "done": i if i < 251 else i - 251, "total": 250} for r in (1, 2) for i in range(260)]
+    for k in range(4):
+        feed(tmp_path / "p", [], 0)
+        (tmp_path / "p" / f"{k}.json").write_text("\n".join(json.dumps(r) for r in rows if r["batch"] // 70 == k))
+        done = jobs.read_events(spark, str(tmp_path / "p"), "run_id int, batch int, done int, total int", 1)
+        jobs.progress_changes(done).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c0")).trigger(availableNow=True).start().awaitTermination()
+    got = {(r.run_id, r.batch, r.pct) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    batch = spark.read.schema("run_id int, batch int, done int, total int").json(str(tmp_path / "p"))
+    assert got == {(r.run_id, r.batch, r.pct) for r in metrics.progress(batch).collect()} and len(got) == 2 * 105
     rows = [{"id": i, "ts": f"2024-01-01T00:{i // 60:02}:{i % 60:02}", "g": "ab"[i % 2], "latency_ms": float(i), "no_log": i % 4 == 0} for i in range(100)]
     feed(tmp_path / "s", rows)
     samples = jobs.read_events(spark, str(tmp_path / "s"), "id long, ts timestamp, g string, latency_ms double, no_log boolean", 1)
