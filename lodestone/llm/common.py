@@ -7,7 +7,6 @@ the tasks it was running.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
@@ -15,20 +14,23 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from lodestone.sources.store import shared_dir
+
 UPPER, LOWER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
 #: Lower-cases A-Z and leaves every other byte alone.
 ASCII_LOWER = bytes.maketrans(UPPER, LOWER)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The session's shared folder; a temporary one where none is set (local tests)."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        sc = spark.sparkContext
-        if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-        where = sc.getCheckpointDir()
-    return where.rstrip("/")
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded(df: DataFrame, size: int = 4 << 20) -> DataFrame:
+    """``df`` itself; its session then hands rows to Python workers in batches of about ``size``
+    bytes, however long texts are, unless it has a size of its own."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH) == "67108864b":  # Spark's default
+        conf.set(_BATCH, f"{size}b")
+    return df
 
 
 def new_path(spark: SparkSession, name: str) -> str:

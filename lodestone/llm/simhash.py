@@ -7,18 +7,31 @@ nodes hold the bits that everything below shares (a mask and a pattern); two nod
 whose shared bits already differ in more than r places are left out with all
 beneath. So are two nodes of one component: only components are asked for, and
 each task returns them as trees, never as all pairs.
+
+``similar`` links texts by the similarity of their shingles: the index proposes, whole sets
+decide, and what lies too far apart for it is found by shared rare shingles.
 """
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm import graph
-from lodestone.llm.common import ASCII_LOWER, in_chunks, materialize, shuffle_partitions, text_bytes
+from lodestone.llm import graph, shingles
+from lodestone.llm.common import bounded, in_chunks, materialize, shuffle_partitions, text_bytes
+
+
+def bits(hashes: np.ndarray) -> int:
+    """The 64 bits that more than half of the hashes have."""
+    x = hashes.astype("<u8").view(np.uint8).reshape(-1, 8)
+    ones = np.zeros(64, np.int64)
+    for i in range(0, len(x), 1 << 16):
+        ones += np.unpackbits(x[i : i + (1 << 16)], axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(x), bitorder="little").view("<u8")[0])
 
 
 def fingerprint(text: bytes, size: int = 3, seed: int = 42) -> int:
@@ -27,19 +40,7 @@ def fingerprint(text: bytes, size: int = 3, seed: int = 42) -> int:
     A bit is 1 if more than half of the shingles' XXH64 have it. Fewer words are one
     shingle; no words give 0.
     """
-    w = text.translate(ASCII_LOWER).split()
-    if not w:
-        return 0
-    h = xxhash.xxh64_intdigest
-    if size == 3 and len(w) >= 3:
-        hashes = [h(b"%b %b %b" % s, seed) for s in zip(w, w[1:], w[2:])]
-    else:
-        hashes = [h(b" ".join(w[i : i + size]), seed) for i in range(max(1, len(w) - size + 1))]
-    x = np.array(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8)
-    ones = np.zeros(64, np.int64)
-    for i in range(0, len(x), 1 << 16):
-        ones += np.unpackbits(x[i : i + (1 << 16)], axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(x), bitorder="little").view("<u8")[0])
+    return bits(shingles.hashes(text, size, seed)) if text.strip() else 0
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 3) -> DataFrame:
@@ -188,7 +189,7 @@ def near_duplicates(docs: DataFrame, radius: int = 3, size: int = 3, doc_id: str
     Texts without words have fingerprint 0 and link like others. Equal rows have equal
     results. Only ids and fingerprints are shuffled.
     """
-    made, _ = materialize(fingerprints(docs, doc_id, text, size), "fingerprints")
+    made, _ = materialize(fingerprints(bounded(docs), doc_id, text, size), "fingerprints")
     first, _ = materialize(made.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     labels = graph.components(links(first.select("fp"), radius))
     known = first.join(labels, first["fp"] == labels["node"], "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
@@ -198,12 +199,56 @@ def near_duplicates(docs: DataFrame, radius: int = 3, size: int = 3, doc_id: str
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def similar(docs: DataFrame, similarity: float = 0.8, size: int = 5, radius: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id, component_id`` for every row: near copies by the fingerprints, whole by their shingles.
+
+    Texts link at a Jaccard similarity of ``similarity`` or more between their sets of
+    ``size``-word shingles (by 64-bit hashes). The Gray-order index gives the pairs within
+    ``radius`` bits; at such a similarity fingerprints may differ in far more bits, so
+    sets that still lie in two components and share enough of their rarest shingles
+    are compared too. Every link is verified, and none is missed. Texts without words are
+    alike. The component id is the smallest doc_id reachable, nulls left aside (null if all
+    ids reached are null). Only the order of the shingles rests on a sample.
+    """
+    t = Fraction(similarity).limit_denominator(1000)
+    picked = bounded(docs).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    rows, _ = materialize(shingles.sets(picked, size, t, bits), "sets")
+    nodes = rows.groupBy("k").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("prefix").alias("prefix"), F.count(F.lit(1)).alias("copies"))
+    nodes, _ = materialize(nodes, "nodes")
+    top = nodes.groupBy("fp").agg(F.min("k").alias("top"))
+    near = links(top.select("fp"), radius)
+    for end in ("a", "b"):
+        near = near.join(top.select(F.col("fp").alias(end), F.col("top").alias(f"{end}_top")), end)
+    same = nodes.join(top, "fp").where("k <> top").select(F.col("top").alias("a"), F.col("k").alias("b"))
+    postings = nodes.select("k", "n", "copies", F.explode("prefix").alias("token"))
+    meeting = postings.groupBy("token").count().where("count > 1").select("token")
+    postings, _ = materialize(postings.join(meeting, "token"), "postings")
+    beside = shingles.candidates(postings.withColumn("label", F.col("k")), t, False)
+    found = shingles.verified(near.select(F.col("a_top").alias("a"), F.col("b_top").alias("b")).unionByName(same).unionByName(beside), rows, size, t)
+    labels = graph.components(found)
+    known = postings.join(labels, postings["k"] == labels["node"], "left").withColumn("label", F.coalesce("label", "k")).drop("node")
+    rest = shingles.verified(shingles.candidates(known, t, True), rows, size, t)
+    labels = graph.components(found.unionByName(rest))
+    known = nodes.join(labels, nodes["k"] == labels["node"], "left").select("k", "first", F.coalesce("label", "k").alias("label"))
+    least = known.groupBy("label").agg(F.min("first").alias("component_id"))
+    of = known.select("k", "label").join(least, "label").select("k", "component_id")
+    return rows.select("doc_id", "k").join(of, "k").select("doc_id", "component_id")
+
+
+def _first_of_each(docs: DataFrame, found: DataFrame, doc_id: str) -> DataFrame:
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, docs[doc_id] == gone["__gone"], "left_anti")
+
+
 def representatives(docs: DataFrame, radius: int = 3, size: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, of the documents that stand for their component.
+    """The rows of ``docs``, all columns, of the documents that stand for their component of near fingerprints.
 
     Of each component the smallest id stays. Rows that repeat an id are one document and
     stay or go together; rows without an id cannot be told apart and stay.
     """
-    found = near_duplicates(docs, radius, size, doc_id, text)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[doc_id] == gone["__gone"], "left_anti")
+    return _first_of_each(docs, near_duplicates(docs, radius, size, doc_id, text), doc_id)
+
+
+def without_near_copies(docs: DataFrame, similarity: float = 0.8, size: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``representatives`` of the components of ``similar`` texts."""
+    return _first_of_each(docs, similar(docs, similarity, size, doc_id=doc_id, text=text), doc_id)

@@ -8,8 +8,10 @@ name alike and equal passages have equal symbols, but for some at their ends.
 Each symbol carries the stretch of words that alone decides that it stands there.
 A window can only be repeated if every symbol whose stretch lies inside it occurs
 more than once in all the data; Spark counts the symbols, and then, for windows that
-pass, the windows themselves, which verifies them. Both counts are made in blocks
-of documents first, so a passage that many documents share is one entry for each block.
+pass, the windows themselves by 96 bits of their words, which verifies them. Both counts are
+made in blocks of documents first, so a passage that many documents share is one entry
+for each block. Blocks and buckets are as many as the measured bytes of text ask
+for, so tasks stay alike at every size.
 """
 
 from __future__ import annotations
@@ -22,11 +24,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import shuffle_partitions, text_bytes
+from lodestone.llm.common import bounded, text_bytes
 
 _U = np.uint64
 _STEP = 0x9E3779B97F4A7C15
-_BASE = 0xD1B54A32D192ED03  # odd, so it has an inverse modulo 2^64
+_BASE, _BASE2 = 0xD1B54A32D192ED03, 0xAEF17502108EF2D9  # odd, so they have inverses modulo 2^64
+#: Bytes of text in a block of documents, and for each bucket of keys.
+BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 32 << 20
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -41,14 +45,17 @@ class Block:
     def __init__(self, texts: list[bytes]):
         self.words = [t.split() for t in texts]
         self.size = np.fromiter(map(len, self.words), np.int64, len(texts))
-        known = {w: xxhash.xxh64_intdigest(w) for w in set().union(*self.words)}
+        distinct = list(set().union(*self.words))
+        both = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, distinct)), np.uint64).reshape(-1, 2)
+        place = dict(zip(distinct, range(len(distinct))))
         n = int(self.size.sum()) + len(texts) + 1
         self.begin = np.cumsum(self.size + 1) - self.size
         self.wall = np.ones(n, bool)
         inside = np.repeat(self.begin - (np.cumsum(self.size) - self.size), self.size) + np.arange(int(self.size.sum()))
         self.wall[inside] = False
-        self.hash = np.zeros(n, np.uint64)
-        self.hash[inside] = np.fromiter((known[w] for c in self.words for w in c), np.uint64, len(inside))
+        self.hash, self.other = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+        at = np.fromiter((place[w] for c in self.words for w in c), np.int64, len(inside))
+        self.hash[inside], self.other[inside] = both[at, 0], both[at, 1]
         self.walls = np.concatenate([[0], np.cumsum(self.wall)])
 
     def starts(self, window: int) -> np.ndarray:
@@ -86,42 +93,64 @@ class Block:
         return (high - low <= window) & (self.walls[high] == self.walls[low])
 
     def window_hashes(self, s: np.ndarray, window: int) -> np.ndarray:
-        """A 64-bit hash of the words of each window that begins at ``s``."""
-        n = len(self.hash)
-        up, down = _powers(_BASE, n), _powers(pow(_BASE, -1, 2**64), n)
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(self.hash) * down)])
-        return _mix((total[s + window] - total[s]) * up[s])
+        """Keys of the words of each window that begins at ``s``: 64 bits by one polynomial and 32 by another."""
 
+        def by(words: np.ndarray, base: int) -> np.ndarray:
+            n = len(words)
+            up, down = _powers(base, n), _powers(pow(base, -1, 2**64), n)
+            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(words) * down)])
+            return _mix((total[s + window] - total[s]) * up[s])
 
-_POWERS: dict[int, np.ndarray] = {}
+        return _keys_of(by(self.hash, _BASE), by(self.other, _BASE2))
+
+
+#: A key is 64 bits that it is dealt by, and 32 that tell apart what agrees in them.
+KEY = np.dtype([("a", "<u8"), ("b", "<u4")])
+
+
+def _keys_of(a: np.ndarray, b: np.ndarray | None = None) -> np.ndarray:
+    out = np.zeros(len(a), KEY)
+    out["a"] = a
+    if b is not None:
+        out["b"] = (b >> _U(32)).astype(np.uint32)
+    return out
 
 
 def _powers(base: int, n: int) -> np.ndarray:
-    have = _POWERS.get(base)
-    if have is None or len(have) < n:
-        size = 1 << max(16, (n - 1).bit_length())
-        have = np.full(size, _U(base))
-        have[0] = 1
-        _POWERS[base] = have = np.cumprod(have, dtype=np.uint64)
-    return have[:n]
+    out = np.full(n, _U(base))
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order of the keys, and where in it each distinct key begins."""
+    order = np.argsort(keys["a"], kind="stable")
+    a, b = keys["a"][order], keys["b"][order]
+    same = a[1:] == a[:-1]
+    if (same & (b[1:] != b[:-1])).any():
+        order = np.lexsort((keys["b"], keys["a"]))
+        a, b = keys["a"][order], keys["b"][order]
+    new = np.ones(len(keys), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return order, np.flatnonzero(new)
 
 
 def _once(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in order, and whether each stood there more than once."""
-    keys, count = np.unique(keys, return_counts=True)
-    return keys, count > 1
+    order, first = _runs(keys)
+    return keys[order[first]], np.diff(first, append=len(keys)) > 1
 
 
-def _deal(block: int, keys: np.ndarray, many: np.ndarray, buckets: int) -> pa.Table:
-    """A row ``bucket, block, keys, many`` for each bucket of key ranges."""
-    cuts = np.searchsorted(keys, np.arange(1, buckets, dtype=np.uint64) * _U(2**64 // max(2, buckets)))
+def _deal(block: int, keys: np.ndarray, many: np.ndarray, buckets: int, narrow: bool) -> pa.Table:
+    """A row ``bucket, block, keys, many`` for each bucket of key ranges; narrow keys have their 64 bits only."""
+    cuts = np.searchsorted(keys["a"], np.arange(1, buckets, dtype=np.uint64) * _U(2**64 // max(2, buckets)))
     edges = [0, *cuts.tolist(), len(keys)]
     some = [(b, a, z) for b, (a, z) in enumerate(zip(edges, edges[1:])) if a < z]
     return pa.table(
         {
             "bucket": pa.array([b for b, _, _ in some], pa.int32()),
             "block": pa.array([block] * len(some), pa.int64()),
-            "keys": pa.array([keys[a:z].tobytes() for _, a, z in some], pa.binary()),
+            "keys": pa.array([_packed(keys[a:z], narrow) for _, a, z in some], pa.binary()),
             "many": pa.array([np.packbits(many[a:z]).tobytes() for _, a, z in some], pa.binary()),
         }
     )
@@ -130,36 +159,56 @@ def _deal(block: int, keys: np.ndarray, many: np.ndarray, buckets: int) -> pa.Ta
 _DEALT = "bucket int, block long, keys binary, many binary"
 
 
-def _repeated(dealt: DataFrame) -> DataFrame:
+def _packed(keys: np.ndarray, narrow: bool) -> bytes:
+    return keys["a"].tobytes() if narrow else keys["a"].tobytes() + keys["b"].tobytes()
+
+
+def _unpacked(x: bytes, narrow: bool) -> np.ndarray:
+    n = len(x) // (8 if narrow else 12)
+    out = np.zeros(n, KEY)
+    out["a"] = np.frombuffer(x, "<u8", n)
+    if not narrow:
+        out["b"] = np.frombuffer(x, "<u4", n, 8 * n)
+    return out
+
+
+def _repeated(dealt: DataFrame, narrow: bool) -> DataFrame:
     """For each block, those of its keys that stand more than once in all blocks: ``block, keys``."""
 
     def run(table: pa.Table) -> pa.Table:
-        blobs = table.column("keys").to_pylist()
-        keys = [np.frombuffer(x, np.uint64) for x in blobs]
+        keys = [_unpacked(x, narrow) for x in table.column("keys").to_pylist()]
         many = [np.unpackbits(np.frombuffer(m, np.uint8), count=len(k)) for m, k in zip(table.column("many").to_pylist(), keys)]
         every = np.concatenate(keys)
-        order = np.argsort(every, kind="stable")
-        put = every[order]
-        first = np.flatnonzero(np.concatenate([[True], put[1:] != put[:-1]]))
+        order, first = _runs(every)
         count = np.add.reduceat(1 + np.concatenate(many)[order].astype(np.int64), first)
         good = np.empty(len(every), bool)
-        good[order] = np.repeat(count > 1, np.diff(first, append=len(put)))
+        good[order] = np.repeat(count > 1, np.diff(first, append=len(every)))
         ends = np.cumsum([0, *map(len, keys)])
-        kept = [k[good[a:z]].tobytes() for k, a, z in zip(keys, ends, ends[1:])]
+        kept = [_packed(k[good[a:z]], narrow) for k, a, z in zip(keys, ends, ends[1:])]
         some = [i for i, k in enumerate(kept) if k]
         return pa.table({"block": table.column("block").take(pa.array(some, pa.int64())), "keys": pa.array([kept[i] for i in some], pa.binary())})
 
     return dealt.groupBy("bucket").applyInArrow(run, "block long, keys binary")
 
 
-def _keys(table: pa.Table) -> np.ndarray:
-    return np.sort(np.concatenate([np.empty(0, np.uint64), *(np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist())]))
+def _keys(table: pa.Table, narrow: bool) -> np.ndarray:
+    keys = np.concatenate([np.empty(0, KEY), *(_unpacked(x, narrow) for x in table.column("keys").to_pylist())])
+    return keys[_runs(keys)[0]]
 
 
 def _among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
-    if not len(known):
-        return np.zeros(len(x), bool)
-    return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
+    """Which of x are among the sorted known keys."""
+    out = np.zeros(len(x), bool)
+    at = np.searchsorted(known["a"], x["a"])
+    left = np.flatnonzero(at < len(known))
+    while len(left):  # a second round only for keys that agree in 64 bits and not in 32
+        there = known[at[left]]
+        equal = there["a"] == x["a"][left]
+        out[left] |= equal & (there["b"] == x["b"][left])
+        left = left[equal & ~out[left]]
+        at[left] += 1
+        left = left[at[left] < len(known)]
+    return out
 
 
 def repeated_words(block: Block, repeated: np.ndarray, window: int) -> np.ndarray:
@@ -175,39 +224,41 @@ def repeated_words(block: Block, repeated: np.ndarray, window: int) -> np.ndarra
 def _passes(docs: DataFrame, doc_id: str, text: str, window: int, rounds: int, finish, schema: str) -> DataFrame:
     """The two counts, then ``finish(rows, block, removed)`` for every block of documents.
 
-    The texts are shuffled once; the three passes read the same exchange.
+    The texts are shuffled once; the three passes read the same exchange. Rows are dealt by
+    all of their columns that can be hashed, so ids that are null or repeated do no harm.
     """
-    n = shuffle_partitions(docs.sparkSession)
+    size = bounded(docs).agg(F.sum(F.octet_length(text))).first()[0] or 0
+    n, buckets = 1 + size // BLOCK_BYTES, 1 + size // BUCKET_BYTES
     key = "__block"
     while key in docs.columns:
         key += "_"
-    dealt = docs.withColumn(key, F.pmod(F.xxhash64(F.col(doc_id).cast("string")), F.lit(2 * n))).repartition(n, key)
-    buckets = max(1, n // 2)  # every bucket answers every block, so there are fewer of them
+    plain = [c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    dealt = docs.withColumn(key, F.pmod(F.xxhash64(*plain), F.lit(n))).repartition(-(-n // 2), key)
 
     def symbols(rows: pa.Table) -> pa.Table:
         block = Block(text_bytes(rows.column(text)))
         x, low, high = block.parse(rounds)
-        return _deal(rows.column(key)[0].as_py(), *_once(x[block.useful(low, high, window)]), buckets)
+        return _deal(rows.column(key)[0].as_py(), *_once(_keys_of(x[block.useful(low, high, window)])), buckets, True)
 
     def windows(rows: pa.Table, shared: pa.Table) -> pa.Table:
         block = Block(text_bytes(rows.column(text)))
         x, low, high = block.parse(rounds)
-        rare = block.useful(low, high, window) & ~_among(x, _keys(shared))
+        rare = block.useful(low, high, window) & ~_among(_keys_of(x), _keys(shared, True))
         size = len(block.hash) + 1
         before = np.concatenate([[0], np.cumsum(rare)])
         s = block.starts(window)
         from_ = np.cumsum(np.bincount(low + 1, minlength=size + 1))[s]  # symbols decided by places before the window
         to = np.cumsum(np.bincount(high, minlength=size))[s + window]  # and by places before its end
         s = s[before[np.maximum(to, from_)] == before[from_]]
-        return _deal(rows.column(key)[0].as_py(), *_once(block.window_hashes(s, window)), buckets)
+        return _deal(rows.column(key)[0].as_py(), *_once(block.window_hashes(s, window)), buckets, False)
 
     def removal(rows: pa.Table, repeated: pa.Table) -> pa.Table:
         block = Block(text_bytes(rows.column(text)))
-        return finish(rows, block, repeated_words(block, _keys(repeated), window))
+        return finish(rows, block, repeated_words(block, _keys(repeated, False), window))
 
-    shared = _repeated(dealt.groupBy(key).applyInArrow(symbols, _DEALT)).withColumnRenamed("block", key)
+    shared = _repeated(dealt.groupBy(key).applyInArrow(symbols, _DEALT), True).withColumnRenamed("block", key)
     blocks = dealt.groupBy(key)
-    repeated = _repeated(blocks.cogroup(shared.groupBy(key)).applyInArrow(windows, _DEALT)).withColumnRenamed("block", key)
+    repeated = _repeated(blocks.cogroup(shared.groupBy(key)).applyInArrow(windows, _DEALT), False).withColumnRenamed("block", key)
     return blocks.cogroup(repeated.groupBy(key)).applyInArrow(removal, schema)
 
 
@@ -225,6 +276,7 @@ def digests(docs: DataFrame, window: int = 35, rounds: int = 6, doc_id: str = "d
     A word goes if a window of ``window`` words that covers it starts at another place too,
     in this or another row; windows are judged on the input. A null text has no words,
     and texts shorter than a window lose none. Repeated rows count as further places.
+    Windows count as equal if 96 bits of their words agree, 64 of one hash and 32 of another.
     """
     kind = docs.schema[doc_id].dataType.simpleString()
 

@@ -4,7 +4,7 @@ import corpus_pipeline
 from lodestone.llm import simhash
 from tests.llm.cases import words
 from tests.llm.test_shards_lists_benchmark import brute as brute_contamination
-from tests.llm.test_simhash import brute_fingerprint, brute_labels
+from tests.llm.test_similar import brute_least
 from tests.llm.test_substrings import brute as brute_repeats
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -47,8 +47,7 @@ def test_every_stage_against_brute_force(spark, tmp_path):
             gone = before.keys() - after.keys()
             assert gone <= {i for i in before if 20 <= i < 180} and len(gone) > 150
         if name == "simhash":
-            label = brute_labels([brute_fingerprint(before[i]) for i in ids])
-            assert sorted(after) == [i for k, i in enumerate(ids) if label[k] == k]
+            assert sorted(after) == [i for i, least in brute_least([(i, before[i]) for i in ids]) if i == least]
             assert 3 in after and 4 not in after and 5 not in after
         if name == "substrings":
             for i, (_, gone, _, kept) in zip(ids, brute_repeats([before[i] for i in ids], 35)):

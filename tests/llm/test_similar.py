@@ -1,7 +1,7 @@
 import random
 
 import corpus_pipeline
-from lodestone.llm import near_copies
+from lodestone.llm import simhash
 from tests.llm.cases import documents, words
 
 
@@ -54,7 +54,7 @@ def test_components_equal_brute_force_jaccard(spark):
     for seed in (1, 2):
         rows = edited(seed)
         docs = spark.createDataFrame(rows, "doc_id long, text string")
-        got = sorted(tuple(r) for r in near_copies.near_copies(docs).collect())
+        got = sorted(tuple(r) for r in simhash.similar(docs).collect())
         want = sorted(brute_least(rows))
         assert got == want and len({c for _, c in want}) < len(rows) - 30
 
@@ -62,9 +62,9 @@ def test_components_equal_brute_force_jaccard(spark):
 def test_awkward_documents(spark):
     docs = documents(spark)
     rows = [(d.doc_id, d.text) for d in docs.collect()]
-    got = [tuple(r) for r in near_copies.near_copies(docs).collect()]
+    got = [tuple(r) for r in simhash.similar(docs).collect()]
     assert sorted(map(str, got)) == sorted(map(str, brute_least(rows)))
-    assert near_copies.near_copies(docs.limit(0)).collect() == []
+    assert simhash.similar(docs.limit(0)).collect() == []
 
 
 def test_the_stage_takes_near_copies_that_simhash_misses(spark):

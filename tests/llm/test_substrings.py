@@ -64,6 +64,17 @@ def test_most_windows_hold_a_symbol():
     assert held.mean() > 0.97
 
 
+def test_keys_that_agree_in_64_bits_are_told_apart():
+    r = np.random.default_rng(3)
+    keys = substrings._keys_of(r.integers(0, 5, 400, dtype=np.uint64), r.integers(0, 20, 400, dtype=np.uint64) << np.uint64(32))
+    count = Counter(map(tuple, keys.tolist()))
+    distinct, many = substrings._once(keys)
+    assert dict(zip(map(tuple, distinct.tolist()), many.tolist())) == {k: c > 1 for k, c in count.items()}
+    known = distinct[many]
+    assert substrings._among(keys, known).tolist() == [count[tuple(k)] > 1 for k in keys.tolist()]
+    assert (substrings._unpacked(substrings._packed(keys, False), False) == keys).all()
+
+
 def same(spark, rows, window, **options):
     docs = documents(spark, list(enumerate(rows)))
     want = brute(rows, window)
