@@ -10,23 +10,24 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, decontaminate, near_copies as copies, substrings, toxicity
-from lodestone.llm.common import materialize
+from lodestone.llm import bpe, decontaminate, simhash, substrings, toxicity
+from lodestone.llm.common import bounded, materialize
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score as toxic go."""
-    return toxicity.without_toxic(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return toxicity.without_toxic(bounded(docs), toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five-word Jaccard similarity of 0.8 or more) the document with the smallest id stays."""
-    return copies.representatives(docs)
+    return simhash.without_near_copies(docs)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words of passages that stand in several places go; ``n_chars`` follows the text."""
-    return substrings.without_repeats(docs).withColumn("n_chars", F.coalesce(F.char_length("text").cast(docs.schema["n_chars"].dataType), "n_chars"))
+    """Words of passages that stand in several places go; ``n_chars``, where there is one, follows the text."""
+    kept = substrings.without_repeats(docs)
+    return kept.withColumn("n_chars", F.coalesce(F.char_length("text").cast(docs.schema["n_chars"].dataType), "n_chars")) if "n_chars" in docs.columns else kept
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
