@@ -1,9 +1,11 @@
 """Sets of word shingles, and the pairs of them that may be alike.
 
-All shingles stand in one order, common ones last. Two sets of a similarity of t or more
-share, of n shingles, the first l of their common ones among the first ``n - ceil(t n) + l``
-of each; l grows with n, so that sets that have one passage in common are rarely
-compared and none that are alike are missed. Links are verified on the texts' whole sets.
+Spark counts all shingles; a set of n that has fewer than ``ceil(t n)`` in common with all
+others together is alike to none and goes. Of the rest, shingles stand in one order, those
+that stand nowhere else before the others. Two sets of a similarity of t or more share the
+first l of their common shingles among the first ``n - ceil(t n) + l`` of each; l grows
+with n, so that sets that have one passage in common are rarely compared and none that are
+alike are missed. Links are verified on the texts' whole sets.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import ASCII_LOWER, in_chunks, materialize, shuffle_partitions, text_bytes
+from lodestone.llm.keys import BLOCK_BYTES, BUCKET_BYTES, DEALT, deal, keys_in, keys_of, once_each, repeated
 
 
 def hashes(text: bytes, size: int, seed: int = 42) -> np.ndarray:
@@ -29,58 +32,61 @@ def hashes(text: bytes, size: int, seed: int = 42) -> np.ndarray:
     return np.array([h(joined % s, seed) for s in zip(*(w[i:] for i in range(size)))], np.uint64)
 
 
-def _prefix(n: int, t: Fraction) -> int:
-    """How many first shingles of n are looked at."""
-    return n + -t.numerator * n // t.denominator + _shared(n)
+def _least(n: int, t: Fraction) -> int:
+    """How many shingles of n a set that is alike has too."""
+    return -(-t.numerator * n // t.denominator)
 
 
 def _shared(n):
-    """How many of them a set that is alike has too."""
+    """How many of a set's first shingles a set that is alike has too."""
     return 1 + n // 20
 
 
-def _common(docs: DataFrame, size: int, share: int = 20, most: int = 1 << 15) -> dict[int, int]:
-    """Frequent shingles of one row in ``share``, with counts. They decide the order only, never the result."""
-    some = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(share)) == 0).select("text")
+def survivors(texts: DataFrame, size: int, t: Fraction, fingerprint) -> DataFrame:
+    """``k, n, fp, text, prefix`` of the texts ``k, text`` that may have a partner: size and
+    fingerprint of the set, and its first shingles that stand in other texts too.
 
-    def run(batches):
-        for b in in_chunks(batches, "text"):
-            key, c = np.unique(np.concatenate([np.unique(hashes(t, size)) for t in text_bytes(b.column("text"))]), return_counts=True)
-            often = c >= max(2, b.num_rows // 500)
-            yield pa.RecordBatch.from_arrays([pa.array(key[often].view(np.int64)), pa.array(c[often])], names=["token", "c"])
-
-    rows = some.mapInArrow(run, "token long, c long").groupBy("token").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "token").limit(most).collect()
-    return {r["token"]: r["c"] for r in rows}
-
-
-def sets(docs: DataFrame, size: int, t: Fraction, fingerprint) -> DataFrame:
-    """``doc_id, text, k, n, fp, prefix``: the set's hash, size and fingerprint, and its first shingles."""
-    counts = _common(docs, size)
-    common = np.array(sorted(counts), dtype=np.int64)
-    times = np.array([counts[x] for x in common.tolist()], dtype=np.int64)
-    kind = docs.schema["doc_id"].dataType.simpleString()
-
-    def run(batches):
-        for b in in_chunks(batches, "text"):
-            keys, sizes, prints, prefixes = [], [], [], []
-            for x in text_bytes(b.column("text")):
-                h = hashes(x, size)
-                s = np.unique(h)
-                n = len(s)
-                keys.append(xxhash.xxh64_intdigest(s.tobytes()))
-                sizes.append(n)
-                prints.append(fingerprint(h) if x.strip() else 0)
-                s = s.view(np.int64)
-                if len(common):
-                    at = np.minimum(np.searchsorted(common, s), len(common) - 1)
-                    s = s[np.lexsort((s, np.where(common[at] == s, times[at], 0)))]
-                prefixes.append(s[: _prefix(n, t)])
-            ends = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
-            prefix = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefixes)))
-            signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text"), signed(keys), pa.array(sizes, pa.int32()), signed(prints), prefix], names=["doc_id", "text", "k", "n", "fp", "prefix"])
-
-    return docs.mapInArrow(run, f"doc_id {kind}, text string, k long, n int, fp long, prefix array<long>")
+    All shingles of all texts are counted, in blocks of texts first. A set may be alike
+    to another only if so many of its shingles stand elsewhere as the two have to share.
+    """
+    total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n_blocks, buckets = 1 + total // BLOCK_BYTES, 1 + total // BUCKET_BYTES
+
+    def first_seen(batches):  # a task sends each text once, however many copies it meets
+        seen = set()
+        for b in batches:
+            keep = []
+            for k in b.column("k").to_pylist():
+                keep.append(k not in seen)
+                seen.add(k)
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    once = texts.mapInArrow(first_seen, "k long, text string").withColumn("block", F.pmod(F.xxhash64("k"), F.lit(n_blocks)))
+    blocks = once.repartition(-(-n_blocks // 2), "block").groupBy("block")
+
+    def distinct(rows: pa.Table) -> list[tuple[int, str, np.ndarray]]:
+        every = dict(zip(rows.column("k").to_pylist(), rows.column("text").to_pylist()))
+        return [(k, x, hashes(x.encode(), size)) for k, x in every.items()]
+
+    def count(rows: pa.Table) -> pa.Table:
+        every = np.concatenate([np.unique(h) for _, _, h in distinct(rows)])
+        return deal(rows.column("block")[0].as_py(), *once_each(keys_of(every)), buckets, True)
+
+    def choose(rows: pa.Table, shared: pa.Table) -> pa.Table:
+        known, out = keys_in(shared, True)["a"], []
+        for k, x, h in distinct(rows):
+            s = np.unique(h)
+            n, least = len(s), _least(len(s), t)
+            at = np.minimum(np.searchsorted(known, s), max(0, len(known) - 1))
+            s = s[known[at] == s] if len(known) else s[:0]
+            if len(s) >= least:
+                out.append((k, n, fingerprint(h) if x.strip() else 0, x, s[: len(s) - least + _shared(n)].view(np.int64)))
+        fp = np.array([o[2] for o in out], np.uint64).view(np.int64)
+        return pa.table({"k": pa.array([o[0] for o in out], pa.int64()), "n": pa.array([o[1] for o in out], pa.int32()), "fp": pa.array(fp), "text": pa.array([o[3] for o in out], pa.string()), "prefix": pa.array([o[4] for o in out], pa.list_(pa.int64()))})
+
+    shared = repeated(blocks.applyInArrow(count, DEALT), True)
+    made = blocks.cogroup(shared.groupBy("block")).applyInArrow(choose, "k long, n int, fp long, text string, prefix array<long>")
+    return materialize(made, "survivors")[0]
 
 
 def _ends(x: np.ndarray, *more: np.ndarray) -> np.ndarray:
@@ -154,12 +160,11 @@ def candidates(postings: DataFrame, t: Fraction, across: bool) -> DataFrame:
     return met.groupBy("a", "b").agg(F.sum("c").alias("c"), F.max("need").alias("need")).where("c >= need").select("a", "b")
 
 
-def verified(pairs: DataFrame, rows: DataFrame, size: int, t: Fraction) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, size: int, t: Fraction) -> DataFrame:
     """The distinct pairs ``a, b`` whose whole sets have a Jaccard similarity of ``t`` or more, as a table."""
     pairs, _ = materialize(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     asked = pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct()
-    texts = rows.select("k", "text").join(asked, "k", "left_semi").groupBy("k").agg(F.first("text").alias("text"))
-    texts, _ = materialize(texts, "texts")
+    texts = texts.select("k", "text").join(asked, "k", "left_semi")
     left = texts.select(F.col("k").alias("b"), F.col("text").alias("text_b"))
     right = texts.select(F.col("k").alias("a"), F.col("text").alias("text_a"))
     both = pairs.join(left, "b").join(right, "a").select("a", "b", "text_a", "text_b")

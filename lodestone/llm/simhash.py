@@ -203,36 +203,36 @@ def similar(docs: DataFrame, similarity: float = 0.8, size: int = 5, radius: int
     """``doc_id, component_id`` for every row: near copies by the fingerprints, whole by their shingles.
 
     Texts link at a Jaccard similarity of ``similarity`` or more between their sets of
-    ``size``-word shingles (by 64-bit hashes). The Gray-order index gives the pairs within
-    ``radius`` bits; at such a similarity fingerprints may differ in far more bits, so
-    sets that still lie in two components and share enough of their rarest shingles
-    are compared too. Every link is verified, and none is missed. Texts without words are
-    alike. The component id is the smallest doc_id reachable, nulls left aside (null if all
-    ids reached are null). Only the order of the shingles rests on a sample.
+    ``size``-word shingles (texts and shingles by 64-bit hashes). The Gray-order index gives
+    the pairs within ``radius`` bits; at such a similarity fingerprints may differ in far
+    more bits, so sets that still lie in two components and share enough of their first
+    shingles are compared too. Every link is verified, and none is missed. Texts without
+    words are alike. The component id is the smallest doc_id reachable, nulls left aside
+    (null if all ids reached are null).
     """
     t = Fraction(similarity).limit_denominator(1000)
-    picked = bounded(docs).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    rows, _ = materialize(shingles.sets(picked, size, t, bits), "sets")
-    nodes = rows.groupBy("k").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("prefix").alias("prefix"), F.count(F.lit(1)).alias("copies"))
-    nodes, _ = materialize(nodes, "nodes")
-    top = nodes.groupBy("fp").agg(F.min("k").alias("top"))
+    content = F.coalesce(F.col(text), F.lit(""))
+    picked = bounded(docs).select(F.col(doc_id).alias("doc_id"), F.xxhash64(content).alias("k"), content.alias("text"))
+    nodes, _ = materialize(picked.groupBy("k").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies")), "nodes")
+    some = shingles.survivors(picked.select("k", "text"), size, t, bits)
+    top = some.groupBy("fp").agg(F.min("k").alias("top"))
     near = links(top.select("fp"), radius)
     for end in ("a", "b"):
         near = near.join(top.select(F.col("fp").alias(end), F.col("top").alias(f"{end}_top")), end)
-    same = nodes.join(top, "fp").where("k <> top").select(F.col("top").alias("a"), F.col("k").alias("b"))
-    postings = nodes.select("k", "n", "copies", F.explode("prefix").alias("token"))
+    same = some.join(top, "fp").where("k <> top").select(F.col("top").alias("a"), F.col("k").alias("b"))
+    postings = some.select("k", "n", F.explode("prefix").alias("token")).join(nodes.select("k", "copies"), "k")
     meeting = postings.groupBy("token").count().where("count > 1").select("token")
     postings, _ = materialize(postings.join(meeting, "token"), "postings")
     beside = shingles.candidates(postings.withColumn("label", F.col("k")), t, False)
-    found = shingles.verified(near.select(F.col("a_top").alias("a"), F.col("b_top").alias("b")).unionByName(same).unionByName(beside), rows, size, t)
+    found = shingles.verified(near.select(F.col("a_top").alias("a"), F.col("b_top").alias("b")).unionByName(same).unionByName(beside), some, size, t)
     labels = graph.components(found)
     known = postings.join(labels, postings["k"] == labels["node"], "left").withColumn("label", F.coalesce("label", "k")).drop("node")
-    rest = shingles.verified(shingles.candidates(known, t, True), rows, size, t)
+    rest = shingles.verified(shingles.candidates(known, t, True), some, size, t)
     labels = graph.components(found.unionByName(rest))
     known = nodes.join(labels, nodes["k"] == labels["node"], "left").select("k", "first", F.coalesce("label", "k").alias("label"))
     least = known.groupBy("label").agg(F.min("first").alias("component_id"))
     of = known.select("k", "label").join(least, "label").select("k", "component_id")
-    return rows.select("doc_id", "k").join(of, "k").select("doc_id", "component_id")
+    return picked.select("doc_id", "k").join(of, "k").select("doc_id", "component_id")
 
 
 def _first_of_each(docs: DataFrame, found: DataFrame, doc_id: str) -> DataFrame:

@@ -25,12 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import bounded, text_bytes
+from lodestone.llm.keys import BLOCK_BYTES, BUCKET_BYTES, DEALT, among, deal, keys_in, keys_of, once_each, repeated
 
 _U = np.uint64
 _STEP = 0x9E3779B97F4A7C15
 _BASE, _BASE2 = 0xD1B54A32D192ED03, 0xAEF17502108EF2D9  # odd, so they have inverses modulo 2^64
-#: Bytes of text in a block of documents, and for each bucket of keys.
-BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 32 << 20
+
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -101,19 +101,7 @@ class Block:
             total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(words) * down)])
             return _mix((total[s + window] - total[s]) * up[s])
 
-        return _keys_of(by(self.hash, _BASE), by(self.other, _BASE2))
-
-
-#: A key is 64 bits that it is dealt by, and 32 that tell apart what agrees in them.
-KEY = np.dtype([("a", "<u8"), ("b", "<u4")])
-
-
-def _keys_of(a: np.ndarray, b: np.ndarray | None = None) -> np.ndarray:
-    out = np.zeros(len(a), KEY)
-    out["a"] = a
-    if b is not None:
-        out["b"] = (b >> _U(32)).astype(np.uint32)
-    return out
+        return keys_of(by(self.hash, _BASE), by(self.other, _BASE2))
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -122,99 +110,10 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
-def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """An order of the keys, and where in it each distinct key begins."""
-    order = np.argsort(keys["a"], kind="stable")
-    a, b = keys["a"][order], keys["b"][order]
-    same = a[1:] == a[:-1]
-    if (same & (b[1:] != b[:-1])).any():
-        order = np.lexsort((keys["b"], keys["a"]))
-        a, b = keys["a"][order], keys["b"][order]
-    new = np.ones(len(keys), bool)
-    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    return order, np.flatnonzero(new)
-
-
-def _once(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys in order, and whether each stood there more than once."""
-    order, first = _runs(keys)
-    return keys[order[first]], np.diff(first, append=len(keys)) > 1
-
-
-def _deal(block: int, keys: np.ndarray, many: np.ndarray, buckets: int, narrow: bool) -> pa.Table:
-    """A row ``bucket, block, keys, many`` for each bucket of key ranges; narrow keys have their 64 bits only."""
-    cuts = np.searchsorted(keys["a"], np.arange(1, buckets, dtype=np.uint64) * _U(2**64 // max(2, buckets)))
-    edges = [0, *cuts.tolist(), len(keys)]
-    some = [(b, a, z) for b, (a, z) in enumerate(zip(edges, edges[1:])) if a < z]
-    return pa.table(
-        {
-            "bucket": pa.array([b for b, _, _ in some], pa.int32()),
-            "block": pa.array([block] * len(some), pa.int64()),
-            "keys": pa.array([_packed(keys[a:z], narrow) for _, a, z in some], pa.binary()),
-            "many": pa.array([np.packbits(many[a:z]).tobytes() for _, a, z in some], pa.binary()),
-        }
-    )
-
-
-_DEALT = "bucket int, block long, keys binary, many binary"
-
-
-def _packed(keys: np.ndarray, narrow: bool) -> bytes:
-    return keys["a"].tobytes() if narrow else keys["a"].tobytes() + keys["b"].tobytes()
-
-
-def _unpacked(x: bytes, narrow: bool) -> np.ndarray:
-    n = len(x) // (8 if narrow else 12)
-    out = np.zeros(n, KEY)
-    out["a"] = np.frombuffer(x, "<u8", n)
-    if not narrow:
-        out["b"] = np.frombuffer(x, "<u4", n, 8 * n)
-    return out
-
-
-def _repeated(dealt: DataFrame, narrow: bool) -> DataFrame:
-    """For each block, those of its keys that stand more than once in all blocks: ``block, keys``."""
-
-    def run(table: pa.Table) -> pa.Table:
-        keys = [_unpacked(x, narrow) for x in table.column("keys").to_pylist()]
-        many = [np.unpackbits(np.frombuffer(m, np.uint8), count=len(k)) for m, k in zip(table.column("many").to_pylist(), keys)]
-        every = np.concatenate(keys)
-        order, first = _runs(every)
-        count = np.add.reduceat(1 + np.concatenate(many)[order].astype(np.int64), first)
-        good = np.empty(len(every), bool)
-        good[order] = np.repeat(count > 1, np.diff(first, append=len(every)))
-        ends = np.cumsum([0, *map(len, keys)])
-        kept = [_packed(k[good[a:z]], narrow) for k, a, z in zip(keys, ends, ends[1:])]
-        some = [i for i, k in enumerate(kept) if k]
-        return pa.table({"block": table.column("block").take(pa.array(some, pa.int64())), "keys": pa.array([kept[i] for i in some], pa.binary())})
-
-    return dealt.groupBy("bucket").applyInArrow(run, "block long, keys binary")
-
-
-def _keys(table: pa.Table, narrow: bool) -> np.ndarray:
-    keys = np.concatenate([np.empty(0, KEY), *(_unpacked(x, narrow) for x in table.column("keys").to_pylist())])
-    return keys[_runs(keys)[0]]
-
-
-def _among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """Which of x are among the sorted known keys."""
-    out = np.zeros(len(x), bool)
-    at = np.searchsorted(known["a"], x["a"])
-    left = np.flatnonzero(at < len(known))
-    while len(left):  # a second round only for keys that agree in 64 bits and not in 32
-        there = known[at[left]]
-        equal = there["a"] == x["a"][left]
-        out[left] |= equal & (there["b"] == x["b"][left])
-        left = left[equal & ~out[left]]
-        at[left] += 1
-        left = left[at[left] < len(known)]
-    return out
-
-
-def repeated_words(block: Block, repeated: np.ndarray, window: int) -> np.ndarray:
+def repeated_words(block: Block, known: np.ndarray, window: int) -> np.ndarray:
     """Which places lie inside a repeated window."""
     s = block.starts(window)
-    s = s[_among(block.window_hashes(s, window), repeated)]
+    s = s[among(block.window_hashes(s, window), known)]
     edge = np.zeros(len(block.hash) + 1, np.int64)
     np.add.at(edge, s, 1)
     np.add.at(edge, s + window, -1)
@@ -238,28 +137,28 @@ def _passes(docs: DataFrame, doc_id: str, text: str, window: int, rounds: int, f
     def symbols(rows: pa.Table) -> pa.Table:
         block = Block(text_bytes(rows.column(text)))
         x, low, high = block.parse(rounds)
-        return _deal(rows.column(key)[0].as_py(), *_once(_keys_of(x[block.useful(low, high, window)])), buckets, True)
+        return deal(rows.column(key)[0].as_py(), *once_each(keys_of(x[block.useful(low, high, window)])), buckets, True)
 
     def windows(rows: pa.Table, shared: pa.Table) -> pa.Table:
         block = Block(text_bytes(rows.column(text)))
         x, low, high = block.parse(rounds)
-        rare = block.useful(low, high, window) & ~_among(_keys_of(x), _keys(shared, True))
+        rare = block.useful(low, high, window) & ~among(keys_of(x), keys_in(shared, True))
         size = len(block.hash) + 1
         before = np.concatenate([[0], np.cumsum(rare)])
         s = block.starts(window)
         from_ = np.cumsum(np.bincount(low + 1, minlength=size + 1))[s]  # symbols decided by places before the window
         to = np.cumsum(np.bincount(high, minlength=size))[s + window]  # and by places before its end
         s = s[before[np.maximum(to, from_)] == before[from_]]
-        return _deal(rows.column(key)[0].as_py(), *_once(block.window_hashes(s, window)), buckets, False)
+        return deal(rows.column(key)[0].as_py(), *once_each(block.window_hashes(s, window)), buckets, False)
 
-    def removal(rows: pa.Table, repeated: pa.Table) -> pa.Table:
+    def removal(rows: pa.Table, again: pa.Table) -> pa.Table:
         block = Block(text_bytes(rows.column(text)))
-        return finish(rows, block, repeated_words(block, _keys(repeated, False), window))
+        return finish(rows, block, repeated_words(block, keys_in(again, False), window))
 
-    shared = _repeated(dealt.groupBy(key).applyInArrow(symbols, _DEALT), True).withColumnRenamed("block", key)
+    shared = repeated(dealt.groupBy(key).applyInArrow(symbols, DEALT), True).withColumnRenamed("block", key)
     blocks = dealt.groupBy(key)
-    repeated = _repeated(blocks.cogroup(shared.groupBy(key)).applyInArrow(windows, _DEALT), False).withColumnRenamed("block", key)
-    return blocks.cogroup(repeated.groupBy(key)).applyInArrow(removal, schema)
+    again = repeated(blocks.cogroup(shared.groupBy(key)).applyInArrow(windows, DEALT), False).withColumnRenamed("block", key)
+    return blocks.cogroup(again.groupBy(key)).applyInArrow(removal, schema)
 
 
 def _kept(block: Block, removed: np.ndarray):

@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from lodestone.llm import substrings
+from lodestone.llm import keys, substrings
 from tests.llm.cases import documents, texts, words
 
 
@@ -66,13 +66,13 @@ def test_most_windows_hold_a_symbol():
 
 def test_keys_that_agree_in_64_bits_are_told_apart():
     r = np.random.default_rng(3)
-    keys = substrings._keys_of(r.integers(0, 5, 400, dtype=np.uint64), r.integers(0, 20, 400, dtype=np.uint64) << np.uint64(32))
-    count = Counter(map(tuple, keys.tolist()))
-    distinct, many = substrings._once(keys)
+    some = keys.keys_of(r.integers(0, 5, 400, dtype=np.uint64), r.integers(0, 20, 400, dtype=np.uint64) << np.uint64(32))
+    count = Counter(map(tuple, some.tolist()))
+    distinct, many = keys.once_each(some)
     assert dict(zip(map(tuple, distinct.tolist()), many.tolist())) == {k: c > 1 for k, c in count.items()}
     known = distinct[many]
-    assert substrings._among(keys, known).tolist() == [count[tuple(k)] > 1 for k in keys.tolist()]
-    assert (substrings._unpacked(substrings._packed(keys, False), False) == keys).all()
+    assert keys.among(some, known).tolist() == [count[tuple(k)] > 1 for k in some.tolist()]
+    assert (keys.unpacked(keys.packed(some, False), False) == some).all()
 
 
 def same(spark, rows, window, **options):
