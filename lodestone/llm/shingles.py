@@ -43,8 +43,9 @@ def _shared(n):
 
 
 def survivors(texts: DataFrame, size: int, t: Fraction, fingerprint) -> DataFrame:
-    """``k, n, fp, text, prefix`` of the texts ``k, text`` that may have a partner: size and
-    fingerprint of the set, and its first shingles that stand in other texts too.
+    """``k, n, fp, least, tokens`` of the texts ``k, text`` that may have a partner: size and
+    fingerprint of the set, how many shingles a partner has too, and those, in order, that
+    stand in other texts.
 
     All shingles of all texts are counted, in blocks of texts first. A set may be alike
     to another only if so many of its shingles stand elsewhere as the two have to share.
@@ -80,15 +81,23 @@ def survivors(texts: DataFrame, size: int, t: Fraction, fingerprint) -> DataFram
             at = np.minimum(np.searchsorted(known, s), max(0, len(known) - 1))
             s = s[known[at] == s] if len(known) else s[:0]
             if len(s) >= least:
-                out.append((k, n, fingerprint(h) if x.strip() else 0, x, s[: len(s) - least + _shared(n)].view(np.int64)))
+                out.append((k, n, fingerprint(h) if x.strip() else 0, least, s.view(np.int64)))
         fp = np.array([o[2] for o in out], np.uint64).view(np.int64)
-        return pa.table({"k": pa.array([o[0] for o in out], pa.int64()), "n": pa.array([o[1] for o in out], pa.int32()), "fp": pa.array(fp), "text": pa.array([o[3] for o in out], pa.string()), "prefix": pa.array([o[4] for o in out], pa.list_(pa.int64()))})
+        return pa.table({"k": pa.array([o[0] for o in out], pa.int64()), "n": pa.array([o[1] for o in out], pa.int32()), "fp": pa.array(fp), "least": pa.array([o[3] for o in out], pa.int32()), "tokens": pa.array([o[4] for o in out], pa.list_(pa.int64()))})
 
     shared = repeated(blocks.applyInArrow(count, DEALT), True)
-    made = blocks.cogroup(shared.groupBy("block")).applyInArrow(choose, "k long, n int, fp long, text string, prefix array<long>")
+    made = blocks.cogroup(shared.groupBy("block")).applyInArrow(choose, "k long, n int, fp long, least int, tokens array<long>")
     return materialize(made, "survivors")[0]
 
 
+def postings(some: DataFrame) -> DataFrame:
+    """``token, k, n, before, first`` of the sets' first shingles: the shingle before (itself for
+    the first one), and whether it is among the few of which a partner has one at least."""
+    spare = F.size("tokens") - F.col("least")
+    each = some.select("k", "n", spare.alias("spare"), F.slice("tokens", F.lit(1), spare + F.floor(F.col("n") / 20).cast("int") + 1).alias("x")).select("k", "n", "spare", "x", F.posexplode("x").alias("at", "token"))
+    return each.select("token", "k", "n", F.when(F.col("at") > 0, F.get("x", F.col("at") - 1)).otherwise(F.col("token")).alias("before"), (F.col("at") <= F.col("spare")).alias("first"))
+
+
 def _ends(x: np.ndarray, *more: np.ndarray) -> np.ndarray:
     """For each place the end of its run of equal values."""
     new = np.ones(len(x), bool)
@@ -122,19 +131,22 @@ def _across(token: np.ndarray, label: np.ndarray, chunk: int = 1 << 20):
 
 
 def candidates(postings: DataFrame, t: Fraction, across: bool) -> DataFrame:
-    """Pairs ``a < b`` of sets that share enough first shingles, and whose sizes are near enough, to reach ``t``.
+    """Pairs ``a < b`` of sets that share first shingles, and whose sizes are near enough, to reach ``t``.
 
-    ``across``: all such pairs of different labels; else, to begin with, those that stand
-    side by side in shingles' rows.
+    ``across``: all such pairs of different labels, each where a run of shared shingles
+    begins; else, to begin with, those that stand side by side in enough shingles' rows.
     """
-    columns = ["token", "label", "k", "n", "copies"]
+    columns = ["token", "label", "k", "n", "copies", "before"]
+    postings = postings.where("first") if across else postings
     dealt = postings.select(*columns).repartition(shuffle_partitions(postings.sparkSession), "token").sortWithinPartitions("token", "label" if across else "n", "n", "k")
     num, den = t.numerator, t.denominator
 
     def pairs(x):
-        token, label, k, n, copies = x
+        token, label, k, n, copies, before = x
         for i, j in _across(token, label) if across else _near(token, copies):
             good = (den * np.minimum(n[i], n[j]) >= num * np.maximum(n[i], n[j])) & (k[i] != k[j])
+            if across:  # they have met at the shingle before
+                good &= (before[i] != before[j]) | (before[i] == token[i])
             i, j = i[good], j[good]
             a, b, need = np.minimum(k[i], k[j]), np.maximum(k[i], k[j]), _shared(np.minimum(n[i], n[j]))
             order = np.lexsort((b, a))
@@ -157,29 +169,24 @@ def candidates(postings: DataFrame, t: Fraction, across: bool) -> DataFrame:
             yield from pairs(np.concatenate(held, axis=1))
 
     met = dealt.mapInArrow(run, "a long, b long, c long, need long")
+    if across:
+        return met.select("a", "b").distinct()
     return met.groupBy("a", "b").agg(F.sum("c").alias("c"), F.max("need").alias("need")).where("c >= need").select("a", "b")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, size: int, t: Fraction) -> DataFrame:
-    """The distinct pairs ``a, b`` whose whole sets have a Jaccard similarity of ``t`` or more, as a table."""
-    pairs, _ = materialize(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct()
-    texts = texts.select("k", "text").join(asked, "k", "left_semi")
-    left = texts.select(F.col("k").alias("b"), F.col("text").alias("text_b"))
-    right = texts.select(F.col("k").alias("a"), F.col("text").alias("text_a"))
-    both = pairs.join(left, "b").join(right, "a").select("a", "b", "text_a", "text_b")
+def verified(pairs: DataFrame, some: DataFrame, t: Fraction) -> DataFrame:
+    """The distinct pairs ``a, b`` of survivors whose sets have a Jaccard similarity of ``t`` or more, as a table."""
+    pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    side = lambda k: some.select(F.col("k").alias(k), F.col("n").alias(f"n_{k}"), F.col("tokens").alias(f"tokens_{k}"))
+    both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "n_a", "n_b", "tokens_a", "tokens_b")
 
     def run(batches):
-        last, known = None, None
         for batch in batches:
-            for b in in_chunks([batch], "text_a"):
-                good = []
-                for k, x, y in zip(b.column("a").to_pylist(), text_bytes(b.column("text_a")), text_bytes(b.column("text_b"))):
-                    if k != last:
-                        last, known = k, np.unique(hashes(x, size))
-                    other = np.unique(hashes(y, size))
-                    same = len(np.intersect1d(known, other, assume_unique=True))
-                    good.append(t.denominator * same >= t.numerator * (len(known) + len(other) - same))
-                yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+            size = np.asarray(batch.column("n_a")).astype(np.int64) + np.asarray(batch.column("n_b"))
+            (at, x), (to, y) = ((np.asarray(c.offsets), np.asarray(c.values)) for c in (batch.column("tokens_a"), batch.column("tokens_b")))
+            same = [len(np.intersect1d(x[at[i] : at[i + 1]], y[to[i] : to[i + 1]], assume_unique=True)) for i in range(batch.num_rows)]
+            same = np.array(same, np.int64)
+            good = t.denominator * same >= t.numerator * (size - same)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(good))
 
     return materialize(both.mapInArrow(run, "a long, b long"), "links")[0]

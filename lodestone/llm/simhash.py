@@ -220,14 +220,14 @@ def similar(docs: DataFrame, similarity: float = 0.8, size: int = 5, radius: int
     for end in ("a", "b"):
         near = near.join(top.select(F.col("fp").alias(end), F.col("top").alias(f"{end}_top")), end)
     same = some.join(top, "fp").where("k <> top").select(F.col("top").alias("a"), F.col("k").alias("b"))
-    postings = some.select("k", "n", F.explode("prefix").alias("token")).join(nodes.select("k", "copies"), "k")
+    postings = shingles.postings(some).join(nodes.select("k", "copies"), "k")
     meeting = postings.groupBy("token").count().where("count > 1").select("token")
     postings, _ = materialize(postings.join(meeting, "token"), "postings")
     beside = shingles.candidates(postings.withColumn("label", F.col("k")), t, False)
-    found = shingles.verified(near.select(F.col("a_top").alias("a"), F.col("b_top").alias("b")).unionByName(same).unionByName(beside), some, size, t)
+    found = shingles.verified(near.select(F.col("a_top").alias("a"), F.col("b_top").alias("b")).unionByName(same).unionByName(beside), some, t)
     labels = graph.components(found)
     known = postings.join(labels, postings["k"] == labels["node"], "left").withColumn("label", F.coalesce("label", "k")).drop("node")
-    rest = shingles.verified(shingles.candidates(known, t, True), some, size, t)
+    rest = shingles.verified(shingles.candidates(known, t, True), some, t)
     labels = graph.components(found.unionByName(rest))
     known = nodes.join(labels, nodes["k"] == labels["node"], "left").select("k", "first", F.coalesce("label", "k").alias("label"))
     least = known.groupBy("label").agg(F.min("first").alias("component_id"))
