@@ -42,10 +42,15 @@ def _shared(n):
     return 1 + n // 20
 
 
+def _parity(tokens: np.ndarray) -> bytes:
+    odd = np.bincount((tokens.view(np.uint64) >> np.uint64(55)).astype(np.int64), minlength=512) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
 def survivors(texts: DataFrame, size: int, t: Fraction, fingerprint) -> DataFrame:
-    """``k, n, fp, least, tokens`` of the texts ``k, text`` that may have a partner: size and
-    fingerprint of the set, how many shingles a partner has too, and those, in order, that
-    stand in other texts.
+    """``k, n, fp, least, tokens, parity`` of the texts ``k, text`` that may have a partner: size and
+    fingerprint of the set, how many shingles a partner has too, those, in order, that
+    stand in other texts, and for each of 512 ranges whether it holds an odd number of them.
 
     All shingles of all texts are counted, in blocks of texts first. A set may be alike
     to another only if so many of its shingles stand elsewhere as the two have to share.
@@ -83,19 +88,20 @@ def survivors(texts: DataFrame, size: int, t: Fraction, fingerprint) -> DataFram
             if len(s) >= least:
                 out.append((k, n, fingerprint(h) if x.strip() else 0, least, s.view(np.int64)))
         fp = np.array([o[2] for o in out], np.uint64).view(np.int64)
-        return pa.table({"k": pa.array([o[0] for o in out], pa.int64()), "n": pa.array([o[1] for o in out], pa.int32()), "fp": pa.array(fp), "least": pa.array([o[3] for o in out], pa.int32()), "tokens": pa.array([o[4] for o in out], pa.list_(pa.int64()))})
+        return pa.table({"k": pa.array([o[0] for o in out], pa.int64()), "n": pa.array([o[1] for o in out], pa.int32()), "fp": pa.array(fp), "least": pa.array([o[3] for o in out], pa.int32()), "tokens": pa.array([o[4] for o in out], pa.list_(pa.int64())), "parity": pa.array([_parity(o[4]) for o in out], pa.binary())})
 
     shared = repeated(blocks.applyInArrow(count, DEALT), True)
-    made = blocks.cogroup(shared.groupBy("block")).applyInArrow(choose, "k long, n int, fp long, least int, tokens array<long>")
+    made = blocks.cogroup(shared.groupBy("block")).applyInArrow(choose, "k long, n int, fp long, least int, tokens array<long>, parity binary")
     return materialize(made, "survivors")[0]
 
 
 def postings(some: DataFrame) -> DataFrame:
-    """``token, k, n, before, first`` of the sets' first shingles: the shingle before (itself for
-    the first one), and whether it is among the few of which a partner has one at least."""
+    """``token, k, n, before, rest, first`` of the sets' first shingles: the shingle before (itself
+    for the first one), how many there are from this one on, and whether it is among the few
+    of which a partner has one at least."""
     spare = F.size("tokens") - F.col("least")
-    each = some.select("k", "n", spare.alias("spare"), F.slice("tokens", F.lit(1), spare + F.floor(F.col("n") / 20).cast("int") + 1).alias("x")).select("k", "n", "spare", "x", F.posexplode("x").alias("at", "token"))
-    return each.select("token", "k", "n", F.when(F.col("at") > 0, F.get("x", F.col("at") - 1)).otherwise(F.col("token")).alias("before"), (F.col("at") <= F.col("spare")).alias("first"))
+    each = some.select("k", "n", spare.alias("spare"), F.size("tokens").alias("c"), F.slice("tokens", F.lit(1), spare + F.floor(F.col("n") / 20).cast("int") + 1).alias("x")).select("k", "n", "c", "spare", "x", F.posexplode("x").alias("at", "token"))
+    return each.select("token", "k", "n", F.when(F.col("at") > 0, F.get("x", F.col("at") - 1)).otherwise(F.col("token")).alias("before"), (F.col("c") - F.col("at")).alias("rest"), "c", (F.col("at") <= F.col("spare")).alias("first"))
 
 
 def _ends(x: np.ndarray, *more: np.ndarray) -> np.ndarray:
@@ -118,7 +124,7 @@ def _near(token: np.ndarray, copies: np.ndarray):
     yield np.repeat(top, stop[start] - start), i
 
 
-def _across(token: np.ndarray, label: np.ndarray, chunk: int = 1 << 20):
+def _across(token: np.ndarray, label: np.ndarray, chunk: int = 1 << 18):
     """All pairs of a shingle's rows with different labels, which stand in order."""
     first, last = _ends(token, label), _ends(token)
     count = last - first
@@ -133,20 +139,28 @@ def _across(token: np.ndarray, label: np.ndarray, chunk: int = 1 << 20):
 def candidates(postings: DataFrame, t: Fraction, across: bool) -> DataFrame:
     """Pairs ``a < b`` of sets that share first shingles, and whose sizes are near enough, to reach ``t``.
 
-    ``across``: all such pairs of different labels, each where a run of shared shingles
-    begins; else, to begin with, those that stand side by side in enough shingles' rows.
+    ``across``: all such pairs of different labels (with ``parity``), each where a run of shared
+    shingles begins, if what follows can still be enough and the parities leave room for it: they
+    differ in no more ranges than there are shingles of one set only. Else, to begin
+    with, pairs that stand side by side in enough shingles' rows.
     """
-    columns = ["token", "label", "k", "n", "copies", "before"]
+    columns = ["token", "label", "k", "n", *(("before", "rest", "c") if across else ("copies",))]
     postings = postings.where("first") if across else postings
-    dealt = postings.select(*columns).repartition(shuffle_partitions(postings.sparkSession), "token").sortWithinPartitions("token", "label" if across else "n", "n", "k")
+    dealt = postings.select(*columns, *(["parity"] if across else [])).repartition(shuffle_partitions(postings.sparkSession), "token").sortWithinPartitions("token", "label" if across else "n", "n", "k")
     num, den = t.numerator, t.denominator
 
-    def pairs(x):
-        token, label, k, n, copies, before = x
-        for i, j in _across(token, label) if across else _near(token, copies):
+    def pairs(x, parity):
+        token, label, k, n, *more = x
+        reaches = lambda same, i, j: den * same >= num * (n[i] + n[j] - same)
+        for i, j in _across(token, label) if across else _near(token, more[0]):
             good = (den * np.minimum(n[i], n[j]) >= num * np.maximum(n[i], n[j])) & (k[i] != k[j])
-            if across:  # they have met at the shingle before
-                good &= (before[i] != before[j]) | (before[i] == token[i])
+            if across:
+                before, rest, c = more
+                good &= (before[i] != before[j]) | (before[i] == token[i])  # else they have met at the one before
+                good &= reaches(np.minimum(rest[i], rest[j]), i, j)
+                i, j = i[good], j[good]
+                apart = np.bitwise_count(parity[i] ^ parity[j]).sum(1, dtype=np.int64)
+                good = reaches((c[i] + c[j] - apart) // 2, i, j)
             i, j = i[good], j[good]
             a, b, need = np.minimum(k[i], k[j]), np.maximum(k[i], k[j]), _shared(np.minimum(n[i], n[j]))
             order = np.lexsort((b, a))
@@ -155,18 +169,19 @@ def candidates(postings: DataFrame, t: Fraction, across: bool) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(b[first]), pa.array(np.diff(first, append=len(a))), pa.array(need[first])], names=["a", "b", "c", "need"])
 
     def run(batches):
-        held, n = [], 0
+        held, odd, n = [], [], 0
         for batch in batches:
             held.append(np.stack([np.asarray(batch.column(c)).astype(np.int64) for c in columns]))
+            odd.append(np.frombuffer(b"".join(batch.column("parity").to_pylist()), np.uint64).reshape(-1, 8) if across else np.empty((batch.num_rows, 0), np.uint64))
             n += batch.num_rows
             if n > 1 << 18:  # whole shingles only; the last one may go on
-                x = np.concatenate(held, axis=1)
+                x, y = np.concatenate(held, axis=1), np.concatenate(odd)
                 cut = int(np.flatnonzero(x[0] == x[0, -1])[0])
                 if cut:
-                    yield from pairs(x[:, :cut])
-                held, n = [x[:, cut:]], x.shape[1] - cut
+                    yield from pairs(x[:, :cut], y[:cut])
+                held, odd, n = [x[:, cut:]], [y[cut:]], x.shape[1] - cut
         if n:
-            yield from pairs(np.concatenate(held, axis=1))
+            yield from pairs(np.concatenate(held, axis=1), np.concatenate(odd))
 
     met = dealt.mapInArrow(run, "a long, b long, c long, need long")
     if across:

@@ -226,7 +226,7 @@ def similar(docs: DataFrame, similarity: float = 0.8, size: int = 5, radius: int
     beside = shingles.candidates(postings.withColumn("label", F.col("k")), t, False)
     found = shingles.verified(near.select(F.col("a_top").alias("a"), F.col("b_top").alias("b")).unionByName(same).unionByName(beside), some, t)
     labels = graph.components(found)
-    known = postings.join(labels, postings["k"] == labels["node"], "left").withColumn("label", F.coalesce("label", "k")).drop("node")
+    known = postings.join(labels, postings["k"] == labels["node"], "left").withColumn("label", F.coalesce("label", "k")).drop("node").join(some.select("k", "parity"), "k")
     rest = shingles.verified(shingles.candidates(known, t, True), some, t)
     labels = graph.components(found.unionByName(rest))
     known = nodes.join(labels, nodes["k"] == labels["node"], "left").select("k", "first", F.coalesce("label", "k").alias("label"))
