@@ -46,7 +46,8 @@ def test_equals_brute_force(spark, kind, block):
     size = len(rows)
     odd = [None, [0.0] * 16, [None] + [1.0] * 15, [float("nan")] * 16, [float("inf")] + [1.0] * 15, [], [1.0, 2.0], [1.0, 2.0], [2.0, 4.0], [-0.0, 1.0], [0.0, 1.0], [3.0]]
     rows += [(size + i, v) for i, v in enumerate(odd)] + [(None, rows[0][1]), (3, rows[3][1]), (None, [5.0, -5.0, 1.0])]
-    vectors = spark.createDataFrame([(i, v, 1) for i, v in rows], f"vec_id long, embedding array<{kind}>, weight int")
+    fields = f"vec_id long, embedding array<{kind}>, weight int, n_links int, component_id int, kept int, k int, v int, file int"
+    vectors = spark.createDataFrame([(i, v, *[1] * 7) for i, v in rows], fields)
     got = [tuple(r) for r in embeddings.near_duplicates(vectors, block=block).collect()]
     assert sorted(map(str, got)) == sorted(map(str, brute(rows)))
 
@@ -64,3 +65,8 @@ def test_far_stretches_are_skipped():
     s = embeddings.Sequence(x, x)
     seen = sum(len(i) for i, _ in embeddings.join(s, s, 0.95, small=64))
     assert seen == 8 * 500 * 499 // 2
+
+
+def test_blocks_end_at_edges_where_they_can():
+    assert list(embeddings._cuts(0, 20, np.array([3, 9, 12]), 8)) == [(0, 3), (3, 9), (9, 12), (12, 20)]
+    assert list(embeddings._cuts(2, 20, np.array([], int), 8)) == [(2, 10), (10, 18), (18, 20)]
