@@ -47,8 +47,10 @@ def local_path(path: str) -> str:
 
 
 def _save(folder: str, name: str, array: np.ndarray) -> None:
-    """Write whole or not at all; a task that runs twice writes the same."""
+    """Write whole or not at all, counts in as few bytes as the largest needs; a task that runs twice writes the same."""
     os.makedirs(folder, exist_ok=True)
+    if array.dtype.kind == "i":  # counts
+        array = array.astype(np.min_scalar_type(int(array.max(initial=0))))
     part = f"{folder}/.{name}-{uuid.uuid4().hex}"
     with open(part, "wb") as f:
         np.save(f, array)
@@ -142,7 +144,7 @@ class Words:
         """Rows of a table kept in shards, for sorted ids that are all known."""
         cuts = np.searchsorted(ids, self.base)
         picked = [arrays[s][ids[a:z] - self.base[s]] for s, (a, z) in enumerate(zip(cuts, cuts[1:])) if a < z]
-        return np.concatenate(picked) if picked else arrays[0][:0]
+        return (np.concatenate(picked) if picked else arrays[0][:0]).astype(np.int64)
 
     def bucket(self, u: np.ndarray, v: np.ndarray, count: np.ndarray, buckets: int) -> np.ndarray:
         """Bucket of the pairs: one for a first word, several for a frequent one."""
@@ -306,11 +308,11 @@ def train(texts: DataFrame, folder: str, order: int = 2) -> Model:
         u, v = (context >> np.uint64(32)).astype(np.int64), (context & np.uint64(0xFFFFFFFF)).astype(np.int64)
         key, times = _count(_triple_key(u, v, w), c)
         _save(folder, f"triple-{bucket}", key)
-        _save(folder, f"triple-times-{bucket}", times.astype(np.min_scalar_type(int(times.max()))))
+        _save(folder, f"triple-times-{bucket}", times)
         start = np.flatnonzero(np.diff(context, prepend=~context[:1]) != 0)
         sums = np.stack([np.add.reduceat(x, start) for x in (c, (c == 1).astype(np.int64), (c == 2).astype(np.int64), (c > 2).astype(np.int64))], 1)
         _save(folder, f"context-{bucket}", context[start])
-        _save(folder, f"context-sums-{bucket}", sums.astype(np.min_scalar_type(int(sums.max()))))
+        _save(folder, f"context-sums-{bucket}", sums)
         pair, times = np.unique(pair_key(v, w), return_counts=True)
         v, w = (pair >> np.uint64(32)).astype(np.int64), (pair & np.uint64(0xFFFFFFFF)).astype(np.int64)
         out = _by_part(words.bucket(v, w, words.values(words.count, v), buckets), buckets)
@@ -325,7 +327,7 @@ def train(texts: DataFrame, folder: str, order: int = 2) -> Model:
         first = np.flatnonzero((np.diff(u, prepend=-1) != 0) | (np.diff(w, prepend=-1) != 0))
         u, w, c = u[first], w[first], np.add.reduceat(c, first)
         _save(folder, f"pair-{bucket}", pair_key(u, w))
-        _save(folder, f"times-{bucket}", c.astype(np.min_scalar_type(int(c.max()))))
+        _save(folder, f"times-{bucket}", c)
         start = np.flatnonzero(np.diff(u, prepend=-1))
         kinds = [*(np.add.reduceat((c == k).astype(np.int64), start) for k in (1, 2, 3, 4)), np.add.reduceat(c, start)]
         context, followers = u[start], np.diff(start, append=len(u))
