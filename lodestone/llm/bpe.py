@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import in_chunks
+from lodestone.llm.common import in_chunks, set_aside
 from lodestone.llm.pieces import Encoder
 
 
@@ -171,11 +171,10 @@ def _ranks(path: str) -> bytes:
 def encode_documents(docs: DataFrame, rank_path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """``docs`` with a column of ids (array of long) for every text.
 
-    A null or empty text has no ids. ``ids`` must be a new column name. The rank file
-    is read by the driver and sent to the tasks; its size is the vocabulary's.
+    A null or empty text has no ids. A column already named so gets an underscore at its
+    end. The rank file is read by the driver and sent to the tasks; its size is the vocabulary's.
     """
-    if ids in docs.columns:
-        raise ValueError(f"column {ids} exists")
+    docs = set_aside(docs, ids)
     ranks = _ranks(rank_path)
     schema = docs.select("*", F.array(F.lit(0).cast("long")).alias(ids)).schema
 
@@ -190,9 +189,11 @@ def encode_documents(docs: DataFrame, rank_path: str, pattern: str, text: str =
 
 
 def decode_documents(docs: DataFrame, rank_path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
-    """``docs`` with the bytes that each row's ids stand for; null ids give no bytes."""
-    if decoded in docs.columns:
-        raise ValueError(f"column {decoded} exists")
+    """``docs`` with the bytes that each row's ids stand for; null ids give no bytes.
+
+    A column already named so gets an underscore at its end.
+    """
+    docs = set_aside(docs, decoded)
     ranks = _ranks(rank_path)
     schema = docs.select("*", F.lit(b"").alias(decoded)).schema
 
@@ -230,10 +231,9 @@ def round_trip(docs: DataFrame, rank_path: str, pattern: str, doc_id: str = "doc
 def with_tokens(docs: DataFrame, rank_path: str, pattern: str, text: str = "text") -> DataFrame:
     """``docs`` with ``ids`` (array of int), ``n_tokens`` and ``restored``: whether the ids decode to the text.
 
-    A null text counts as empty. The three names must be new.
+    A null text counts as empty. Columns already named so get an underscore at their end.
     """
-    if taken := {"ids", "n_tokens", "restored"} & set(docs.columns):
-        raise ValueError(f"columns exist: {sorted(taken)}")
+    docs = set_aside(docs, "ids", "n_tokens", "restored")
     ranks = _ranks(rank_path)
     schema = docs.select("*", F.array(F.lit(0)).alias("ids"), F.lit(0).cast("long").alias("n_tokens"), F.lit(True).alias("restored")).schema
 

@@ -78,3 +78,16 @@ def in_chunks(batches, text: str, limit: int = 4 << 20):
         edges = [0, *cut.tolist(), n]
         for a, b in zip(edges, edges[1:]):
             yield batch.slice(a, b - a)
+
+
+def set_aside(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` with columns that bear the names of results to come renamed, by underscores at their end."""
+    wanted, taken = {n.lower() for n in names}, {c.lower() for c in (*df.columns, *names)}
+    made = []
+    for c in df.columns:
+        new = c
+        while c.lower() in wanted and new.lower() in taken:
+            new += "_"
+        taken.add(new.lower())
+        made.append(new)
+    return df.toDF(*made)

@@ -91,3 +91,13 @@ def test_token_files(spark):
     assert token_files.token_round_trip(docs.limit(0), BPE_JSON).collect() == []
     nulls = token_files.token_round_trip(documents(spark), BPE_JSON).collect()
     assert sum(r.doc_id is None for r in nulls) == 1 and sum(r.doc_id == 3 for r in nulls) == 2
+
+
+def test_clashing_names_are_set_aside(spark):
+    docs = documents(spark, [(1, "one two"), (2, None)]).selectExpr("*", "'i' AS Ids", "'j' AS ids_", "5 AS n_tokens", "false AS restored")
+    got = bpe.with_tokens(docs, RANKS, P.PATTERN)
+    assert got.columns == [*documents(spark, []).columns, "Ids__", "ids_", "n_tokens_", "restored_", "ids", "n_tokens", "restored"]
+    rows = got.orderBy("doc_id").collect()
+    assert [(r["Ids__"], r.ids_, r.n_tokens_, r.restored_, r.restored) for r in rows] == [("i", "j", 5, False, True)] * 2
+    twice = bpe.decode_documents(bpe.encode_documents(docs.drop("ids_").withColumnRenamed("n_tokens", "decoded"), RANKS, P.PATTERN), RANKS)
+    assert [bytes(r.decoded) for r in twice.orderBy("doc_id").collect()] == [b"one two", b""]
