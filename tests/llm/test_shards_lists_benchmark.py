@@ -1,15 +1,40 @@
 import datetime as dt
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter
 
+import xxhash
 from pyspark.sql import functions as F
 
 from lodestone.llm import decontaminate, sharding, url_filter
 from tests.llm.cases import documents, texts, words
 
 
+def brute_shard(key, tree):
+    """Descend the tree by draws in plain Python."""
+    total = lambda x: sum(map(total, x)) if isinstance(x, list) else x[1]
+    seed = xxhash.xxh64_intdigest((key if key is not None else "\0null").encode(), 42)
+    while isinstance(tree, list):
+        draws = []
+        for i, child in enumerate(tree):
+            u = ((xxhash.xxh64_intdigest(i.to_bytes(4, "little"), seed) >> 12) + 0.5) / 2**52
+            draws.append((-math.log(u) / total(child) if total(child) > 0 else math.inf, i))
+        place = min(draws)[1]
+        seed, tree = xxhash.xxh64_intdigest(place.to_bytes(4, "little"), seed), tree[place]
+    return tree[0]
+
+
+def test_shards_equal_brute_force(spark):
+    uneven = [[[(0, 1.0), (1, 3.0)], [(2, 0.5)]], [[(3, 2.0), (4, 0.0)]], [[(5, 4.0), (6, 1.0), (7, 1.0)]]]
+    keys = [*map(str, range(500)), "", "é ß", None]
+    rows = spark.createDataFrame([(k,) for k in keys], "key string")
+    for tree in (uneven, sharding.grown_tree(uneven), sharding.even_tree(40)):
+        got = {r.key: r.s for r in sharding.assign(rows, "key", tree, "s").collect()}
+        assert got == {k: brute_shard(k, tree) for k in keys}
+
+
 def test_shards_and_slots(spark):
     docs = documents(spark)
     rows = sharding.shard_documents(docs, 40).collect()
