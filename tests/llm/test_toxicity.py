@@ -1,3 +1,5 @@
+import itertools
+import math
 import random
 import zlib
 
@@ -85,3 +87,26 @@ def test_documents(spark):
     assert toxicity.scores(odd, m).count() == odd.count() and toxicity.scores(odd.limit(0), m).collect() == []
     none = toxicity.fit(odd, labels.limit(0))
     assert {round(r.score, 6) for r in toxicity.scores(odd, none).collect()} == {0.5}
+
+
+def brute_score(m, text):
+    """Bias, a weight for each distinct term, a product of factors for each pair of distinct terms."""
+    place = {int(t): i for i, t in enumerate(m.terms)}
+    held = sorted({place[h] for w in toxicity.words((text or "").encode()) for h in map(int, toxicity._hashes(w)) if h in place})
+    z = m.bias + sum(m.weight[i] for i in held)
+    z += sum(float(m.factor[i] @ m.factor[j]) for i, j in itertools.combinations(held, 2))
+    return 1 / (1 + math.exp(-z))
+
+
+def test_scores_equal_brute_force(spark):
+    rows = corpus(1500, 3)
+    fitted = toxicity.fit(spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string"), spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    r = np.random.default_rng(1)  # and one in which every term has a weight and factors
+    terms = np.unique(np.array([h for _, t, _ in rows[:50] for w in toxicity.words(t.encode()) for h in toxicity._hashes(w)], dtype=np.uint32))
+    dense = toxicity.Machine(terms, -0.3, r.normal(0, 0.2, len(terms)), r.normal(0, 0.1, (len(terms), 3)))
+    docs = documents(spark)
+    for machine in (fitted, dense):
+        got = toxicity.scores(docs, machine).collect()
+        want = [brute_score(machine, d.text) for d in docs.collect()]
+        assert np.allclose([g.score for g in got], want, atol=1e-9)
+        assert np.allclose(machine.score([t.encode() for _, t, _ in rows[:40]]), [brute_score(machine, t) for _, t, _ in rows[:40]], atol=1e-9)
