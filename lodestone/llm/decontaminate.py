@@ -1,14 +1,16 @@
 """Benchmark decontamination over a distributed positional inverted index.
 
-Training documents are indexed in segments: for every term of a segment, the
-sorted positions of its tokens. A test window is looked up from its rarest term
-in the segment; the other terms' lists, shifted by their places in the window,
-are intersected with it one by one, the shorter before the longer.
+Training documents are tokenised once and indexed in segments: for every term of a
+segment, the sorted positions of its tokens. The index is stored in the shared folder.
+A test window waits at the term that is rarest over all segments, and is looked up
+only in segments that hold that term; there the terms' lists, shifted by their places in
+the window, are intersected one by one, the shorter before the longer.
 """
 
 from __future__ import annotations
 
 from itertools import repeat
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import LOWER, UPPER, in_chunks, text_bytes
+from lodestone.llm.common import LOWER, UPPER, in_chunks, materialize, text_bytes
 
 _KEPT = bytes(range(0x30, 0x3A)) + LOWER + UPPER + bytes(range(0x80, 0x100))
 #: Lower-cases A-Z and turns every ASCII byte that is no letter or digit into a space.
@@ -31,10 +33,33 @@ def words(text: bytes) -> list[bytes]:
     return text.translate(_FOLD).split()
 
 
-def windows_of(text: bytes, size: int) -> list[tuple[bytes, ...]]:
-    """Every ``size`` consecutive words; fewer words, but not none, are one window."""
-    w = words(text)
-    return [tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))] if w else []
+class Windows(NamedTuple):
+    """Distinct windows of test items.
+
+    A row of ``rows`` has the numbers of a window's words in ``terms``, and -1 after the end of
+    a short window; ``owners`` are the items that a window comes from.
+    """
+
+    terms: list[bytes]
+    rows: np.ndarray
+    owners: list[list[str]]
+
+
+def windows_of(items: list[tuple[str, bytes]], size: int) -> Windows:
+    """Every ``size`` consecutive words of each item ``(id, text)``; fewer words, but not none, are one window."""
+    number: dict[bytes, int] = {}
+    owners: dict[bytes, list[str]] = {}
+    for name, text in items:
+        w = words(text)
+        if not w:
+            continue
+        ids = np.full(max(size, len(w)), -1, np.int32)
+        ids[: len(w)] = [number.setdefault(x, len(number)) for x in w]
+        for row in np.lib.stride_tricks.sliding_window_view(ids, size):
+            of = owners.setdefault(row.tobytes(), [])
+            if not of or of[-1] != name:
+                of.append(name)
+    return Windows(list(number), np.frombuffer(b"".join(owners), np.int32).reshape(-1, size), list(owners.values()))
 
 
 def _narrow(x: np.ndarray) -> bytes:
@@ -49,13 +74,13 @@ def _wide(x: bytes) -> np.ndarray:
 
 
 def build_index(docs: DataFrame, terms: list[bytes] | None = None, doc_id: str = "doc_id", text: str = "text", segment_bytes: int = 4 << 20) -> DataFrame:
-    """The index: a row ``segment, term, positions`` for each term of a segment, and one with
-    a null term that holds the segment's ``doc_ids`` and where each document begins and ends.
+    """The index: a row ``segment, term, n, positions`` for each term of a segment, of which it
+    has n tokens, and one with a null term that holds the segment's ``doc_ids`` and where each document begins and ends.
 
     ``terms`` restricts the postings to the words that will be asked for.
     """
     kind = docs.schema[doc_id].dataType.simpleString()
-    names = ["segment", "term", "positions", "doc_ids", "begins", "ends"]
+    names = ["segment", "term", "n", "positions", "doc_ids", "begins", "ends"]
     wanted = None if terms is None else {t: i for i, t in enumerate(terms)}
 
     def run(batches):
@@ -86,6 +111,7 @@ def build_index(docs: DataFrame, terms: list[bytes] | None = None, doc_id: str =
                 [
                     pa.array([name] * n, pa.string()),
                     pa.array([None, *(entries[ids[a]] for a in cuts[:-1])], pa.binary()),
+                    pa.array([None, *(z - a for a, z in zip(cuts, cuts[1:]))], pa.int64()),
                     pa.array([None, *(_narrow(at[a:z]) for a, z in zip(cuts, cuts[1:]))], pa.binary()),
                     pa.concat_arrays([pa.ListArray.from_arrays([0, len(key)], key), pa.nulls(n - 1, pa.list_(key.type))]),
                     pa.concat_arrays([pa.array([begins.tolist()], pa.list_(pa.int64())), none]),
@@ -95,10 +121,10 @@ def build_index(docs: DataFrame, terms: list[bytes] | None = None, doc_id: str =
             )
 
     picked = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return picked.mapInArrow(run, f"segment string, term binary, positions binary, doc_ids array<{kind}>, begins array<long>, ends array<long>")
+    return picked.mapInArrow(run, f"segment string, term binary, n long, positions binary, doc_ids array<{kind}>, begins array<long>, ends array<long>")
 
 
-def occurrences(lists: dict[bytes, np.ndarray], window: tuple[bytes, ...], slop: int = 0) -> np.ndarray:
+def occurrences(lists: dict[int, np.ndarray], window: list[int], slop: int = 0) -> np.ndarray:
     """Where ``window`` starts: its words in order, each within ``slop`` places of its own (0: the exact phrase)."""
     if any(t not in lists for t in window):
         return np.empty(0, np.int64)
@@ -115,24 +141,52 @@ def occurrences(lists: dict[bytes, np.ndarray], window: tuple[bytes, ...], slop:
     return starts
 
 
-def find_windows(index: DataFrame, windows: dict[tuple[bytes, ...], list[str]], slop: int = 0) -> DataFrame:
+def _by_rarity(asked: Windows, count: dict[bytes, int]) -> tuple[np.ndarray, list[list[str]], np.ndarray]:
+    """Windows of which every term occurs, in the order of their rarest terms: (rows, owners,
+    where the windows of each rarest term begin)."""
+    n = np.array([*(count.get(t, 0) for t in asked.terms), np.iinfo(np.int64).max])  # the last stands for no word
+    rows = asked.rows
+    there = np.flatnonzero((n[rows] > 0).all(axis=1))
+    rarest = rows[there, n[rows[there]].argmin(axis=1)]
+    order = np.argsort(rarest, kind="stable")
+    there = there[order]
+    return rows[there], [asked.owners[i] for i in there.tolist()], np.searchsorted(rarest[order], np.arange(len(asked.terms) + 1))
+
+
+def find_windows(index: DataFrame, asked: Windows, slop: int = 0) -> DataFrame:
     """Matches of each indexed document: ``segment, place, doc_id, n_words, hits, items``.
 
     ``hits`` are the numbers of the words inside any match; ``items`` the distinct items
-    that own a matching window. Every document of the index has a row.
+    that own a matching window. Every document of the index has a row. Windows go to all
+    tasks, so ``asked`` has to be a block of bounded size.
     """
     kind = index.schema["doc_ids"].dataType.elementType.simpleString()
-    asked = list(windows.items())
+    wanted = index.sparkSession.createDataFrame(pa.table({"term": pa.array([None, *asked.terms], pa.binary())}))
+    held = index.join(F.broadcast(wanted), index["term"].eqNullSafe(wanted["term"]), "left_semi")
+    count = {bytes(r["term"]): r["n"] for r in held.where("term is not null").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    rows, owners, first = _by_rarity(asked, count)
+    number = {t: i for i, t in enumerate(asked.terms)}
+
+    def candidates(present: np.ndarray) -> np.ndarray:
+        """The windows whose rarest term is present, and all others too."""
+        many = first[present + 1] - first[present]
+        at = np.repeat(first[present] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        here = np.zeros(len(number) + 1, bool)
+        here[present] = here[-1] = True
+        return at[here[rows[at]].all(axis=1)]
 
     def run(table: pa.Table) -> pa.Table:
-        term, positions = table.column("term").to_pylist(), table.column("positions").to_pylist()
+        term, positions = table.column("term").to_pylist(), table.column("positions")
         head = term.index(None)
         key = table.column("doc_ids").combine_chunks().slice(head, 1).flatten()
         begins, ends = (np.array(table.column(x)[head].as_py(), dtype=np.int64) for x in ("begins", "ends"))
-        lists = {t: _wide(p) for t, p in zip(term, positions) if t is not None}
+        row_of = {number[t]: i for i, t in enumerate(term) if t is not None}
+        found = candidates(np.fromiter(row_of, np.int64, len(row_of)))
+        lists = {t: _wide(positions[row_of[t]].as_py()) for t in np.unique(rows[found]).tolist() if t >= 0}
         edge = np.zeros((ends[-1] if len(ends) else 0) + GAP + 1, np.int64)
         items: list[set[str]] = [set() for _ in begins]
-        for window, owners in asked:
+        for i in found.tolist():
+            window = [t for t in rows[i].tolist() if t >= 0]
             at = occurrences(lists, window, slop)
             if len(at):
                 of = np.maximum(np.searchsorted(begins, at, "right") - 1, 0)
@@ -140,7 +194,7 @@ def find_windows(index: DataFrame, windows: dict[tuple[bytes, ...], list[str]],
                 np.add.at(edge, at, 1)
                 np.add.at(edge, np.minimum(at + len(window), ends[of]), -1)
                 for d in set(of.tolist()):
-                    items[d].update(owners)
+                    items[d].update(owners[i])
         hit = np.flatnonzero(np.cumsum(edge) > 0)
         cut = np.searchsorted(hit, begins), np.searchsorted(hit, ends)
         hits = [(hit[a:z] - s).tolist() for a, z, s in zip(*cut, begins)]
@@ -150,40 +204,34 @@ def find_windows(index: DataFrame, windows: dict[tuple[bytes, ...], list[str]],
             names=["segment", "place", "doc_id", "n_words", "hits", "items"],
         )
 
-    return index.groupBy("segment").applyInArrow(run, f"segment string, place long, doc_id {kind}, n_words long, hits array<long>, items array<string>")
+    return held.drop("n").groupBy("segment").applyInArrow(run, f"segment string, place long, doc_id {kind}, n_words long, hits array<long>, items array<string>")
 
 
-def _blocks(benchmark: DataFrame, item_id: str, text: str, limit: int) -> list[list]:
-    """The test set in blocks of about ``limit`` bytes, whose size is measured first."""
-    rows = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("item_id"), F.col(text).alias("text")).where(F.col("text").isNotNull())
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    count = 1 + total // limit
-    for i in range(count):
-        yield rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == i).collect()
+def _block(rows: DataFrame, i: int, count: int, size: int) -> Windows:
+    part = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == i) if count > 1 else rows
+    return windows_of([(r["item_id"], r["text"].encode()) for r in part.collect()], size)
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, size: int = 13, slop: int = 0, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = 16 << 20) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, size: int = 13, slop: int = 0, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = 2 << 20) -> DataFrame:
     """``doc_id, n_words, hits, items`` of every document.
 
-    The test set is a stated query set: it goes over the index in blocks of at most about
-    ``block_bytes``, and only the postings of a block's own terms are kept.
+    The test set is a stated query set, whose size is measured: it goes over one stored index
+    in blocks of about ``block_bytes``, and meets only the postings of a block's own terms. If
+    there is but one block, the index holds no other terms.
     """
+    asked = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("item_id"), F.col(item_text).alias("text")).where(F.col("text").isNotNull())
+    count = 1 + (asked.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes
+    if count == 1:
+        windows = _block(asked, 0, 1, size)
+        index, _ = materialize(build_index(docs, windows.terms, doc_id, text), "postings")
+        return find_windows(index, windows, slop).drop("segment", "place")
+    index, _ = materialize(build_index(docs, None, doc_id, text), "postings")
     out = None
-    count = 0
-    for rows in _blocks(benchmark, item_id, item_text, block_bytes):
-        windows: dict[tuple[bytes, ...], list[str]] = {}
-        for r in rows:
-            for w in windows_of(r["text"].encode(), size):
-                if r["item_id"] not in (owners := windows.setdefault(w, [])):
-                    owners.append(r["item_id"])
-        terms = sorted({t for w in windows for t in w})
-        found = find_windows(build_index(docs, terms, doc_id, text), windows, slop)
-        out, count = (found if out is None else out.unionByName(found)), count + 1
-    if count > 1:
-        out = out.groupBy("segment", "place").agg(
-            F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
-        )
-    return out.drop("segment", "place")
+    for i in range(count):
+        found, _ = materialize(find_windows(index, _block(asked, i, count, size), slop), "matches")
+        out = found if out is None else out.unionByName(found)
+    hits, items = (F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in ("hits", "items"))
+    return out.groupBy("segment", "place").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), hits, items).drop("segment", "place")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, share: int = 20, **columns) -> DataFrame:

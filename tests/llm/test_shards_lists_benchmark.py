@@ -92,6 +92,17 @@ def test_contamination_equals_brute_force(spark):
     assert not any(r.contaminated for r in decontaminate.contamination(documents(spark), benchmark.limit(0)).collect())
 
 
+def test_stored_index_in_many_segments(spark):
+    w = words(3000, 2)
+    items = [(i, " ".join(w[i * 37 : i * 37 + 20])) for i in range(60)] + [(100, " ".join(w[:13][::-1])), (101, w[5]), (102, "nowhere at all")]
+    rows = [(d, " ".join(w[d * 50 : d * 50 + 90])) for d in range(40)] + [(40, " ".join(w[:13][::-1])), (41, None)]
+    asked = decontaminate.windows_of([(str(i), t.encode()) for i, t in items], 13)
+    index = decontaminate.build_index(documents(spark, rows).repartition(3), segment_bytes=700)
+    assert index.select("segment").distinct().count() > 12
+    got = {r.doc_id: (r.n_words, len(r.hits), len(r["items"])) for r in decontaminate.find_windows(index, asked).collect()}
+    assert got == {d: brute(t, items)[:3] for d, t in rows}
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "a b x c"), (2, "a b c"), (3, "c b a q q q q q")], "doc_id long, text string")
     benchmark = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
