@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, decontaminate, embeddings, kneser_ney, packing, sharding, simhash, substrings, token_files, toxicity, url_filter
+from lodestone.llm import bpe, decontaminate, embeddings, kneser_ney, packing, sharding, simhash, spelling, substrings, token_files, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,7 +70,11 @@ def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_bpe, op3_toxicity, op4_substrings, op5_sharding, op6_decontamination, op7_url_filter, op8_token_files, op9_embeddings, op10_kneser_ney, op12_packing)}
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"), damage=97)
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_bpe, op3_toxicity, op4_substrings, op5_sharding, op6_decontamination, op7_url_filter, op8_token_files, op9_embeddings, op10_kneser_ney, op12_packing, op13_spelling)}
 ORACLE_SQL: dict[str, str] = {}
 
 ORACLE_SQL["op7_url_filter"] = r"""
