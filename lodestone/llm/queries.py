@@ -145,3 +145,23 @@ n AS (SELECT a, count(*) AS n_links FROM edges GROUP BY a)
 SELECT m.vec_id, CAST(coalesce(n.n_links, 0) AS BIGINT) AS n_links, p.component_id, m.vec_id = p.component_id AS kept
 FROM embeddings m JOIN part p ON p.a = m.vec_id LEFT JOIN n ON n.a = m.vec_id
 """
+
+# a checksum's steps are a list: a byte goes in where a number stands, then come eight shifts
+ORACLE_SQL["op13_spelling"] = r"""
+WITH RECURSIVE r AS (SELECT doc_id, run, count(*) AS c FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) AS run FROM documents) GROUP BY ALL),
+steps AS (SELECT *, flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run, ''), lambda k:
+    CASE WHEN ord(k) < 128 THEN [ord(k), -1, -1, -1, -1, -1, -1, -1, -1] ELSE [195, -1, -1, -1, -1, -1, -1, -1, -1, ord(k) - 64, -1, -1, -1, -1, -1, -1, -1, -1] END)) AS s FROM r),
+h AS (SELECT doc_id, run, c, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), CAST(s AS BIGINT[])), lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END)) AS h FROM steps),
+w AS (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM (
+    SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, c FROM h) WHERE length(word) >= 5 GROUP BY word HAVING sum(c) >= 3),
+pat AS (SELECT word, n, i, substr(word, 1, i - 1) AS a, substr(word, i + 1) AS b FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM w)),
+lost AS (SELECT DISTINCT p.word, p.n, w.word AS other, w.n AS m FROM pat p JOIN w ON w.word = p.a || p.b),
+near AS (SELECT p.word, q.word AS other, q.n AS m FROM pat p JOIN pat q ON p.a || '_' || p.b = q.a || '_' || q.b AND p.word <> q.word
+  UNION ALL SELECT word, other, m FROM lost UNION ALL SELECT other, word, n FROM lost),
+best AS (SELECT word, count(*) AS n_near, min((-m, other)) AS b FROM near GROUP BY word),
+forms AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN -b[1] >= 2 * n THEN b[2] END AS form, CASE WHEN -b[1] >= 2 * n THEN -b[1] END AS form_n FROM w LEFT JOIN best USING (word)),
+way AS (SELECT word, word AS here, 0 AS k FROM forms UNION ALL SELECT way.word, f.form, k + 1 FROM way JOIN forms f ON f.word = way.here WHERE f.form IS NOT NULL),
+last AS (SELECT word, max_by(here, k) AS root FROM way GROUP BY word)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN last USING (word)
+"""
