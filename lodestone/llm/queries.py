@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, decontaminate, embeddings, kneser_ney, packing, sharding, simhash, spelling, substrings, token_files, toxicity, url_filter
+from lodestone.llm import bpe, collocations, decontaminate, embeddings, kneser_ney, packing, sharding, simhash, spelling, substrings, token_files, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +66,10 @@ def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.held_out_scores(_table(spark, sf_dir, "documents"), order=2)
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -74,7 +78,7 @@ def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(_table(spark, sf_dir, "documents"), damage=97)
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_bpe, op3_toxicity, op4_substrings, op5_sharding, op6_decontamination, op7_url_filter, op8_token_files, op9_embeddings, op10_kneser_ney, op12_packing, op13_spelling)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_bpe, op3_toxicity, op4_substrings, op5_sharding, op6_decontamination, op7_url_filter, op8_token_files, op9_embeddings, op10_kneser_ney, op11_collocations, op12_packing, op13_spelling)}
 ORACLE_SQL: dict[str, str] = {}
 
 ORACLE_SQL["op7_url_filter"] = r"""
@@ -165,3 +169,20 @@ way AS (SELECT word, word AS here, 0 AS k FROM forms UNION ALL SELECT way.word,
 last AS (SELECT word, max_by(here, k) AS root FROM way GROUP BY word)
 SELECT word, form, root, n, n_near, form_n FROM forms JOIN last USING (word)
 """
+
+ORACLE_SQL["op11_collocations"] = r"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+ws AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM pieces),
+grams AS (SELECT lang, ws[i:i + k - 1] AS w FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS i FROM ws), (SELECT unnest([1, 2, 3, 4]) AS k) WHERE i + k - 1 <= len(ws)),
+f AS (SELECT lang, w, count(*) AS a FROM grams GROUP BY ALL),
+total AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE len(w) = 1 GROUP BY lang),
+cand AS (SELECT * FROM f WHERE len(w) > 1 AND a >= 30),
+subs AS (SELECT lang, w[i:i + k - 1] AS w, max(a) AS longer FROM (SELECT lang, w, a, unnest(range(1, len(w) + 1)) AS i FROM cand), (SELECT unnest([2, 3]) AS k) WHERE i + k - 1 <= len(w) AND k < len(w) GROUP BY ALL),
+kept AS (SELECT c.* FROM cand c LEFT JOIN subs s ON s.lang = c.lang AND s.w = c.w WHERE s.longer IS NULL OR CAST(100 AS HUGEINT) * s.longer < CAST(80 AS HUGEINT) * c.a),
+cuts AS (SELECT *, unnest(range(1, len(w))) AS k FROM kept),
+scored AS (SELECT c.lang, c.w, c.a, c.k, x.a AS l, y.a AS r, CAST(CAST(2000000 AS HUGEINT) * c.a // (x.a + y.a) AS BIGINT) AS score
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.w = c.w[1:c.k] JOIN f y ON y.lang = c.lang AND y.w = c.w[c.k + 1:]),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, w ORDER BY score, k) = 1),
+ranked AS (SELECT *, array_to_string(w, ' ') AS phrase, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(w, ' ')) AS rank FROM best QUALIFY rank <= 2000)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN total USING (lang)
+"""
