@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: The namespace that version-5 UUIDs of URLs are made in (RFC 9562).
 URL_NAMESPACE = "6ba7b8119dad11d180b400c04fd430c8"
+#: Characters of a chunk where no size is given.
+DEFAULT_CHUNK = 1000
 UUID_PATTERN = r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
 
 
@@ -28,36 +32,38 @@ def fallback_id(key: Column, content: Column) -> Column:
     return F.coalesce(F.nullif(key, F.lit("")), point_uuid(content))
 
 
+def _chunks(text: str, size: int) -> list[str]:
+    """One text's chunks, in time that goes with its length: where lines end is known beforehand,
+    and each chunk finds the last line that it has room for."""
+    if len(text) <= size:
+        return [text]
+    text += "\n"
+    ends = np.flatnonzero(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32) == 10) + 1
+    out, at, line = [], 0, 0
+    while line < len(ends):
+        for _ in range(max(0, -(-(int(ends[line]) - 1 - at) // size) - 1)):
+            out.append(text[at : at + size])
+            at += size
+        line = max(line + 1, int(np.searchsorted(ends, at + size, side="right")))
+        out.append(text[at : int(ends[line - 1])])
+        at = int(ends[line - 1])
+    return out
+
+
 def chunk_text(text: Column, size: int = 1000) -> Column:
-    """Chunks of about ``size`` characters, as an array.
+    """Chunks of about ``size`` characters (0 or less: 1000), as an array; null for a null text.
 
     A short text is one chunk. Else its lines, each with its newline, are packed in
     turn; a longer line is cut at every ``size`` characters and its rest packed on. A
     line of exactly ``size`` characters makes a chunk one character longer.
     """
-    n = F.lit(size)
-
-    def cut(line: Column) -> Column:
-        hard = F.greatest(F.ceil(F.char_length(line) / n) - 1, F.lit(0)).cast("int")
-        parts = F.when(hard > 0, F.transform(F.sequence(F.lit(0), hard - 1), lambda i: F.struct(F.substr(line, i * n + 1, n).alias("s"), F.lit(True).alias("hard"))))
-        return F.concat(F.coalesce(parts, F.array()), F.array(F.struct(F.substr(line, hard * n + 1).alias("s"), F.lit(False).alias("hard"))))
-
-    pieces = F.flatten(F.transform(F.split(text, "\n"), cut))
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
-
-    def add(state: Column, p: Column) -> Column:
-        flush = (state["open"] != "") & (p["hard"] | (F.char_length(state["open"]) + F.char_length(p["s"]) + 1 > n))
-        done = F.when(flush, F.array_append(state["done"], state["open"])).otherwise(state["done"])
-        rest = F.when(flush, F.lit("")).otherwise(state["open"])
-        return F.struct(
-            F.when(p["hard"], F.array_append(done, p["s"])).otherwise(done).alias("done"),
-            F.when(p["hard"], rest).otherwise(F.concat(rest, p["s"], F.lit("\n"))).alias("open"),
-        )
+    size = size if size > 0 else DEFAULT_CHUNK
 
-    def close(state: Column) -> Column:
-        return F.when(state["open"] != "", F.array_append(state["done"], state["open"])).otherwise(state["done"])
+    @F.arrow_udf("array<string>")
+    def cut(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else _chunks(t, size) for t in texts.to_pylist()], pa.list_(pa.string()))
 
-    return F.when(F.char_length(text) <= n, F.array(text)).otherwise(F.aggregate(pieces, start, add, close))
+    return cut(text)
 
 
 def chunk_doc_id(source_dir: Column, path: Column, index: Column) -> Column:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,9 +33,23 @@ def l2(a: Column, b: Column) -> Column:
 def hash_embedding(rows: DataFrame, key: str, text: str, dim: int = 64) -> DataFrame:
     """``key, embedding`` for every row: a deterministic stand-in for a model, hashed word counts scaled to length 1.
 
-    A null text, or one without words, has the zero vector, which is near nothing.
+    A null text, or one without words, has the zero vector, which is near nothing. Each
+    distinct word of a batch is hashed once, and all its texts are counted together.
     """
-    at = lambda w: F.conv(F.substring(F.sha2(w.cast("binary"), 256), 1, 4), 16, 10).cast("int") % dim
-    cells = rows.select(key, F.transform(tokens(F.coalesce(text, F.lit(""))), at).alias("cells"))
-    counted = cells.select(key, F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter("cells", lambda c: c == i)).cast("double")).alias("n"))
-    return counted.select(key, F.transform("n", lambda x: F.coalesce(x / F.nullif(norm(F.col("n")), F.lit(0.0)), F.lit(0.0)).cast("float")).alias("embedding"))
+    kind = rows.schema[key].dataType.simpleString()
+
+    def run(batches):
+        for b in batches:
+            words = b.column("words")
+            size = np.diff(np.asarray(words.offsets))
+            flat = words.flatten().dictionary_encode()
+            cell = np.array([int(hashlib.sha256(w.encode()).hexdigest()[:4], 16) % dim for w in flat.dictionary.to_pylist()], np.int64)
+            at = np.repeat(np.arange(len(size)) * dim, size) + (cell[flat.indices.to_numpy()] if len(flat) else 0)
+            n = np.bincount(at, minlength=len(size) * dim).reshape(-1, dim).astype(np.float64)
+            length = np.sqrt((n * n).sum(1, keepdims=True))
+            unit = np.divide(n, length, out=np.zeros_like(n), where=length > 0).astype(np.float32)
+            made = pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1, dtype=np.int32) * dim), pa.array(unit.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([b.column(key), made], names=[key, "embedding"])
+
+    cut = rows.select(key, tokens(F.coalesce(text, F.lit(""))).alias("words"))
+    return cut.mapInArrow(run, f"`{key}` {kind}, embedding array<float>")

@@ -137,6 +137,13 @@ def prune_log(log: DataFrame, keep: int) -> DataFrame:
     return log.where(F.col("id") > log.agg(F.max("id")).scalar() - keep)
 
 
+#: Types of the query log's columns.
+LOG_FIELDS = {
+    "id": "bigint", "ts": "timestamp", "project_id": "string", "query": "string", "results": "int", "top_score": "double",
+    "top_doc_id": "string", "reranked": "boolean", "latency_ms": "double",
+}
+
+
 def logged(log: DataFrame) -> DataFrame:
     """Without synthetic queries; they count in the metrics only."""
     return log.where(~F.coalesce("no_log", F.lit(False)))
@@ -148,9 +155,13 @@ def recent_queries(log: DataFrame, limit: int = 50) -> DataFrame:
 
 
 def recent_report(spark: SparkSession, log: DataFrame | None, limit: int = 50, fields: tuple[str, ...] = ("id", "query", "results")) -> DataFrame:
-    """One row ``enabled, queries``: a log that is off (None) is told from one that is empty."""
+    """One row ``enabled, queries``: a log that is off (None) is told from one that is empty.
+
+    ``queries`` has ``fields`` either way; where there is no log they have the types of the log's schema.
+    """
     if log is None:
-        return spark.range(1).select(F.lit(False).alias("enabled"), F.lit(None).cast("array<struct<id:bigint,query:string,results:int>>").alias("queries"))
+        kinds = ",".join(f"{f}:{LOG_FIELDS.get(f, 'string')}" for f in fields)
+        return spark.range(1).select(F.lit(False).alias("enabled"), F.lit(None).cast(f"array<struct<{kinds}>>").alias("queries"))
     newest = recent_queries(log, limit).select(F.struct(*fields).alias("q"))
     return newest.agg(F.lit(True).alias("enabled"), F.sort_array(F.collect_list("q"), asc=False).alias("queries"))
 

@@ -6,6 +6,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.operators import metrics
 from lodestone.operators import search as op
 
 
@@ -38,7 +39,7 @@ def retrieve_context(queries: DataFrame, chunks: DataFrame, **options) -> DataFr
 
 
 def log_rows(queries: DataFrame, results: DataFrame, latency_ms: Column | None = None, candidates: DataFrame | None = None, hybrid: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(metric rows of all queries, log rows of those that are not synthetic).
+    """(metric rows of all queries, log rows of those that are not synthetic; a null ``no_log`` is false).
 
     With the candidates, metric rows hold the whole composition: ``hybrid, candidates,
     dense_count, lexical_count, hybrid_fallback`` beside ``results, reranked, rerank_moved``.
@@ -51,7 +52,7 @@ def log_rows(queries: DataFrame, results: DataFrame, latency_ms: Column | None =
         made = op.query_composition(candidates, results, hybrid).drop("results")
         metric = metric.join(made, "query_id", "left").withColumn("hybrid", F.lit(hybrid))
         metric = metric.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("candidates", "dense_count", "lexical_count")} | {"hybrid_fallback": F.coalesce("hybrid_fallback", F.lit(hybrid))})
-    logged = rows.where(~F.col("no_log")).select("query_id", "project_id", "query", "results", F.coalesce("top.score", F.lit(0.0)).alias("top_score"), F.coalesce("top.doc_id", F.lit("")).alias("top_doc_id"), "reranked", "latency_ms")
+    logged = metrics.logged(rows).select("query_id", "project_id", "query", "results", F.coalesce("top.score", F.lit(0.0)).alias("top_score"), F.coalesce("top.doc_id", F.lit("")).alias("top_doc_id"), "reranked", "latency_ms")
     return metric, logged
 
 

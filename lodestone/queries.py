@@ -483,6 +483,15 @@ def search_with_log(spark, d):
     return both.select("query_id", "hybrid", "reranked", "candidates", "results", "dense_count", "lexical_count", "rerank_moved", "hybrid_fallback", "top_doc_id", "top_score")
 
 
+@query(f"""WITH {DENSE.format(k=5)} SELECT query_id, count(d.id) AS results, round(max(score), 6) AS top_score FROM vq LEFT JOIN dense d USING (query_id) WHERE query_id % 150 <> 0 GROUP BY 1""")
+def log_rows(spark, d):
+    """A query is kept out of the log only if it says so: of three, one says so, one does not, and one says nothing."""
+    n = F.col("query_id") / 50 % 3
+    asked = vector_queries(spark, d).withColumn("no_log", F.when(n == 0, True).when(n == 1, False))
+    found = search.topk_dense(asked, vector_chunks(spark, d), 5).withColumns({"doc_id": F.col("id"), "reranked": F.lit(False), "cand_pos": F.col("rank") - 1})
+    return plan.log_rows(asked, found)[1].select("query_id", "results", _r("top_score").alias("top_score"))
+
+
 @query(f"""WITH {DENSE.format(k=25)}, h AS (SELECT query_id, id, rank, CASE WHEN rank % 2 = 1 THEN rank + 2 ELSE rank - 1 END AS pos FROM dense WHERE rank <= 5)
 SELECT d.query_id, d.id, round(1.0 / h.rank, 6) AS score, row_number() OVER (PARTITION BY d.query_id ORDER BY h.rank) AS rank FROM h JOIN dense d ON d.query_id = h.query_id AND d.rank = h.pos + 1 AND d.rank <= 5""")
 def attach_rerank(spark, d):

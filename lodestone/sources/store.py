@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.operators import metrics
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the session names in ``spark.checkpoint.dir``; a temporary one on a local master where none is named."""
@@ -45,7 +47,7 @@ def append_rows(rows: DataFrame, path: str) -> None:
 def append_query_log(entries: DataFrame, path: str, enabled: bool = False) -> bool:
     """Append the entries that are not synthetic; a log that is not switched on stays untouched. Returns whether it is on."""
     if enabled:
-        append_rows(entries.where(~F.coalesce("no_log", F.lit(False))).drop("no_log") if "no_log" in entries.columns else entries, path)
+        append_rows(metrics.logged(entries).drop("no_log") if "no_log" in entries.columns else entries, path)
     return enabled
 
 

@@ -107,7 +107,7 @@ def latency_ring(samples: DataFrame, state: str, checkpoint: str, group: list[st
 
 def query_log(entries: DataFrame, state: str, checkpoint: str, keep: int) -> StreamingQuery:
     """The query log without synthetic queries, pruned to its newest rows."""
-    return keep_state(entries.where(~F.col("no_log")), lambda rows: metrics.prune_log(rows, keep), state, checkpoint)
+    return keep_state(metrics.logged(entries), lambda rows: metrics.prune_log(rows, keep), state, checkpoint)
 
 
 def sync_stream(changes: DataFrame, empty: DataFrame, state: str, checkpoint: str, chunk: Callable[[DataFrame], DataFrame]) -> StreamingQuery:

@@ -1,3 +1,4 @@
+import time
 import uuid
 
 import pytest
@@ -59,6 +60,20 @@ def test_chunks(spark, s):
     assert one(spark, text.chunk_text(F.col("t"), 10), t=s) == packed(s, 10)
 
 
+def test_chunks_of_no_text_and_of_no_size(spark):
+    assert one(spark, text.chunk_text(F.coalesce(F.lit(None), F.when(F.col("t") == "", "x")), 10), t="a") is None
+    for size in (0, -3):
+        assert one(spark, text.chunk_text(F.col("t"), size), t="y" * 1500) == packed("y" * 1500, 1000)
+
+
+def test_chunks_of_a_large_text_take_time_in_proportion():
+    t = "\n".join("wörd " * (i % 40) for i in range(50_000))
+    began = time.time()
+    made = text._chunks(t, 300)
+    assert time.time() - began < 1 and len(t) > 4_800_000
+    assert "".join(made) == t + "\n" and made == packed(t, 300)
+
+
 def test_doc_root(spark):
     for key, root in (("memory/x/doc-one#3", "memory/x/doc-one"), ("plain", "plain"), ("#1", "#1"), ("a#b#2", "a#b"), ("a\n#1", "a\n")):
         assert one(spark, text.doc_root(F.col("k")), k=key) == root

@@ -1,5 +1,7 @@
 import datetime as dt
+import hashlib
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -176,7 +178,12 @@ def test_snapshot_and_log_switch(spark, tmp_path):
     path, schema = str(tmp_path / "log"), "id long, query string, results int"
     entries = rows.select("id", "query", "results", "no_log")
     assert not store.append_query_log(entries, path)
-    assert not metrics.recent_report(spark, store.read_query_log(spark, path, schema)).first().enabled
+    off = metrics.recent_report(spark, store.read_query_log(spark, path, schema))
+    assert not off.first().enabled
+    both = ("id", "top_score", "reranked")
+    on = metrics.recent_report(spark, entries.selectExpr("id", "0.5D AS top_score", "false AS reranked"), fields=both)
+    strict = lambda df: [f.dataType.simpleString() for f in df.schema]
+    assert strict(metrics.recent_report(spark, None, fields=both)) == strict(on)
     assert store.append_query_log(entries.limit(0), path, True)
     r = metrics.recent_report(spark, store.read_query_log(spark, path, schema)).first()
     assert r.enabled and r.queries == []
@@ -184,6 +191,13 @@ def test_snapshot_and_log_switch(spark, tmp_path):
     assert [q.id for q in metrics.recent_report(spark, store.read_query_log(spark, path, schema)).first().queries] == [1]
 
 
+def test_a_query_that_does_not_say_is_logged(spark):
+    queries = spark.createDataFrame([(1, "p", "a", None), (2, "p", "b", True), (3, "p", "c", False)], "query_id int, project_id string, query string, no_log boolean")
+    results = spark.createDataFrame([(1, 1, "d", 0.5, False, 0)], "query_id int, rank int, doc_id string, score double, reranked boolean, cand_pos int")
+    metric, logged = plan.log_rows(queries, results)
+    assert metric.count() == 3 and {(r.query_id, r.results) for r in logged.collect()} == {(1, 1), (3, 0)}
+
+
 def test_files_of_any_bytes(spark, tmp_path):
     (tmp_path / "a").mkdir()
     (tmp_path / "a/ok.md").write_text("fine")
@@ -219,6 +233,22 @@ def test_embedding_of_no_words(spark):
     rows = spark.createDataFrame([(1, ""), (2, None), (3, "a a b")], "k int, t string")
     got = {r.k: r.embedding for r in vectors.hash_embedding(rows, "k", "t", 8).collect()}
     assert got[1] == got[2] == [0.0] * 8 and sum(x * x for x in got[3]) == pytest.approx(1)
+    assert vectors.hash_embedding(rows.limit(0), "k", "t", 8).collect() == []
+
+
+def test_embedding_of_long_texts(spark):
+    from lodestone.functions import vectors
+
+    long = spark.range(100).select("id", F.array_join(F.transform(F.sequence(F.lit(1), F.lit(20_000)), lambda i: F.concat(F.lit("w"), (i * (F.col("id") + 1)).cast("string"))), " ").alias("t")).cache()
+    assert long.count() == 100
+    began = time.time()
+    got = vectors.hash_embedding(long, "id", "t").collect()
+    assert time.time() - began < 100 * 0.1
+    want = [0] * 64
+    for i in range(1, 20_001):
+        want[int(hashlib.sha256(f"w{i}".encode()).hexdigest()[:4], 16) % 64] += 1
+    size = sum(x * x for x in want) ** 0.5
+    assert next(r.embedding for r in got if r.id == 0) == pytest.approx([x / size for x in want])
 
 
 def test_log(spark):
