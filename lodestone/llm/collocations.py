@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -248,6 +249,7 @@ def phrases(docs: DataFrame, words: DataFrame, least: int, seed: int, bits: int
 
     def deal(batches):
         hot, ends = plan.value
+        pack = zstandard.ZstdCompressor(level=3).compress
         for lang, texts in _by_lang(batches):
             h, at, n = suffixes(texts, seed, bits, np.frombuffer(known.value, np.uint8))
             key, depth = prefix_keys(lang, h[at], hot)
@@ -264,21 +266,26 @@ def phrases(docs: DataFrame, words: DataFrame, least: int, seed: int, bits: int
                 local = np.zeros(len(h), np.uint32)
                 local[used] = np.arange(len(used)) + (used[0] > 0)  # 0 stays 0
                 small = local[own].astype(np.uint16 if len(used) < 1 << 16 else np.uint32)
-                rows.append((int(group[a]), lang, h[used[used > 0]].tobytes(), np.ascontiguousarray(small.T).tobytes(), n[some[a:b]].astype(np.uint32).tobytes(), depth[some[a:b]].astype(np.uint8).tobytes()))
-            names = ["grp", "lang", "words", "codes", "n", "depth"]
-            kinds = [pa.int32(), pa.string(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+                parts = (h[used[used > 0]], np.ascontiguousarray(small.T), n[some[a:b]].astype(np.uint32), depth[some[a:b]].astype(np.uint8))
+                # words are not equally likely, so that their codes take fewer bits when packed by frequency
+                rows.append((int(group[a]), lang, b - a, len(parts[0]), pack(b"".join(x.tobytes() for x in parts))))
+            names = ["grp", "lang", "size", "words", "data"]
+            kinds = [pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
     def subtrees(t: pa.Table) -> pa.Table:
         """Counts of the group's phrases from its sorted suffixes."""
         langs = t.column("lang").combine_chunks().dictionary_encode()
         w, n, depth, lang = [], [], [], []
-        for i, (words_, codes, count, own) in enumerate(zip(*(t.column(c).to_pylist() for c in ("words", "codes", "n", "depth")))):
-            m = len(own)
-            h = np.append(_U(0), np.frombuffer(words_, _U))
-            w.append(h[np.frombuffer(codes, np.uint16 if len(codes) == 2 * DEPTH * m else np.uint32).reshape(DEPTH, m).T])
-            n.append(np.frombuffer(count, np.uint32).astype(np.int64))
-            depth.append(np.frombuffer(own, np.uint8))
+        unpack = zstandard.ZstdDecompressor().decompress
+        for i, (m, known, data) in enumerate(zip(*(t.column(c).to_pylist() for c in ("size", "words", "data")))):
+            data = unpack(data)
+            ends = [8 * known, len(data) - 5 * m, len(data) - m]
+            h = np.append(_U(0), np.frombuffer(data[: ends[0]], _U))
+            codes = np.frombuffer(data[ends[0] : ends[1]], np.uint16 if ends[1] - ends[0] == 2 * DEPTH * m else np.uint32)
+            w.append(h[codes.reshape(DEPTH, m).T])
+            n.append(np.frombuffer(data[ends[1] : ends[2]], np.uint32).astype(np.int64))
+            depth.append(np.frombuffer(data[ends[2] :], np.uint8))
             lang.append(np.full(m, langs.indices[i].as_py(), np.int64))
         w, n, depth, lang = (np.concatenate(x) for x in (w, n, depth, lang))
         ids, code = np.unique(w, return_inverse=True)
@@ -301,7 +308,7 @@ def phrases(docs: DataFrame, words: DataFrame, least: int, seed: int, bits: int
             found.append(pa.table({"lang": langs.dictionary.take(pa.array(lang[at])), "w": phrase, "a": pa.array(total)}))
         return pa.concat_tables(found)
 
-    dealt = docs.mapInArrow(deal, "grp int, lang string, words binary, codes binary, n binary, depth binary")
+    dealt = docs.mapInArrow(deal, "grp int, lang string, size int, words int, data binary")
     nodes = dealt.groupBy("grp").applyInArrow(subtrees, "lang string, w array<long>, a long")
     for k in kept:
         nodes = nodes.unionByName(k.where(F.col("a") >= least))
