@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import paths, text, vectors
 from lodestone.operators import chunks, embed, guard, metrics, search, sync
 from lodestone.plans import ingest, search as plan
-from lodestone.sources import corpus, imports, store
+from lodestone.sources import collection, corpus, imports, store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -788,10 +789,33 @@ def fallback_id(spark, d):
 
 @query(f"WITH {POINTS} SELECT project_id, count(*) AS points, count(DISTINCT content_hash) AS texts, min(id) AS first FROM points WHERE project_id IN (SELECT source FROM documents WHERE doc_id < 50) GROUP BY 1")
 def write_read_chunks(spark, d):
-    """The collection written as a snapshot and read back, by the projects that the first fifty documents name."""
+    """The collection written and read back, by the projects that the first fifty documents name."""
     wanted = [r[0] for r in _t(spark, d, "documents").where("doc_id < 50").select("source").distinct().collect()]
-    path = store.write_chunks(points(spark, d), f"{store.shared_dir(spark)}/chunks")
-    return store.read_chunks(spark, path, wanted).groupBy("project_id").agg(F.count("*").alias("points"), F.count_distinct("content_hash").alias("texts"), F.min("id").alias("first"))
+    base = _written(spark, points(spark, d), 200)
+    return collection.read_chunks(spark, base, wanted).groupBy("project_id").agg(F.count("*").alias("points"), F.count_distinct("content_hash").alias("texts"), F.min("id").alias("first"))
+
+
+def _written(spark: SparkSession, chunks: DataFrame, rows: int) -> str:
+    """A collection of its own for a query, in the shared folder."""
+    base = f"{store.shared_dir(spark)}/collection-{uuid.uuid4().hex}"
+    collection.write_chunks(chunks, base, rows)
+    return base
+
+
+@query(f"""WITH {POINTS}, kept AS (SELECT project_id, id, content, lang FROM points WHERE n % 50 <> 0 AND n % 70 <> 3 AND project_id <> 'src7'
+  UNION ALL SELECT project_id, id, content || '!', lang FROM points WHERE n % 50 = 0 AND project_id <> 'src7'
+  UNION ALL SELECT project_id, 'new' || id, content, lang FROM points WHERE n % 100 = 0 AND project_id <> 'src7') SELECT * FROM kept""")
+def upsert_chunks(spark, d):
+    """A fiftieth of the stored points comes again with other content, some come in, some go, and a project goes; old files are taken away."""
+    p = points(spark, d)
+    base = _written(spark, p, 200)
+    n = F.col("id").cast("long")
+    again = p.where(n % 50 == 0).withColumn("content", F.concat("content", F.lit("!")))
+    new = p.where(n % 100 == 0).withColumn("id", F.concat(F.lit("new"), "id"))
+    collection.upsert_chunks(again.unionByName(new), base, gone=p.where(n % 70 == 3), rows=200)
+    collection.delete_projects(spark, base, ["src7"])
+    collection.collect_old(spark, base)
+    return collection.read_chunks(spark, base).select("project_id", "id", "content", F.col("meta")["lang"].alias("lang"))
 
 
 # ---- vectors from text, imports ----

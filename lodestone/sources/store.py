@@ -1,9 +1,8 @@
-"""The chunk collection: Parquet partitioned by project, replaced snapshot by snapshot."""
+"""The shared folder, and the sinks of query metrics and logs."""
 
 from __future__ import annotations
 
 import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,22 +22,6 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def write_chunks(chunks: DataFrame, base: str) -> str:
-    """Write a new snapshot below ``base`` and return its path. Readers of older ones are not disturbed.
-
-    Files are of about the advisory partition size: a large project is split, small ones share a task.
-    """
-    path = f"{base.rstrip('/')}/snapshot-{uuid.uuid4().hex}"
-    chunks.hint("rebalance", F.col("project_id")).write.partitionBy("project_id").parquet(path)
-    return path
-
-
-def read_chunks(spark: SparkSession, path: str, projects: list[str] | None = None) -> DataFrame:
-    """A snapshot, or some projects of it; the filter prunes partitions."""
-    chunks = spark.read.parquet(path).withColumn("project_id", F.col("project_id").cast("string"))
-    return chunks.where(F.col("project_id").isin(projects)) if projects is not None else chunks
-
-
 def append_rows(rows: DataFrame, path: str) -> None:
     """Sink of query metrics and logs."""
     rows.write.mode("append").parquet(path)

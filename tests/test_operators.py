@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lodestone.operators import chunks, embed, guard, metrics, search, sync
 from lodestone.plans import search as plan
+from lodestone.sources import collection as bucketed
 from lodestone.sources import corpus, imports, store
 
 
@@ -98,8 +99,8 @@ def test_sync_steps(spark, tmp_path):
     assert f.count() == 1
     stored, counts = sync.sync_corpus(made, f, made.limit(0))
     assert counts.first().asDict() == {"project_id": "p", "indexed": 1, "deleted": 0, "files_scanned": 1, "skipped": 0}
-    path = store.write_chunks(stored, str(tmp_path / "store"))
-    stored = store.read_chunks(spark, path, ["p"]).select(*made.columns)
+    bucketed.write_chunks(stored, str(tmp_path / "store"))
+    stored = bucketed.read_chunks(spark, str(tmp_path / "store"), ["p"]).select(*made.columns)
     assert stored.first().content == "File: test.go\n\npackage main\n"
     assert sync.sync_corpus(made, f, stored)[1].first().skipped == 1
     (tmp_path / "proj/test.go").write_text("package main\n\nfunc newFunc() {}\n")
