@@ -8,12 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from lodestone.operators import metrics, sync
+from lodestone.operators import metrics
+from lodestone.sources import collection
 
 EVENT_SCHEMA = "type string, timestamp timestamp, data string"
 
@@ -95,14 +97,63 @@ def recent_feed(events: DataFrame, state: str, checkpoint: str, keep: int = 50,
     return keep_state(events, lambda rows: rows.orderBy(*(F.col(c).desc() for c in order)).limit(keep), state, checkpoint)
 
 
-def latency_ring(samples: DataFrame, state: str, checkpoint: str, group: list[str], last: int = 512) -> StreamingQuery:
-    """Each group's newest samples ``ts, id, latency_ms``."""
+class _Ring(StatefulProcessor):
+    """The newest rows of a key, in the order of two columns, in a list whose size is bounded."""
 
-    def newest(rows: DataFrame) -> DataFrame:
-        place = F.row_number().over(metrics.Window.partitionBy(*group).orderBy(F.col("ts").desc(), F.col("id").desc()))
-        return rows.withColumn("__n", place).where(F.col("__n") <= last).drop("__n")
+    def __init__(self, fields: list[str], schema: str, order: list[str], last: int):
+        self.fields, self.schema, self.order, self.last = fields, schema, order, last
 
-    return keep_state(samples, newest, state, checkpoint)
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.kept = handle.getListState("kept", self.schema)
+
+    def handleInputRows(self, key, rows, timerValues):
+        held = pd.DataFrame(list(self.kept.get()), columns=self.fields)
+        new = pd.concat(list(rows))[self.fields]
+        both = pd.concat([held.astype(new.dtypes.to_dict()), new] if len(held) else [new])
+        both = both.sort_values(self.order, ascending=False, kind="stable").head(self.last)
+        self.kept.put(list(both.itertuples(index=False, name=None)))
+        yield both
+
+    def close(self) -> None:
+        pass
+
+
+def keyed_state(spark: SparkSession, start: Callable[[], StreamingQuery]) -> StreamingQuery:
+    """Start a query whose state is kept by key, in the store that can change single entries; the session's own choice stays."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        return start()
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def latency_ring(samples: DataFrame, state: str, checkpoint: str, group: list[str], last: int = 512, salts: int = 8) -> StreamingQuery:
+    """Each group's newest samples ``ts, id, latency_ms``, read by ``ring_of``.
+
+    A group's samples are dealt to ``salts`` rings by their id, so a hot group is no single task; state
+    and a batch's output are bounded by ``last`` x rings that the batch has samples of.
+    """
+    spark = samples.sparkSession
+    kinds = dict(samples.select(*group, "ts", "id", "latency_ms").dtypes)
+    keys = [*group, "salt"]
+    schema = ", ".join(f"`{c}` {k}" for c, k in kinds.items()) + ", salt int"
+    rows = samples.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")).select(*kinds, "salt")
+    rings = rows.groupBy(*keys).transformWithStateInPandas(_Ring([*kinds, "salt"], schema, ["ts", "id"], last), schema, "update", "none")
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{state}/batch={batch_id:012d}")
+
+    return keyed_state(spark, lambda: rings.writeStream.outputMode("update").foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+
+
+def ring_of(spark: SparkSession, state: str, group: list[str], last: int = 512) -> DataFrame:
+    """The newest samples of each group over its rings, each as its last batch left it."""
+    rings = spark.read.parquet(state)
+    newest = rings.withColumn("__b", F.max("batch").over(metrics.Window.partitionBy(*group, "salt"))).where("batch = __b")
+    place = F.row_number().over(metrics.Window.partitionBy(*group).orderBy(F.col("ts").desc(), F.col("id").desc()))
+    return newest.withColumn("__n", place).where(F.col("__n") <= last).drop("__n", "__b", "batch", "salt")
 
 
 def query_log(entries: DataFrame, state: str, checkpoint: str, keep: int) -> StreamingQuery:
@@ -110,19 +161,63 @@ def query_log(entries: DataFrame, state: str, checkpoint: str, keep: int) -> Str
     return keep_state(metrics.logged(entries), lambda rows: metrics.prune_log(rows, keep), state, checkpoint)
 
 
-def sync_stream(changes: DataFrame, empty: DataFrame, state: str, checkpoint: str, chunk: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
-    """Changed files into the collection: each batch is a scan of the files it holds.
+class _Known(StatefulProcessor):
+    """What a file's chunks hashed to when they were last seen: only chunks that differ go on."""
+
+    def __init__(self, columns: list[str], prune: bool):
+        self.columns, self.prune = columns, prune
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.known = handle.getMapState("known", "id string", "hash string")
+
+    def handleInputRows(self, key, rows, timerValues):
+        rows = pd.concat(list(rows))
+        chunks = rows[~rows["gone"].astype(bool)]
+        known = {k[0]: v[0] for k, v in self.known.iterator()}
+        fresh = chunks[np.array([known.get(i) != h or not h for i, h in zip(chunks["id"], chunks["content_hash"])], bool)]
+        for i, h in zip(fresh["id"], fresh["content_hash"]):
+            self.known.updateValue((i,), (h,))
+        yield fresh
+        now = set(chunks["id"])
+        # a file that is gone takes all of its chunks along; one that has become shorter does if it is asked for
+        lost = [i for i in known if i not in now] if self.prune or not len(chunks) else []
+        for i in lost:
+            self.known.removeKey((i,))
+        if lost:
+            out = pd.DataFrame({c: [None] * len(lost) for c in self.columns})
+            out["id"], out["gone"] = lost, True
+            for c, v in zip(("project_id", "source_dir", "source_file"), key):
+                out[c] = v
+            yield out.astype({c: t for c, t in rows.dtypes.items() if t == object})
+
+    def close(self) -> None:
+        pass
+
+
+def changed_chunks(changes: DataFrame, chunk: Callable[[DataFrame], DataFrame], prune_orphan_chunks: bool = False) -> DataFrame:
+    """Chunks that are new or changed, and with ``gone`` true the ids of those that went, of a stream of files.
+
+    ``chunk`` makes points of files; rows of ``changes`` with ``deleted`` true are files that are gone. State is one
+    hash for each chunk, by file, and a micro-batch reads and writes only that of its own files.
+    """
+    made = chunk(changes.where(~F.col("deleted"))).withColumn("gone", F.lit(False))
+    gone = changes.where("deleted").select("project_id", "source_dir", "source_file", F.lit(True).alias("gone"))
+    rows = made.unionByName(gone, allowMissingColumns=True)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return rows.groupBy("project_id", "source_dir", "source_file").transformWithStateInPandas(_Known(rows.columns, prune_orphan_chunks), schema, "append", "none")
+
 
-    ``empty`` has the collection's columns; ``chunk`` makes points of files. Deletions come as
-    rows with ``deleted`` true.
+def sync_stream(changes: DataFrame, base: str, checkpoint: str, chunk: Callable[[DataFrame], DataFrame], prune_orphan_chunks: bool = False, rows: int = collection.ROWS) -> StreamingQuery:
+    """Changed files into the collection in ``base``: each batch rewrites the buckets of the chunks that it changes.
+
+    A batch that runs again after a failure finds its change made and leaves it. The collection has to have no other
+    writer, or a batch whose version another one has taken fails and is run again.
     """
+    name = f"{checkpoint}#"
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        stored = _latest(batch.sparkSession, state, batch_id)
-        stored = empty if stored is None else stored
-        files = batch.where(~F.col("deleted"))
-        gone = stored.join(batch.where("deleted").select("project_id", "source_dir", "source_file").distinct(), ["project_id", "source_dir", "source_file"], "left_semi")
-        fresh = sync.new_or_changed(chunk(files), stored)
-        _replace(sync.upsert_points(sync.delete_points(stored, gone), fresh), state, batch_id)
-
-    return _start(changes, each, checkpoint, True)
+        fresh, gone = batch.where(~F.col("gone")).drop("gone"), batch.where("gone").select("project_id", "id")
+        collection.upsert_chunks(fresh, base, gone=gone, rows=rows, token=f"{name}{batch_id}")
+
+    stream = changed_chunks(changes, chunk, prune_orphan_chunks)
+    return keyed_state(changes.sparkSession, lambda: stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())

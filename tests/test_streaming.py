@@ -1,8 +1,10 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import chunks, metrics
+from lodestone.operators import chunks, metrics, sync
+from lodestone.sources import collection
 from lodestone.streaming import jobs
 
 
@@ -46,20 +48,61 @@ def test_progress_ring_and_log(spark, tmp_path):
     rows = [{"id": i, "ts": f"2024-01-01T00:{i // 60:02}:{i % 60:02}", "g": "ab"[i % 2], "latency_ms": float(i), "no_log": i % 4 == 0} for i in range(100)]
     feed(tmp_path / "s", rows)
     samples = jobs.read_events(spark, str(tmp_path / "s"), "id long, ts timestamp, g string, latency_ms double, no_log boolean", 1)
-    jobs.latency_ring(samples, str(tmp_path / "ring"), str(tmp_path / "c2"), ["g"], last=10).awaitTermination()
-    assert {r.id for r in jobs.state_of(spark, str(tmp_path / "ring")).collect()} == set(range(80, 100))
+    jobs.latency_ring(samples, str(tmp_path / "ring"), str(tmp_path / "c2"), ["g"], last=10, salts=3).awaitTermination()
+    assert {r.id for r in jobs.ring_of(spark, str(tmp_path / "ring"), ["g"], 10).collect()} == set(range(80, 100))
+    most = spark.read.parquet(str(tmp_path / "ring")).groupBy("batch").count().agg({"count": "max"}).first()[0]
+    assert most <= 10 * 2 * 3
     jobs.query_log(samples, str(tmp_path / "log"), str(tmp_path / "c3"), 12).awaitTermination()
     assert {r.id for r in jobs.state_of(spark, str(tmp_path / "log")).collect()} == {i for i in range(88, 100) if i % 4}
 
 
-def test_sync_stream(spark, tmp_path):
-    schema = "project_id string, source_dir string, source_file string, content string, length long, deleted boolean"
-    row = lambda f, c, gone=False: {"project_id": "p", "source_dir": "d", "source_file": f, "content": c, "length": len(c), "deleted": gone}
-    empty = chunks.chunk_files(spark.createDataFrame([], schema))
-    for k, rows in enumerate([[row("a.go", "one"), row("b.go", "two")], [row("a.go", "three"), row("b.go", "", True), row("c.go", "four")]]):
-        (tmp_path / "in").mkdir(exist_ok=True)
-        (tmp_path / "in" / f"{k}.json").write_text("\n".join(map(json.dumps, rows)))
-        stream = jobs.read_events(spark, str(tmp_path / "in"), schema, 1)
-        jobs.sync_stream(stream, empty, str(tmp_path / "state"), str(tmp_path / "ck"), lambda f: chunks.chunk_files(f)).awaitTermination()
-    out = jobs.state_of(spark, str(tmp_path / "state")).select("source_file", F.substring_index("content", "\n", -1).alias("c")).collect()
-    assert {(r.source_file, r.c) for r in out} == {("a.go", "three"), ("c.go", "four")}
+FILES = "project_id string, source_dir string, source_file string, content string, length long, deleted boolean"
+
+
+def a_file(name, content, gone=False):
+    return {"project_id": "p", "source_dir": "d", "source_file": name, "content": content, "length": len(content), "deleted": gone}
+
+
+@pytest.mark.parametrize("prune", [False, True])
+def test_sync_stream(spark, tmp_path, prune):
+    base, folder = str(tmp_path / "base"), tmp_path / "in"
+    folder.mkdir()
+    small = lambda f: chunks.chunk_files(f, 4)
+    steps = [
+        [a_file("a.go", "one1two2three"), a_file("b.go", "two"), *(a_file(f"x{i}.go", f"{i}") for i in range(30))],
+        [a_file("a.go", "one1"), a_file("b.go", "", True), a_file("c.go", "four"), a_file("x1.go", "1")],
+        [a_file("b.go", "back"), a_file("x2.go", "other")],
+    ]
+    sizes = []
+    for k, rows in enumerate(steps):
+        (folder / f"{k}.json").write_text("\n".join(map(json.dumps, rows)))
+        stream = jobs.read_events(spark, str(folder), FILES, 1)
+        jobs.sync_stream(stream, base, str(tmp_path / "ck"), small, prune, rows=4).awaitTermination()
+        v = collection.version(spark, base)
+        sizes.append(spark.read.parquet(f"{base}/manifests/{v.manifest}").where(F.col("path").contains(v.manifest)).agg(F.sum("rows")).first()[0] or 0)
+    stored, counts = None, small(spark.createDataFrame([], FILES))
+    stored = counts
+    for rows in steps:
+        f = spark.createDataFrame(rows, FILES)
+        gone = stored.join(f.where("deleted").select("project_id", "source_file"), ["project_id", "source_file"], "left_semi")
+        now = small(f.where("not deleted"))
+        lost = sync.orphan_chunks(stored, now) if prune else stored.limit(0)
+        stored = sync.upsert_points(sync.delete_points(stored, gone.select("project_id", "id").unionByName(lost.select("project_id", "id"))), now)
+        stored = spark.createDataFrame(stored.collect(), stored.schema)
+    got = collection.read_chunks(spark, base)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, stored.select(*got.columns).collect()))
+    assert ("a.go", 2) in {(r.source_file, r.chunk_index) for r in got.collect()} or prune
+    # what a batch writes goes by what it changes, not by what is stored
+    assert sizes[0] > 30 and all(n < 20 for n in sizes[1:])
+
+
+def test_only_changes_go_on(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for k, rows in enumerate([[a_file("a.go", "one1two2")], [a_file("a.go", "one1tow2")], [a_file("a.go", "one1tow2")], [a_file("a.go", "", True), a_file("never.go", "", True)]]):
+        (folder / f"{k}.json").write_text("\n".join(map(json.dumps, rows)))
+    stream = jobs.changed_chunks(jobs.read_events(spark, str(folder), FILES, 1), lambda f: chunks.chunk_files(f, 4))
+    out = []
+    each = lambda batch, i: out.append(sorted((r.id[-1], r.gone) for r in batch.collect()))
+    jobs.keyed_state(spark, lambda: stream.writeStream.foreachBatch(each).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()).awaitTermination()
+    assert [x for x in out if x] == [[("0", False), ("1", False)], [("1", False)], [("0", True), ("1", True)]]
