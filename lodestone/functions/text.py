@@ -119,25 +119,39 @@ def ts_rank(terms: Column, words: Column) -> Column:
     return rank_hits(hits, F.size(terms))
 
 
+#: Places of different terms that lie further apart than this add nothing that a score can show.
+FAR = 100
+
+
+def _rank(at: np.ndarray, term: np.ndarray, n_terms: int) -> float:
+    if n_terms == 1:
+        return float(0.1 * (1 / np.arange(1.0, max(1, len(at)) + 1) ** 2).sum() / 1.64493406685)
+    misses = 1.0
+    for k in range(1, min(FAR, len(at) - 1) + 1):  # places differ, so no two within reach have more than FAR between them
+        gap = at[k:] - at[:-k]
+        near = (gap <= FAR) & (term[k:] != term[:-k])
+        misses *= np.prod(1 - np.sqrt(0.01 / (1.005 + 0.05 * np.exp(gap[near] / 1.5 - 2))))
+    return float(1 - misses)
+
+
 def rank_hits(hits: Column, n_terms: Column) -> Column:
     """The rank from the places where query terms stand, (at, term) structs in order of place.
 
     One term: the sum of 1/j^2 over its hits, scaled by 6/pi^2. Several: each pair of
     places of different terms weighs by how near they are, and the weights combine as
-    independent chances.
+    independent chances. The work goes with the number of hits, as pairs far apart weigh nothing.
     """
-    single = F.lit(0.1) * F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(hits), F.lit(1))), F.lit(0.0), lambda s, j: s + 1 / (j * j)) / F.lit(1.64493406685)
-
-    def near(gap: Column) -> Column:
-        weight = 1 / (F.lit(1.005) + F.lit(0.05) * F.exp(gap / F.lit(1.5) - 2))
-        return F.when(gap > 100, F.lit(1e-30)).otherwise(weight)
 
-    def misses(state: Column, a: Column) -> Column:
-        later = F.filter(hits, lambda b: (b["at"] > a["at"]) & (b["term"] != a["term"]))
-        return F.aggregate(later, state, lambda s, b: s * (1 - F.sqrt(F.lit(0.01) * near((b["at"] - a["at"]).cast("double")))))
+    @F.arrow_udf("double")
+    def rank(hits: pa.Array, n: pa.Array) -> pa.Array:
+        edges = np.asarray(hits.offsets)
+        flat = hits.flatten()
+        at, term = (np.asarray(flat.field(i)).astype(np.int64) for i in range(2))
+        edges = edges - edges[0] if len(edges) else edges
+        ranks = [None if k is None else _rank(at[a:b], term[a:b], k) for a, b, k in zip(edges, edges[1:], n.to_pylist())]
+        return pa.array(ranks, pa.float64(), mask=np.asarray(hits.is_null()))
 
-    several = 1 - F.aggregate(hits, F.lit(1.0), misses)
-    return F.when(n_terms == 1, single).otherwise(several)
+    return rank(hits, n_terms)
 
 
 def highlight(content: Column, terms: Column) -> Column:

@@ -10,15 +10,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from random import Random
+from uuid import uuid4
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from lodestone.functions import text, vectors
+from lodestone.sources.store import shared_dir
 
 DEFAULT_K, DEFAULT_RECALL = 5, 25
 #: Query rows of this many bytes at most are broadcast; beyond, both sides are shuffled.
@@ -33,19 +36,19 @@ def resolve_options(requests: DataFrame) -> DataFrame:
 
 
 def small(queries: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """``queries`` marked for broadcast if their measured size allows it.
+    """``queries`` marked for broadcast if their measured size allows it."""
+    return F.broadcast(queries) if _size(queries) <= limit else queries
 
-    The size is an upper bound from counts: a fixed part for each row, the text's bytes and
-    the vector's doubles.
-    """
+
+def _size(queries: DataFrame) -> int:
+    """An upper bound of their bytes from counts: a fixed part for each row, the text's bytes and the vector's doubles."""
     size = F.lit(64)
     for name, kind in queries.dtypes:
         if kind == "string":
             size = size + F.coalesce(F.octet_length(name), F.lit(0))
         elif kind.startswith("array"):
             size = size + F.coalesce(F.size(name), F.lit(0)) * (16 if "string" not in kind else 64)
-    total = queries.agg(F.sum(size)).first()[0] or 0
-    return F.broadcast(queries) if total <= limit else queries
+    return queries.agg(F.sum(size)).first()[0] or 0
 
 
 def query_chunk_pairs(queries: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -133,16 +136,109 @@ def match_postings(queries: DataFrame, index: DataFrame) -> DataFrame:
     return met.groupBy("query_id", "id").agg(F.count("*").alias("hits"), F.first("n").alias("n")).where("hits = n").select("query_id", "id")
 
 
-def topk_lexical(queries: DataFrame, chunks: DataFrame, k: int = DEFAULT_RECALL, columns: tuple[str, ...] = ()) -> DataFrame:
+def _asked(queries: DataFrame) -> DataFrame:
+    """Queries that have any terms: ``query_id, project_id, terms``."""
+    return queries.select("query_id", "project_id", text.query_terms(F.col("query")).alias("terms")).where(F.size("terms") > 0)
+
+
+def _hits(queries: list, words: pa.ListArray, project: pa.Array):
+    """(query number, row, places, term numbers) of rows that hold all terms of a query, intersected from the
+    term that the fewest rows of this batch hold."""
+    number = {t: i for i, t in enumerate(dict.fromkeys(t for q in queries for t in q.terms))}
+    size = np.diff(np.asarray(words.offsets))
+    row = np.repeat(np.arange(len(size)), size)
+    at = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+    flat = words.flatten().dictionary_encode()
+    known = np.array([number.get(w, -1) for w in flat.dictionary.to_pylist()] or [-1])
+    term = known[flat.indices.to_numpy()] if len(flat) else np.empty(0, np.int64)
+    some = term >= 0
+    row, at, term = row[some], at[some], term[some]
+    rows_of = np.unique(term * len(size) + row) if len(size) else np.empty(0, np.int64)
+    edges = np.searchsorted(rows_of, np.arange(len(number) + 1) * len(size))
+    held = np.diff(edges)
+    asked = np.array([number[t] for q in queries for t in q.terms])
+    starts = np.cumsum([0, *(len(q.terms) for q in queries)])
+    begins = np.searchsorted(row, np.arange(len(size) + 1))
+    of = project.to_pylist()
+    for i in np.flatnonzero(np.minimum.reduceat(held[asked], starts[:-1])):
+        terms = asked[starts[i] : starts[i + 1]]
+        terms = terms[np.argsort(held[terms], kind="stable")]
+        found = rows_of[edges[terms[0]] : edges[terms[0] + 1]] % len(size)
+        for t in terms[1:]:
+            found = found[np.isin(found, rows_of[edges[t] : edges[t + 1]] % len(size), assume_unique=True)]
+            if not len(found):
+                break
+        for r in found.tolist():
+            if of[r] == queries[i].project_id:
+                own = slice(begins[r], begins[r + 1])
+                inside = np.isin(term[own], terms)
+                yield i, r, at[own][inside], term[own][inside]
+
+
+def _scan_hits(asked: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``query_id, project_id, id, n, hits`` by one pass over the chunks' words; ``asked`` is of checked size."""
+    queries = asked.sparkSession.sparkContext.broadcast(asked.collect())
+    kinds = dict(asked.dtypes) | dict(chunks.select("id").dtypes)
+
+    def run(batches):
+        for b in batches:
+            out = list(_hits(queries.value, b.column("words"), b.column("project_id"))) if queries.value and b.num_rows else []
+            if out:
+                rows = pa.array([r for _, r, _, _ in out])
+                places = pa.StructArray.from_arrays([pa.array(np.concatenate([x[2] for x in out]), pa.int32()), pa.array(np.concatenate([x[3] for x in out]), pa.int32())], names=["at", "term"])
+                ends = pa.array(np.cumsum([0, *(len(x[2]) for x in out)]), pa.int32())
+                ids = pa.array([queries.value[i].query_id for i, _, _, _ in out])
+                yield pa.RecordBatch.from_arrays([ids.cast(query_kind), b.column("project_id").take(rows), b.column("id").take(rows), pa.array([len(queries.value[i].terms) for i, _, _, _ in out], pa.int32()), pa.ListArray.from_arrays(ends, places)], names=["query_id", "project_id", "id", "n", "hits"])
+
+    query_kind = to_arrow_type(asked.schema["query_id"].dataType)
+    words = chunks.select("project_id", "id", F.coalesce(text.tokens(F.col("content")), F.array().cast("array<string>")).alias("words"))
+    return words.mapInArrow(run, f"query_id {kinds['query_id']}, project_id {kinds['project_id']}, id {kinds['id']}, n int, hits array<struct<at:int,term:int>>")
+
+
+def write_index(chunks: DataFrame, path: str, buckets: int = 64) -> None:
+    """Store the chunks' postings below ``path``, by hash buckets of their terms and in the order of terms within, so
+    that a search opens the buckets of its terms and skips blocks by their bounds; and how many chunks hold each term.
+
+    A term that most chunks hold is spread over as many files as its size asks for.
+    """
+    bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("bucket")
+    index = postings(chunks).select("*", bucket).hint("rebalance", F.col("bucket"))
+    index.sortWithinPartitions("bucket", "term", "project_id", "id").write.partitionBy("bucket").parquet(f"{path}/postings")
+    stored = chunks.sparkSession.read.schema(index.schema).parquet(f"{path}/postings")
+    stored.groupBy("bucket", "project_id", "term").agg(F.count("*").alias("chunks")).write.partitionBy("bucket").parquet(f"{path}/terms")
+    (chunks.sparkSession.range(1).select(F.lit(buckets).alias("buckets"))).write.parquet(f"{path}/about")
+
+
+def _index_hits(asked: DataFrame, path: str) -> DataFrame:
+    """``query_id, project_id, id, n, hits`` from a stored index: candidates are the chunks that hold a query's
+    rarest term, and places are fetched for them only."""
+    spark = asked.sparkSession
+    buckets = spark.read.parquet(f"{path}/about").first().buckets
+    index, counts = spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/terms")
+    kinds = dict(asked.dtypes)
+    by = lambda df: df.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
+    terms = by(asked.select("query_id", F.col("project_id").cast(kinds["project_id"]).alias("project_id"), F.size("terms").alias("n"), F.posexplode("terms").alias("number", "term")))
+    met = counts.join(small(terms), ["bucket", "project_id", "term"])
+    rarest = met.groupBy("query_id", "project_id", "n").agg(F.count("*").alias("known"), F.min_by("term", F.struct("chunks", "term")).alias("term")).where("known = n").drop("known")
+    found = index.select("bucket", "project_id", "term", "id").join(small(by(rarest)), ["bucket", "project_id", "term"]).select("query_id", "project_id", "id", "n")
+    wanted = found.join(terms.drop("project_id", "n"), "query_id")
+    places = index.join(small(wanted), ["bucket", "project_id", "term", "id"]).groupBy("query_id", "project_id", "id", "n")
+    all_hits = F.flatten(F.collect_list(F.transform("positions", lambda p: F.struct(p.alias("at"), F.col("number").alias("term")))))
+    return places.agg(F.count("*").alias("held"), F.array_sort(all_hits).alias("hits")).where("held = n").drop("held")
+
+
+def topk_lexical(queries: DataFrame, chunks: DataFrame, k: int = DEFAULT_RECALL, columns: tuple[str, ...] = (), index: str | None = None) -> DataFrame:
     """The k best chunks that hold all of the query's words, by ts_rank. No words match nothing.
 
-    Chunks are split into words once; only words that some query asks for go on, with their places.
+    With ``index``, the path of a stored index of the chunks, only what it has of the queries' terms is read.
+    Without one, queries of checked size are looked up in the chunks' words in one pass; for more of
+    them an index is stored first.
     """
-    asked = queries.select("query_id", "project_id", text.query_terms(F.col("query")).alias("terms"))
-    asked = asked.select("query_id", "project_id", F.size("terms").alias("n"), F.posexplode("terms").alias("term", "word"))
-    known = chunks.select("project_id", "id", F.posexplode(text.tokens(F.col("content"))).alias("at", "word"))
-    hits = known.join(small(asked), ["project_id", "word"]).groupBy("query_id", "project_id", "id").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("at", "term"))).alias("hits"))
-    found = hits.where(F.size(F.array_distinct(F.transform("hits", lambda h: h["term"]))) == F.col("n"))
+    asked = _asked(queries)
+    if index is None and _size(asked) > BROADCAST_BYTES:
+        index = f"{shared_dir(queries.sparkSession)}/index-{uuid4().hex}"
+        write_index(chunks, index)
+    found = _scan_hits(asked, chunks) if index is None else _index_hits(asked, index)
     best = _top(found.select("query_id", "project_id", "id", text.rank_hits(F.col("hits"), F.col("n")).alias("score")), k)
     best = best.join(chunks.select("project_id", "id", *columns), ["project_id", "id"]) if columns else best
     return best.select("query_id", "id", *columns, "score", "rank")

@@ -408,6 +408,14 @@ def topk_lexical(spark, d):
     return search.topk_lexical(word_queries(spark, d), vector_chunks(spark, d)).select("query_id", "id", _r("score").alias("score"), "rank")
 
 
+@query(f"WITH {DENSE.format(k=5)}, {ASKED} SELECT query_id, id, round(score, 6) AS score, rank FROM lexical")
+def topk_lexical_index(spark, d):
+    """The same from a stored index, which only the queries' terms are read of."""
+    chunks_, path = vector_chunks(spark, d), f"{store.shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    search.write_index(chunks_, path)
+    return search.topk_lexical(word_queries(spark, d), chunks_, index=path).select("query_id", "id", _r("score").alias("score"), "rank")
+
+
 @query(f"WITH {DENSE.format(k=5)}, {ASKED} SELECT query_id, id FROM matched")
 def match_postings(spark, d):
     return search.match_postings(word_queries(spark, d), search.postings(vector_chunks(spark, d)))

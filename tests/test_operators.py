@@ -1,8 +1,11 @@
 import datetime as dt
 import hashlib
 import json
+import math
+import random
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -290,3 +293,49 @@ def test_reembedding(spark):
 def test_progress(spark):
     rows = spark.createDataFrame([(1, b, b * 64, 1000) for b in range(1, 17)], "run_id int, batch int, done int, total int")
     assert [r.pct for r in metrics.progress(rows).orderBy("batch").collect()] == sorted({b * 64 * 100 // 1000 for b in range(1, 17)})
+
+
+def test_lexical_search_by_scan_and_by_index(spark, tmp_path):
+    r = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(60)]
+    rows = [(r.choice("AB"), str(i), " ".join(r.choices(vocabulary, weights=range(60, 0, -1), k=r.randint(0, 150)))) for i in range(300)] + [("A", "none", None)]
+    chunks_ = spark.createDataFrame(rows, "project_id string, id string, content string").repartition(5)
+    asks = [(i, r.choice("ABC"), " ".join(r.choices(vocabulary, k=r.randint(0, 6)))) for i in range(80)] + [(900, "A", "w1 unknown"), (901, "A", "W1"), (902, "B", "")]
+    queries_ = spark.createDataFrame(asks, "query_id long, project_id string, query string")
+    path = str(tmp_path / "index")
+    search.write_index(chunks_, path, buckets=3)
+    by_scan = {(x.query_id, x.id): (round(x.score, 9), x["rank"]) for x in search.topk_lexical(queries_, chunks_, 400).collect()}
+    by_index = {(x.query_id, x.id): (round(x.score, 9), x["rank"]) for x in search.topk_lexical(queries_, chunks_, 400, index=path).collect()}
+    want = {(q, i) for q, p, t in asks for of, i, c in rows if p == of and t and c and set(t.lower().split()) <= set(c.split())}
+    assert by_scan == by_index and set(by_scan) == want and len(want) > 100
+    pair = next(iter(x for x in want if len(dict((a[0], a[2]) for a in asks)[x[0]].split()) > 1))
+    words = dict((x[1], x[2]) for x in rows)[pair[1]].split()
+    terms = list(dict.fromkeys(dict((a[0], a[2]) for a in asks)[pair[0]].split()))
+    misses = 1.0
+    for a in range(len(words)):
+        for b in range(a + 1, len(words)):
+            if words[a] in terms and words[b] in terms and words[a] != words[b]:
+                misses *= 1 - (0.01 * (1e-30 if b - a > 100 else 1 / (1.005 + 0.05 * math.exp((b - a) / 1.5 - 2)))) ** 0.5
+    assert by_scan[pair][0] == pytest.approx(1 - misses, abs=1e-8)
+
+
+def test_an_index_reads_candidates_only(spark, tmp_path):
+    from lodestone import queries
+
+    d, path = "/root/testdata/sf0.001", str(tmp_path / "index")
+    chunks_ = queries.vector_chunks(spark, d)
+    search.write_index(chunks_, path)
+    found = search._index_hits(search._asked(queries.word_queries(spark, d)), path)
+    n = found.count()
+    plan_ = found._jdf.queryExecution().toString()
+    assert n and "PartitionFilters" in plan_
+    asked = search._asked(queries.word_queries(spark, d))
+    rarest = asked.select("query_id", F.explode("terms").alias("term")).join(spark.read.parquet(f"{path}/terms"), "term").groupBy("query_id").agg(F.min("chunks").alias("n"))
+    joined = rarest.agg(F.sum("n")).first()[0] + found.agg(F.sum("n")).first()[0]
+    assert joined <= 100 * n
+
+
+def test_rank_of_many_hits_takes_time_in_proportion():
+    at, term = np.arange(200_000), np.arange(200_000) % 3
+    began = time.time()
+    assert 0.999 < text._rank(at, term, 3) <= 1 and time.time() - began < 2
