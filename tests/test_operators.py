@@ -3,6 +3,7 @@ import hashlib
 import json
 import math
 import random
+import re
 import time
 
 import numpy as np
@@ -231,6 +232,49 @@ def test_approximate_search_with_nulls(spark):
     assert search.topk_approx(asked(spark, None), collection(spark, rows), 5).count() == 0
 
 
+def test_a_stored_vector_index_reads_the_probed_cells(spark, tmp_path):
+    from lodestone import queries
+
+    d, path = "/root/testdata/sf0.01", str(tmp_path / "vectors")
+    q, c = queries.vector_queries(spark, d), queries.vector_chunks(spark, d)
+    search.write_vector_index(c, path, cells=32)
+    one = q.where("query_id = 50")
+    near = search.topk_approx(one, index=path, probes=3)
+    # both scans of the index are told which three cells to open
+    assert len(re.findall(r"PartitionFilters: \[cell#\d+ IN \(\d+,\d+,\d+\)", near._jdf.queryExecution().toString())) >= 2
+    exact = {(r.query_id, r.id) for r in search.topk_dense(q, c, 5).collect()}
+    some = {(r.query_id, r.id): r.score for r in search.topk_approx(q, index=path, probes=20).collect()}
+    assert len(exact & set(some)) / len(exact) >= 0.9
+    assert {(r.query_id, r.id) for r in search.topk_approx(q, index=path, probes=32, refine=10**6).collect()} == exact
+    search.write_vector_index(c.limit(0), str(tmp_path / "none"))
+    assert search.topk_approx(q, index=str(tmp_path / "none")).collect() == []
+
+
+@pytest.mark.parametrize("metric", ["cosine", "l2"])
+def test_many_queries_meet_chunks_in_tiles(spark, monkeypatch, metric):
+    r = np.random.default_rng(1)
+    vectors_ = [r.normal(size=6).round(1).tolist() for _ in range(400)] + [[0.0] * 6, [1.0], None, [None] * 6]
+    known = spark.createDataFrame([("hot" if i % 10 else f"p{i % 3}", f"c{i}", v) for i, v in enumerate(vectors_ + vectors_[:60], 1)], "project_id string, id string, embedding array<float>").repartition(5)
+    asks = spark.createDataFrame([(i, "hot" if i % 5 else "p1", v) for i, v in enumerate(vectors_[:90] + vectors_[-4:])], "query_id long, project_id string, query_vec array<float>").repartition(3)
+    rows = lambda df: sorted((x.query_id, x["rank"], x.id, round(x.score, 9)) for x in df.collect())
+    plain = rows(search.topk_dense(asks, known, 7, metric))
+    monkeypatch.setattr(search, "BROADCAST_BYTES", 0)
+    assert rows(search.topk_dense(asks, known, 7, metric)) == plain
+    tiled = search._tile_scores(asks.where("query_vec is not null"), known.where("embedding is not null"), 7, metric, size=480)
+    assert rows(search._top(tiled, 7)) == plain
+    tasks = {(t.project_id, t.n) for t in search._tiles(known, "id", "embedding", 6, 480).select("project_id", F.size("keys").alias("n")).collect()}
+    assert max(n for _, n in tasks) <= 10  # a hot project is many tiles
+    best = {}
+    for k in known.where("size(embedding) = 6").collect():
+        for q in asks.where("size(query_vec) = 6").collect():
+            if k.project_id == q.project_id and None not in k.embedding and None not in q.query_vec:
+                a, b = np.array(k.embedding), np.array(q.query_vec)
+                n = np.linalg.norm(a) * np.linalg.norm(b)
+                if metric == "l2" or n > 0:
+                    best.setdefault(q.query_id, []).append((-round(1 - ((a - b) ** 2).sum() if metric == "l2" else a @ b / n, 9), k.id))
+    assert [(q, i) for q, _, i, _ in plain] == [(q, i) for q in sorted(best) for _, i in sorted(best[q])[:7]]
+
+
 def test_embedding_of_no_words(spark):
     from lodestone.functions import vectors
 
