@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructType
 from pyspark.sql.window import Window
 
+from lodestone.sources import files as files_
+
 #: Rows of a bucket when a project is written or has outgrown twice as many.
 ROWS = 100_000
 MANIFEST = "project_id string, buckets int, bucket int, path string, rows long"
@@ -40,18 +42,8 @@ class Version:
     token: str | None
 
 
-def _path(spark: SparkSession, path: str):
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
-def _names(spark: SparkSession, folder: str) -> list[str]:
-    where, fs = _path(spark, folder)
-    return sorted(s.getPath().getName() for s in fs.listStatus(where)) if fs.exists(where) else []
-
-
 def _numbers(spark: SparkSession, base: str) -> list[int]:
-    return [int(n) for n in _names(spark, f"{base}/versions") if n.isdigit()]
+    return [int(n) for n in files_.names(spark, f"{base}/versions") if n.isdigit()]
 
 
 def version(spark: SparkSession, base: str, number: int | None = None) -> Version | None:
@@ -60,30 +52,15 @@ def version(spark: SparkSession, base: str, number: int | None = None) -> Versio
     if number is None and not known:
         return None
     number = known[-1] if number is None else number
-    where, fs = _path(spark, f"{base}/versions/{number:012d}")
-    stream = fs.open(where)
-    try:
-        said = json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-    finally:
-        stream.close()
+    said = files_.read_json(spark, f"{base}/versions/{number:012d}")
     return Version(number, said["manifest"], StructType.fromJson(said["schema"]), said["token"])
 
 
 def _commit(spark: SparkSession, base: str, number: int, manifest: str, schema: StructType, token: str | None) -> int:
-    jvm, gateway = spark._jvm, spark.sparkContext._gateway
-    target, fs = _path(spark, f"{base}/versions/{number:012d}")
-    draft = jvm.org.apache.hadoop.fs.Path(f"{base}/versions/.{manifest}")
-    out = fs.create(draft, True)
-    out.write(bytearray(json.dumps({"manifest": manifest, "schema": json.loads(schema.json()), "token": token}).encode()))
-    out.close()
-    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
-    try:  # without the option to overwrite, a rename onto a file fails
-        files.rename(draft, target, gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0))
-    except Exception as e:
-        fs.delete(draft, False)
-        if fs.exists(target):
-            raise ConcurrentChange(f"version {number} of {base} is there already") from e
-        raise
+    try:
+        files_.put_json(spark, f"{base}/versions", f"{number:012d}", {"manifest": manifest, "schema": json.loads(schema.json()), "token": token})
+    except files_.AlreadyThere as e:
+        raise ConcurrentChange(f"version {number} of {base} is there already") from e
     return number
 
 
@@ -200,8 +177,7 @@ def _change(incoming: DataFrame, gone: DataFrame | None, base: str, order: str |
             raise ValueError("a row of a collection has to have a project_id and an id")
         return _rewrite(staged, files, base, schema, rows, into, 1 if v is None else v.number + 1, token)
     finally:
-        where, fs = _path(spark, staging)
-        fs.delete(where, True)
+        files_.remove(spark, staging)
 
 
 def _rewrite(staged: DataFrame, files: DataFrame, base: str, schema: StructType, rows: int, into: str, number: int, token: str | None) -> int:
@@ -243,20 +219,18 @@ def collect_old(spark: SparkSession, base: str, keep: int = 1) -> int:
     for n in new:
         m = manifest(spark, base, version(spark, base, n)).select("path")
         used = m if used is None else used.unionByName(m)
-    where, fs = _path(spark, f"{base}/versions/{new[-1]:012d}")
-    newest = fs.getFileStatus(where).getModificationTime()
+    newest = files_.changed_at(spark, f"{base}/versions/{new[-1]:012d}")
     removed = 0
-    stale = [n for n in _names(spark, f"{base}/data") if n.startswith("write=") and fs.getFileStatus(_path(spark, f"{base}/data/{n}")[0]).getModificationTime() <= newest]
+    stale = [n for n in files_.names(spark, f"{base}/data") if n.startswith("write=") and files_.changed_at(spark, f"{base}/data/{n}") <= newest]
     if stale:
         there = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load([f"{base}/data/{n}" for n in stale])
         relative = F.regexp_extract("path", r"/data/(write=[^/]+/.*)$", 1)
         for r in there.select(relative.alias("path")).join(used.distinct(), "path", "left_anti").toLocalIterator():
-            fs.delete(_path(spark, f"{base}/data/{r.path}")[0], False)
+            files_.remove(spark, f"{base}/data/{r.path}")
             removed += 1
     for n in old:
-        fs.delete(_path(spark, f"{base}/versions/{n:012d}")[0], False)
-    for name in _names(spark, f"{base}/manifests"):
-        folder = _path(spark, f"{base}/manifests/{name}")[0]
-        if name not in kept and fs.getFileStatus(folder).getModificationTime() <= newest:
-            fs.delete(folder, True)
+        files_.remove(spark, f"{base}/versions/{n:012d}")
+    for name in files_.names(spark, f"{base}/manifests"):
+        if name not in kept and files_.changed_at(spark, f"{base}/manifests/{name}") <= newest:
+            files_.remove(spark, f"{base}/manifests/{name}")
     return removed

@@ -180,22 +180,37 @@ def test_snapshot_and_log_switch(spark, tmp_path):
     s = metrics.metrics_snapshot(rows, usage, "parquet").first()
     assert (s["count"], s.avg_ms, s.embed_tokens, s.total_tokens, s.backend, s.last_results) == (2, 20.0, 5, 12, "parquet", 0)
     assert metrics.metrics_snapshot(rows.limit(0), usage.limit(0), "parquet").first().avg_ms == 0.0
-    path, schema = str(tmp_path / "log"), "id long, query string, results int"
-    entries = rows.select("id", "query", "results", "no_log")
-    assert not store.append_query_log(entries, path)
+    path, schema = str(tmp_path / "log"), "id long, query string, results int, ts timestamp"
+    entries = rows.select("query", "results", "no_log", "ts")
+    assert not store.append_query_log(entries, path, "a")
     off = metrics.recent_report(spark, store.read_query_log(spark, path, schema))
     assert not off.first().enabled
     both = ("id", "top_score", "reranked")
-    on = metrics.recent_report(spark, entries.selectExpr("id", "0.5D AS top_score", "false AS reranked"), fields=both)
+    on = metrics.recent_report(spark, rows.selectExpr("id", "0.5D AS top_score", "false AS reranked"), fields=both)
     strict = lambda df: [f.dataType.simpleString() for f in df.schema]
     assert strict(metrics.recent_report(spark, None, fields=both)) == strict(on)
-    assert store.append_query_log(entries.limit(0), path, True)
+    assert store.append_query_log(entries.limit(0), path, "b", True)
     r = metrics.recent_report(spark, store.read_query_log(spark, path, schema)).first()
     assert r.enabled and r.queries == []
-    store.append_query_log(entries, path, True)
+    store.append_query_log(entries, path, "c", True)
+    store.append_query_log(entries, path, "c", True)
     assert [q.id for q in metrics.recent_report(spark, store.read_query_log(spark, path, schema)).first().queries] == [1]
 
 
+def test_batches_are_appended_once_with_ids_that_go_on(spark, tmp_path):
+    path, schema = str(tmp_path / "m"), "id long, ts int, v string"
+    part = lambda a, b: spark.range(a, b).repartition(7).selectExpr("cast(id as int) AS ts", "concat('v', id) AS v", "-1L AS id")
+    assert store.append_batch(part(0, 100), path, "one", ["ts"]) == (1, 100)
+    assert store.append_batch(part(100, 130), path, "two", ["ts"]) == (101, 30)
+    assert store.append_batch(part(100, 130), path, "two", ["ts"]) == (101, 30)
+    assert store.append_batch(part(0, 0), path, "none", ["ts"]) == (131, 0)
+    (tmp_path / "m/data/write=broken").mkdir()
+    assert store.append_batch(part(130, 140), path, "three", ["ts"]) == (131, 10)
+    got = store.read_batches(spark, path, schema).collect()
+    assert sorted((r.id, r.ts, r.v) for r in got) == [(i + 1, i, f"v{i}") for i in range(140)]
+    assert store.read_batches(spark, str(tmp_path / "other"), schema).collect() == []
+
+
 def test_a_query_that_does_not_say_is_logged(spark):
     queries = spark.createDataFrame([(1, "p", "a", None), (2, "p", "b", True), (3, "p", "c", False)], "query_id int, project_id string, query string, no_log boolean")
     results = spark.createDataFrame([(1, 1, "d", 0.5, False, 0)], "query_id int, rank int, doc_id string, score double, reranked boolean, cand_pos int")
@@ -383,3 +398,36 @@ def test_rank_of_many_hits_takes_time_in_proportion():
     at, term = np.arange(200_000), np.arange(200_000) % 3
     began = time.time()
     assert 0.999 < text._rank(at, term, 3) <= 1 and time.time() - began < 2
+
+
+def test_a_migration_goes_on_where_it_was_cut_off(spark, tmp_path):
+    from lodestone.plans import migrate
+
+    seen, path = tmp_path / "seen", str(tmp_path / "run")
+    seen.mkdir()
+    docs = spark.createDataFrame([("p", f"i{i}", "", f"text {i}", {"content_hash": "h"}) for i in range(150)], "project_id string, id string, doc_id string, content string, meta map<string,string>")
+    fail_at = next(r.content for r in docs.withColumn("b", F.pmod(F.xxhash64("project_id", "id"), F.lit(6))).where("b = 4").collect())
+
+    def fn(texts, broken):
+        if broken and fail_at in texts:
+            raise RuntimeError("the model is gone")
+        for t in texts:
+            with open(seen / t.replace(" ", "-"), "a") as f:
+                f.write("x")
+        return [[float(len(t)), 1.0] for t in texts]
+
+    migrate.start(docs, path, 6)
+    with pytest.raises(Exception, match="the model is gone"):
+        migrate.run(spark, path, embed.Embedder(lambda t: fn(t, True), "new", 2, 64))
+    done = {r.batch for r in migrate.ledger(spark, path).where("done").collect()}
+    assert done == {0, 1, 2, 3} and migrate.migrated(spark, path).count() < 150
+    part = migrate.progress(spark, path).orderBy("batch").collect()
+    assert [r.batch for r in part] == [0, 1, 2, 3] and part[-1].done == migrate.migrated(spark, path).count() and part[0].total == 150
+    migrate.start(docs.limit(0), path, 6)  # has been done
+    assert migrate.run(spark, path, embed.Embedder(lambda t: fn(t, False), "new", 2, 64)) == 2
+    assert migrate.run(spark, path, embed.Embedder(lambda t: fn(t, False), "new", 2, 64)) == 0
+    got = migrate.migrated(spark, path).collect()
+    assert len(got) == 150 and {r.id for r in got} == {f"i{i}" for i in range(150)} and all(r.meta["embed_model"] == "new" for r in got)
+    in_done = {r.content for r in spark.read.parquet(f"{path}/points").where("batch < 4").collect()}
+    assert all((seen / t.replace(" ", "-")).read_text() == "x" for t in in_done)
+    assert metrics.progress(migrate.progress(spark, path, "r")).count() > 0 and migrate.progress(spark, path).orderBy("batch").collect()[-1].done == 150
