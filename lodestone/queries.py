@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import paths, text, vectors
 from lodestone.operators import chunks, embed, guard, metrics, search, sync
-from lodestone.plans import ingest, search as plan
-from lodestone.sources import collection, corpus, imports, store
+from lodestone.plans import ingest, migrate, search as plan
+from lodestone.sources import collection, corpus, imports, pages, store
+from lodestone.streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -622,11 +623,6 @@ def latency_ring(spark, d):
     return metrics.latency_ring(log(spark, d), ["query"]).withColumn("avg_ms", _r("avg_ms"))
 
 
-@query()
-def approx_latency(spark, d):
-    return metrics.approx_latency(log(spark, d), ["project_id"])
-
-
 @query(f"WITH {LOG} SELECT project_id, id, results, reranked FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY ts DESC, id DESC) AS n FROM qlog) WHERE n = 1")
 def last_query(spark, d):
     return metrics.last_query(log(spark, d), ["project_id"], ["id", "results", "reranked"])
@@ -808,7 +804,7 @@ def write_read_chunks(spark, d):
 
 def _written(spark: SparkSession, chunks: DataFrame, rows: int) -> str:
     """A collection of its own for a query, in the shared folder."""
-    base = f"{store.shared_dir(spark)}/collection-{uuid.uuid4().hex}"
+    base = _fresh(spark, "collection")
     collection.write_chunks(chunks, base, rows)
     return base
 
@@ -829,6 +825,137 @@ def upsert_chunks(spark, d):
     return collection.read_chunks(spark, base).select("project_id", "id", "content", F.col("meta")["lang"].alias("lang"))
 
 
+@query("SELECT doc_id FROM documents ORDER BY source, doc_id OFFSET 777 LIMIT 40")
+def paginate_stored(spark, d):
+    """A page far down, of rows stored in order."""
+    path, order = _fresh(spark, "pages"), ["source", "doc_id"]
+    pages.write_pages(_t(spark, d, "documents").select(*order, "lang"), order, path, 16)
+    return pages.read_page(spark, path, order, 777, 40).select("doc_id")
+
+
+def _fresh(spark: SparkSession, name: str) -> str:
+    return f"{store.shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("SELECT row_number() OVER (ORDER BY event_id % 2, event_id) AS id, event_id AS metric, value AS latency_ms FROM events")
+def append_query_metrics(spark, d):
+    """Events as query metrics in two batches, of which the second comes twice."""
+    rows, path = _t(spark, d, "events").select(F.col("event_id").alias("metric"), F.col("value").alias("latency_ms"), F.lit(0).cast("long").alias("id")), _fresh(spark, "metrics")
+    for rest in (0, 1, 1):
+        store.append_batch(rows.where(F.col("metric") % 2 == rest), path, f"batch {rest}", ["metric"])
+    return store.read_batches(spark, path, "id long, metric long, latency_ms double")
+
+
+@query("SELECT row_number() OVER (ORDER BY ts, event_id) AS id, event_type AS query FROM events WHERE event_id % 3 <> 0")
+def append_query_log(spark, d):
+    """Events as a log that is switched on, without the synthetic ones."""
+    path = _fresh(spark, "log")
+    entries = log(spark, d).select("ts", F.col("id").alias("event"), "query", "no_log")
+    store.append_query_log(entries, path, "off")
+    store.append_query_log(entries, path, "all", True, ("ts", "event"))
+    return store.read_query_log(spark, path, "id long, query string")
+
+
+@query(f"WITH {POINTS} SELECT project_id, CASE WHEN coalesce(doc_id, '') = '' THEN id ELSE doc_id END AS id, CAST(length(content) AS FLOAT) AS e0, 'counts' AS embed_model, 10 AS batches FROM points")
+def migrate_resumed(spark, d):
+    """A migration in ten batches that is cut off after three and then goes on."""
+    path = _fresh(spark, "migration")
+    migrate.start(points(spark, d), path, 10)
+    done = migrate.run(spark, path, EMBEDDER, 3) + migrate.run(spark, path, EMBEDDER)
+    out = migrate.migrated(spark, path)
+    return out.select("project_id", "id", F.col("embedding")[0].alias("e0"), F.col("meta")["embed_model"].alias("embed_model"), F.lit(done).alias("batches"))
+
+
+@query("""WITH f AS (SELECT source, string_agg(coalesce(text, ''), chr(10) ORDER BY doc_id) || chr(10) AS content FROM documents GROUP BY source)
+SELECT source AS project_id, strlen(content) AS length, CASE WHEN strlen(content) <= 512000 THEN substr(sha256(content), 1, 16) END AS content_hash FROM f""")
+def scan_corpus(spark, d):
+    """Documents as files, one for each source, found and read again by a scan of their folder."""
+    root = _fresh(spark, "files")
+    rows = _t(spark, d, "documents").select("source", "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows.repartition("source").sortWithinPartitions("source", "doc_id").select("source", "text").write.partitionBy("source").text(root)
+    found = corpus.scan_corpus(spark, root).where(F.col("path").endswith(".txt"))
+    return found.select(F.regexp_extract("path", "source=([^/]+)/", 1).alias("project_id"), "length", text.content_hash(F.col("content")).alias("content_hash"))
+
+
+@query("SELECT 'u' || (user_id % 7) AS project_id, count(*) AS count, true AS p50_near, true AS p95_near FROM events GROUP BY 1")
+def approx_latency(spark, d):
+    """Whether the sketch's values have ranks within a hundredth of the exact ones."""
+    rows = log(spark, d).select("project_id", "latency_ms")
+    guess = metrics.approx_latency(rows, ["project_id"], accuracy=1000)
+    placed = rows.join(guess.drop("count"), "project_id").groupBy("project_id").agg(F.count("*").alias("count"), *(x for p in ("p50", "p95") for x in (F.count_if(F.col("latency_ms") < F.col(f"{p}_ms")).alias(f"{p}_below"), F.count_if(F.col("latency_ms") <= F.col(f"{p}_ms")).alias(f"{p}_upto"))))
+    good = lambda p, share: (F.col(f"{p}_below") <= F.col("count") * (share + 0.01)) & (F.col(f"{p}_upto") >= F.col("count") * (share - 0.01))
+    return placed.select("project_id", "count", good("p50", 0.5).alias("p50_near"), good("p95", 0.95).alias("p95_near"))
+
+
+# ---- streams, replayed from the tables in micro-batches of one file ----
+
+
+def _replayed(spark: SparkSession, rows: DataFrame, parts: int = 3, folder: str | None = None) -> tuple[DataFrame, str]:
+    folder = folder or _fresh(spark, "arrivals")
+    rows.repartition(parts).write.mode("append").parquet(folder)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder), folder
+
+
+@query("SELECT event_type AS type, count(*) AS events FROM events GROUP BY 1")
+def stream_activity_counts(spark, d):
+    events, _ = _replayed(spark, _t(spark, d, "events").select(F.col("event_type").alias("type")))
+    out = _fresh(spark, "counts")
+    each = lambda batch, _: batch.write.mode("overwrite").parquet(out)
+    jobs.activity_counts(events).writeStream.outputMode("complete").foreachBatch(each).option("checkpointLocation", _fresh(spark, "ck")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out).select("type", "events")
+
+
+@query("SELECT event_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 50")
+def stream_recent_feed(spark, d):
+    events, _ = _replayed(spark, _t(spark, d, "events").select("event_id", "ts"))
+    state = _fresh(spark, "feed")
+    jobs.recent_feed(events, state, _fresh(spark, "ck"), 50, ("ts", "event_id")).awaitTermination()
+    return jobs.state_of(spark, state).select("event_id")
+
+
+@query(f"WITH {LOG} SELECT id, query, latency_ms FROM qlog QUALIFY row_number() OVER (PARTITION BY query ORDER BY ts DESC, id DESC) <= 100")
+def stream_latency_ring(spark, d):
+    samples, _ = _replayed(spark, log(spark, d).select("query", "ts", "id", "latency_ms"))
+    state = _fresh(spark, "ring")
+    jobs.latency_ring(samples, state, _fresh(spark, "ck"), ["query"], 100).awaitTermination()
+    return jobs.ring_of(spark, state, ["query"], 100).select("id", "query", "latency_ms")
+
+
+@query(f"WITH {LOG} SELECT id, query FROM qlog WHERE NOT no_log AND id > (SELECT max(id) - 200 FROM qlog WHERE NOT no_log)")
+def stream_query_log(spark, d):
+    entries, _ = _replayed(spark, log(spark, d).select("id", "query", "no_log"))
+    state = _fresh(spark, "log")
+    jobs.query_log(entries, state, _fresh(spark, "ck"), 200).awaitTermination()
+    return jobs.state_of(spark, state).select("id", "query")
+
+
+@query("""SELECT run_id, batch, pct FROM (SELECT user_id AS run_id, event_id AS batch, CAST(floor(event_id * 100 / 10000) AS INTEGER) AS pct, lag(CAST(floor(event_id * 100 / 10000) AS INTEGER)) OVER (PARTITION BY user_id ORDER BY event_id) AS b FROM events) WHERE b IS NULL OR b <> pct""")
+def stream_progress(spark, d):
+    """Progress arrives in order: files of ranges of batches, one after the other."""
+    rows = _t(spark, d, "events").select(F.col("user_id").alias("run_id"), F.col("event_id").alias("batch"), F.col("event_id").alias("done"), F.lit(10000).alias("total"))
+    folder, out, ck = _fresh(spark, "arrivals"), _fresh(spark, "changes"), _fresh(spark, "ck")
+    for rest in range(2):
+        arrived = rows.where("batch < 5000" if rest == 0 else "batch >= 5000")
+        stream, _ = _replayed(spark, arrived, 1, folder)
+        jobs.progress_changes(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", ck).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("run_id bigint, batch bigint, pct int").parquet(out)
+
+
+@query(f"WITH {VERSIONS} SELECT project_id, id, content_hash FROM scanned UNION ALL SELECT project_id, id, content_hash FROM stored o WHERE EXISTS (SELECT 1 FROM now n WHERE n.project_id = o.project_id AND n.source_file = o.source_file) AND NOT EXISTS (SELECT 1 FROM scanned s WHERE s.project_id = o.project_id AND s.id = o.id)")
+def stream_sync(spark, d):
+    """All files arrive, then those that have changed or gone; each batch changes the stored collection by its own chunks."""
+    first = candidates(spark, d)
+    fields = ["project_id", "source_dir", "source_file", "content", "length"]
+    here = first.select(*fields, F.lit(False).alias("deleted"))
+    changed = first.where("doc_id % 7 <> 2 and doc_id % 10 = 3").withColumn("content", F.concat("content", F.lit(" changed"))).select(*fields, F.lit(False).alias("deleted"))
+    gone = first.where("doc_id % 7 = 2").select(*fields, F.lit(True).alias("deleted"))
+    folder, base, ck = _fresh(spark, "arrivals"), _fresh(spark, "collection"), _fresh(spark, "ck")
+    for rows in (here, changed.unionByName(gone)):
+        stream, _ = _replayed(spark, rows, 1, folder)
+        jobs.sync_stream(stream, base, ck, lambda f: chunks.chunk_files(f, 1000), rows=200).awaitTermination()
+    return collection.read_chunks(spark, base).select("project_id", "id", "content_hash")
+
+
 # ---- vectors from text, imports ----
 
 
