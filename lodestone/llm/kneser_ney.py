@@ -34,10 +34,6 @@ _HASH = xxhash.xxh64_intdigest
 END, BEGIN = _HASH(b""), _HASH(b" ")
 
 
-#: The file that marks a folder as a model's, written before any part.
-_WHOLE = "model"
-
-
 def local_path(path: str) -> str:
     """A shared folder as the mounted path under which files in it can be mapped."""
     u = urlparse(path)
@@ -57,13 +53,27 @@ def _save(folder: str, name: str, array: np.ndarray) -> None:
     os.replace(part, f"{folder}/{name}.npy")
 
 
-def _load(folder: str, name: str, kind: str) -> np.ndarray:
-    """A part as it was written; one without any entry has no file, but a folder without the mark of a model is an error."""
+def _list_parts(folder: str, stage: str) -> None:
+    """List what has been written, so that a part that gets lost is told from one that never had an entry."""
+    names = sorted(n.removesuffix(".npy") for n in os.listdir(folder) if n.endswith(".npy") and not n.startswith("."))
+    _save(folder, f"parts-{stage}", np.array(names, str))
+
+
+def _parts(folder: str, stage: str) -> np.ndarray:
+    try:
+        return np.load(f"{folder}/parts-{stage}.npy", mmap_mode="r")
+    except FileNotFoundError:
+        raise FileNotFoundError(f"no model in {folder}; is it a mount that driver and executors share?") from None
+
+
+def _load(folder: str, name: str, kind: str, parts: np.ndarray) -> np.ndarray:
+    """A part as it was written; one without any entry has no file, but one of the listed ``parts`` that is gone is an error."""
     try:
         return np.load(f"{folder}/{name}.npy", mmap_mode="r")
     except FileNotFoundError:
-        if not os.path.exists(f"{folder}/{_WHOLE}.npy"):
-            raise FileNotFoundError(f"no model in {folder}; is it a mount that driver and executors share?") from None
+        at = int(np.searchsorted(parts, name))
+        if at < len(parts) and parts[at] == name:
+            raise FileNotFoundError(f"the model in {folder} has lost its part {name}") from None
         return np.empty(0, kind)
 
 
@@ -114,20 +124,21 @@ def _wide(x: bytes) -> np.ndarray:
 class Words:
     """The mapped word table."""
 
-    def __init__(self, folder: str, bits: int, sizes: tuple[int, ...], threshold: int):
+    def __init__(self, folder: str, bits: int, sizes: tuple[int, ...], threshold: int, stage: str):
         self.folder, self.bits, self.threshold = folder, bits, threshold
         self.base = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
         n = 1 << bits
-        self.hash = [_load(folder, f"hash-{s}", "u8") for s in range(n)]
-        self.count = [_load(folder, f"count-{s}", "i8") for s in range(n)]
-        self.more = [_load(folder, f"more-{s}", "i8") for s in range(n)]
+        self.parts = parts = _parts(folder, stage)
+        self.hash = [_load(folder, f"hash-{s}", "u8", parts) for s in range(n)]
+        self.count = [_load(folder, f"count-{s}", "i8", parts) for s in range(n)]
+        self.more = [_load(folder, f"more-{s}", "i8", parts) for s in range(n)]
         self.open: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
     def table(self, keys: str, values: str, bucket: int) -> tuple[np.ndarray, np.ndarray]:
         """Sorted keys of a bucket and what stands beside them."""
         name = f"{keys}-{bucket}"
         if name not in self.open:
-            self.open[name] = _load(self.folder, name, "u8"), _load(self.folder, f"{values}-{bucket}", "u1")
+            self.open[name] = _load(self.folder, name, "u8", self.parts), _load(self.folder, f"{values}-{bucket}", "u1", self.parts)
         return self.open[name]
 
     def lookup(self, hashes: np.ndarray) -> np.ndarray:
@@ -176,7 +187,7 @@ def _add_found(out: np.ndarray, at: np.ndarray, keys: np.ndarray, bucket: np.nda
 
 @lru_cache(maxsize=1)
 def _words(folder: str, bits: int, sizes: tuple[int, ...], threshold: int, stage: str) -> Words:
-    return Words(folder, bits, sizes, threshold)
+    return Words(folder, bits, sizes, threshold, stage)
 
 
 @dataclass(frozen=True)
@@ -230,7 +241,7 @@ def train(texts: DataFrame, folder: str, order: int = 2) -> Model:
     if order not in (2, 3):
         raise ValueError("order has to be 2 or 3")
     spark = texts.sparkSession
-    _save(folder, _WHOLE, np.array([order]))
+    os.makedirs(folder, exist_ok=True)
     texts = texts.select("text")
     bits = max(1, shuffle_partitions(spark).bit_length() - 1)
     shards = 1 << bits
@@ -259,6 +270,7 @@ def train(texts: DataFrame, folder: str, order: int = 2) -> Model:
     if sum(sizes) >= 1 << 32:
         raise ValueError("more than 2^32 distinct words; ids of 32 bits do not hold them")
     threshold = max(1, n // (4 * buckets))
+    _list_parts(folder, "words")
     base = np.concatenate([[0], np.cumsum(sizes)])
 
     def count_pairs(batches):
@@ -364,6 +376,7 @@ def train(texts: DataFrame, folder: str, order: int = 2) -> Model:
         pairs = texts.mapInArrow(count_pairs, _PAIR_ROWS)
     more = pairs.groupBy("bucket").applyInArrow(write_pairs, "shard int, context binary, after binary, kinds array<long>")
     rows = more.groupBy("shard").applyInArrow(write_more, "shard long, sums array<long>").collect()
+    _list_parts(folder, "scores")
     total = np.sum([r["sums"] for r in rows], axis=0).tolist() if rows else [0] * 14
     words = discounts(*total[5:9])
     left = sum(d * k for d, k in zip(words, (total[5], total[6], total[9] - total[5] - total[6])))

@@ -197,7 +197,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 12_000, folds: int = 5
 
     The sample is chosen by a hash of the id, so it is the same on every run; it is
     counted first and bounds what is broadcast, and what the driver gets: hashed terms, no texts.
-    An id labelled twice has the larger label; null ids and labels teach nothing.
+    An id labelled twice has the larger label, and one that stands in several rows teaches once, by the first of
+    their sets of terms, so that the bound on ids is one on rows; null ids and labels teach nothing.
     """
     key = F.col(doc_id)
     taught = labels.where(key.isNotNull() & F.col(label).isNotNull() & ~held_out(key, folds)).groupBy(key.alias("__id")).agg(F.max(label).cast("int").alias("__label"))
@@ -205,14 +206,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 12_000, folds: int = 5
     if n > sample:
         share = int(sample / n * 2**32)
         taught = taught.where(F.pmod(F.xxhash64("__id"), F.lit(2**32)) < share)
-    rows = docs.select(key.alias("__id"), F.col(text).alias("text")).join(F.broadcast(taught), "__id").select("text", "__label")
+    rows = docs.select(key.alias("__id"), F.col(text).alias("text")).join(F.broadcast(taught), "__id").select("__id", "text", "__label")
+    kind = rows.schema["__id"].dataType.simpleString()
 
     def run(batches):
         for b in in_chunks(batches, "text"):
             sets = [np.unique(np.array([h for w in set(words(t)) for h in _hashes(w)], dtype=np.uint32)) for t in text_bytes(b.column("text"))]
-            yield pa.RecordBatch.from_arrays([pa.array([s.tobytes() for s in sets], pa.binary()), b.column("__label")], names=["terms", "label"])
+            yield pa.RecordBatch.from_arrays([b.column("__id"), pa.array([s.tobytes() for s in sets], pa.binary()), b.column("__label")], names=["__id", "terms", "label"])
 
-    got = rows.mapInArrow(run, "terms binary, label int").toArrow()
+    got = rows.mapInArrow(run, f"__id {kind}, terms binary, label int").groupBy("__id").agg(F.min("terms").alias("terms"), F.first("label").alias("label")).toArrow()
     pairs = sorted(zip(got.column("terms").to_pylist(), got.column("label").to_pylist()))  # the order of arrival must not matter
     return fit_machine([np.frombuffer(t, np.uint32) for t, _ in pairs], np.array([int(y > 0) for _, y in pairs]))
 

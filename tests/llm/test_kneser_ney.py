@@ -90,4 +90,18 @@ def test_without_training_rows(spark):
 
 def test_a_folder_without_a_model_is_an_error(tmp_path):
     with pytest.raises(FileNotFoundError):
-        kneser_ney.Words(str(tmp_path), 1, (3, 3), 1)
+        kneser_ney.Words(str(tmp_path), 1, (3, 3), 1, "scores")
+
+
+@pytest.mark.parametrize("part", ["pair", "times", "more", "hash"])
+def test_a_model_that_has_lost_a_part_is_an_error(spark, tmp_path, part):
+    docs = documents(spark).select("doc_id", "text")
+    model = kneser_ney.train(docs, str(tmp_path / "m"), 2)
+    assert kneser_ney.score(docs, model, ["doc_id"]).count() == docs.count()
+    gone = list((tmp_path / "m").glob(f"{part}-[0-9]*.npy"))
+    assert gone
+    for f in gone:
+        f.unlink()
+    with pytest.raises(Exception, match="has lost its part"):
+        kneser_ney._words.cache_clear()
+        kneser_ney._score(model, kneser_ney.Words(model.folder, model.bits, model.sizes, model.threshold, "scores"), [(r.text or "").encode() for r in docs.collect()])

@@ -79,6 +79,8 @@ def test_documents(spark):
     assert sum(right) / len(right) > 0.9
     flipped = labels.withColumn("toxic", toxicity.F.when(toxicity.held_out(toxicity.F.col("doc_id"), 5), 1 - toxicity.F.col("toxic")).otherwise(toxicity.F.col("toxic")))
     assert (toxicity.fit(docs, flipped).weight == m.weight).all()
+    again = toxicity.fit(docs.unionByName(docs).unionByName(docs), labels)  # rows that repeat an id teach no more than one
+    assert (again.terms == m.terms).all() and (again.weight == m.weight).all()
     small = toxicity.fit(docs, labels, sample=100)
     assert len(small.terms) < len(m.terms)
     kept = toxicity.without_toxic(docs, m)
