@@ -30,8 +30,9 @@ from lodestone.llm.common import ASCII_LOWER, in_chunks, materialize, shuffle_pa
 DEPTH = 4
 #: Suffixes of a group, at least and at most; between, groups are as many as tasks can share.
 LEAST, BUDGET = 50_000, 2_000_000
-#: Cells of prefixes, of which groups are made, and bits of the bitmap of frequent words: fixed sizes.
-CELL_BITS, MAP_BITS = 20, 26
+#: Cells of prefixes, of which groups are made, and bits of the bitmap of frequent words: fixed sizes. So many
+#: of the most frequent words have short numbers; all others go by their hashes.
+CELL_BITS, MAP_BITS, NUMBERED = 20, 26, 1 << 18
 CHUNK = 8 << 20
 _U = np.uint64
 _CLASS = np.zeros(256, np.uint8)
@@ -245,30 +246,40 @@ def phrases(docs: DataFrame, words: DataFrame, least: int, seed: int, bits: int
             ends.append(c)
             held = 0
         held += n
-    plan = spark.sparkContext.broadcast((hot, np.array(ends, np.int64)))
+    first = words.where("word is not null").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "h").limit(NUMBERED)
+    numbered = np.array([r.h for r in first.select("h").collect()], np.int64).view(_U)
+    plan = spark.sparkContext.broadcast((hot, np.array(ends, np.int64), numbered))
 
     def deal(batches):
-        hot, ends = plan.value
+        hot, ends, numbered = plan.value
         pack = zstandard.ZstdCompressor(level=3).compress
+        by_hash = np.argsort(numbered)
+        sorted_ = numbered[by_hash]
         for lang, texts in _by_lang(batches):
             h, at, n = suffixes(texts, seed, bits, np.frombuffer(known.value, np.uint8))
             key, depth = prefix_keys(lang, h[at], hot)
             # what ends with a hot prefix has been counted with it
             some = np.flatnonzero(at[np.arange(len(at)), depth - 1] > 0)
             group = np.searchsorted(ends, (key[some] >> _U(64 - CELL_BITS)).astype(np.int64), side="right")
-            order = np.argsort(group, kind="stable")
-            some, group = some[order], group[order]
+            # a word's number: 0 for none, then the numbered ones by frequency, then the rest of this slice
+            place = np.minimum(np.searchsorted(sorted_, h), max(0, len(sorted_) - 1))
+            known_one = sorted_[place] == h if len(sorted_) else np.zeros(len(h), bool)
+            number = np.where(known_one, by_hash[place] + 1 if len(sorted_) else 0, len(numbered) + np.arange(len(h)))
+            number[0] = 0
+            own = number[at[some]]
+            order = np.lexsort((own[:, 1], own[:, 0], group))
+            some, group, own = some[order], group[order], own[order]
             first = np.flatnonzero(np.diff(group, prepend=-1))
             rows = []
             for a, b in zip(first, [*first[1:], len(some)]):
-                own = at[some[a:b]]
-                used = np.unique(own)
-                local = np.zeros(len(h), np.uint32)
-                local[used] = np.arange(len(used)) + (used[0] > 0)  # 0 stays 0
-                small = local[own].astype(np.uint16 if len(used) < 1 << 16 else np.uint32)
-                parts = (h[used[used > 0]], np.ascontiguousarray(small.T), n[some[a:b]].astype(np.uint32), depth[some[a:b]].astype(np.uint8))
-                # words are not equally likely, so that their codes take fewer bits when packed by frequency
-                rows.append((int(group[a]), lang, b - a, len(parts[0]), pack(b"".join(x.tobytes() for x in parts))))
+                code = own[a:b]
+                rest = np.unique(code[code > len(numbered)])
+                if len(rest):
+                    code = np.where(code > len(numbered), len(numbered) + 1 + np.searchsorted(rest, code), code)
+                # frequent words have small numbers, so that these pack well byte by byte
+                planes = np.ascontiguousarray(np.ascontiguousarray(code.T, np.uint32).view(np.uint8).reshape(-1, 4).T)
+                parts = (h[rest - len(numbered)], planes, n[some[a:b]].astype(np.uint32), depth[some[a:b]].astype(np.uint8))
+                rows.append((int(group[a]), lang, b - a, len(rest), pack(b"".join(x.tobytes() for x in parts))))
             names = ["grp", "lang", "size", "words", "data"]
             kinds = [pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
@@ -278,12 +289,13 @@ def phrases(docs: DataFrame, words: DataFrame, least: int, seed: int, bits: int
         langs = t.column("lang").combine_chunks().dictionary_encode()
         w, n, depth, lang = [], [], [], []
         unpack = zstandard.ZstdDecompressor().decompress
-        for i, (m, known, data) in enumerate(zip(*(t.column(c).to_pylist() for c in ("size", "words", "data")))):
+        base = np.append(_U(0), plan.value[2])
+        for i, (m, rest, data) in enumerate(zip(*(t.column(c).to_pylist() for c in ("size", "words", "data")))):
             data = unpack(data)
-            ends = [8 * known, len(data) - 5 * m, len(data) - m]
-            h = np.append(_U(0), np.frombuffer(data[: ends[0]], _U))
-            codes = np.frombuffer(data[ends[0] : ends[1]], np.uint16 if ends[1] - ends[0] == 2 * DEPTH * m else np.uint32)
-            w.append(h[codes.reshape(DEPTH, m).T])
+            ends = [8 * rest, len(data) - 5 * m, len(data) - m]
+            h = np.append(base, np.frombuffer(data[: ends[0]], _U)) if rest else base
+            code = np.ascontiguousarray(np.frombuffer(data[ends[0] : ends[1]], np.uint8).reshape(4, -1).T).view(np.uint32)
+            w.append(h[code.reshape(DEPTH, m).T])
             n.append(np.frombuffer(data[ends[1] : ends[2]], np.uint32).astype(np.int64))
             depth.append(np.frombuffer(data[ends[2] :], np.uint8))
             lang.append(np.full(m, langs.indices[i].as_py(), np.int64))
