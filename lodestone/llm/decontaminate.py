@@ -10,7 +10,6 @@ the window, are intersected one by one, the shorter before the longer.
 from __future__ import annotations
 
 from itertools import repeat
-from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.collocations import MAP_BITS, bitmap, hashed
 from lodestone.llm.common import LOWER, UPPER, in_chunks, materialize, text_bytes
 
 _KEPT = bytes(range(0x30, 0x3A)) + LOWER + UPPER + bytes(range(0x80, 0x100))
@@ -33,33 +33,22 @@ def words(text: bytes) -> list[bytes]:
     return text.translate(_FOLD).split()
 
 
-class Windows(NamedTuple):
-    """Distinct windows of test items.
-
-    A row of ``rows`` has the numbers of a window's words in ``terms``, and -1 after the end of
-    a short window; ``owners`` are the items that a window comes from.
-    """
-
-    terms: list[bytes]
-    rows: np.ndarray
-    owners: list[list[str]]
+def windows_of(items: DataFrame, size: int) -> DataFrame:
+    """``terms, owners`` of distinct windows: every ``size`` consecutive words of each item (``item_id, text``), and the
+    items that have it; fewer words, but not none, are one window."""
 
+    def run(batches):
+        for b in in_chunks(batches, "text"):
+            names, made = [], []
+            for name, text in zip(b.column("item_id").to_pylist(), text_bytes(b.column("text"))):
+                w = words(text)
+                own = [w[i : i + size] for i in range(max(1, len(w) - size + 1))] if w else []
+                names += [name] * len(own)
+                made += own
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(made, pa.list_(pa.binary()))], names=["item_id", "terms"])
 
-def windows_of(items: list[tuple[str, bytes]], size: int) -> Windows:
-    """Every ``size`` consecutive words of each item ``(id, text)``; fewer words, but not none, are one window."""
-    number: dict[bytes, int] = {}
-    owners: dict[bytes, list[str]] = {}
-    for name, text in items:
-        w = words(text)
-        if not w:
-            continue
-        ids = np.full(max(size, len(w)), -1, np.int32)
-        ids[: len(w)] = [number.setdefault(x, len(number)) for x in w]
-        for row in np.lib.stride_tricks.sliding_window_view(ids, size):
-            of = owners.setdefault(row.tobytes(), [])
-            if not of or of[-1] != name:
-                of.append(name)
-    return Windows(list(number), np.frombuffer(b"".join(owners), np.int32).reshape(-1, size), list(owners.values()))
+    rows = items.select("item_id", "text").mapInArrow(run, "item_id string, terms array<binary>")
+    return rows.groupBy("terms").agg(F.collect_set("item_id").alias("owners"))
 
 
 def _narrow(x: np.ndarray) -> bytes:
@@ -73,29 +62,44 @@ def _wide(x: bytes) -> np.ndarray:
     return np.cumsum(np.frombuffer(x, f"<u{x[0]}", offset=1).astype(np.int64))
 
 
-def build_index(docs: DataFrame, terms: list[bytes] | None = None, doc_id: str = "doc_id", text: str = "text", segment_bytes: int = 4 << 20) -> DataFrame:
+def term_map(windows: DataFrame) -> bytes:
+    """A bitmap of the windows' terms, of a fixed size."""
+    terms = windows.select(F.explode("terms").alias("word")).distinct()
+
+    def run(batches):
+        for b in batches:
+            h = hashed(b.column("word").to_pylist(), 0)
+            yield pa.RecordBatch.from_arrays([b.column("word"), pa.array(h.view(np.int64))], names=["word", "h"])
+
+    return bitmap(windows.sparkSession, terms.mapInArrow(run, "word binary, h long"))
+
+
+def build_index(docs: DataFrame, terms: bytes | None = None, doc_id: str = "doc_id", text: str = "text", segment_bytes: int = 4 << 20) -> DataFrame:
     """The index: a row ``segment, term, n, positions`` for each term of a segment, of which it
     has n tokens, and one with a null term that holds the segment's ``doc_ids`` and where each document begins and ends.
 
-    ``terms`` restricts the postings to the words that will be asked for.
+    ``terms``, a ``term_map``, leaves out words that are not asked for; a few that share a bit with one stay.
     """
     kind = docs.schema[doc_id].dataType.simpleString()
     names = ["segment", "term", "n", "positions", "doc_ids", "begins", "ends"]
-    wanted = None if terms is None else {t: i for i, t in enumerate(terms)}
+    wanted = None if terms is None else docs.sparkSession.sparkContext.broadcast(terms)
 
     def run(batches):
         part, count = TaskContext.get().partitionId(), 0
+        asked = None if wanted is None else np.frombuffer(wanted.value, np.uint8)
         for b in in_chunks(batches, "text", segment_bytes):
             cut = [words(t) for t in text_bytes(b.column("text"))]
             size = np.fromiter(map(len, cut), np.int64, len(cut))
             ends = np.cumsum(size + GAP) - GAP
             begins = ends - size
             every = [w for c in cut for w in c]
-            if wanted is None:
-                known = {w: i for i, w in enumerate(dict.fromkeys(every))}
-                entries = list(known)
-            else:
-                known, entries = wanted, terms
+            entries = list(set(every))
+            if asked is not None and entries:
+                cell = hashed(entries, 0) >> np.uint64(64 - MAP_BITS)
+                there = asked[(cell >> np.uint64(3)).astype(np.int64)] >> (cell & np.uint64(7)).astype(np.uint8) & 1
+                entries = [w for w, k in zip(entries, there.tolist()) if k]
+            entries.sort()
+            known = {w: i for i, w in enumerate(entries)}
             ids = np.fromiter(map(known.get, every, repeat(-1)), np.int64, len(every))
             at = np.arange(len(every)) + np.repeat(np.arange(len(cut)) * GAP, size)
             at, ids = at[ids >= 0], ids[ids >= 0]
@@ -124,7 +128,7 @@ def build_index(docs: DataFrame, terms: list[bytes] | None = None, doc_id: str =
     return picked.mapInArrow(run, f"segment string, term binary, n long, positions binary, doc_ids array<{kind}>, begins array<long>, ends array<long>")
 
 
-def occurrences(lists: dict[int, np.ndarray], window: list[int], slop: int = 0) -> np.ndarray:
+def occurrences(lists: dict[bytes, np.ndarray], window: list[bytes], slop: int = 0) -> np.ndarray:
     """Where ``window`` starts: its words in order, each within ``slop`` places of its own (0: the exact phrase)."""
     if any(t not in lists for t in window):
         return np.empty(0, np.int64)
@@ -141,97 +145,59 @@ def occurrences(lists: dict[int, np.ndarray], window: list[int], slop: int = 0)
     return starts
 
 
-def _by_rarity(asked: Windows, count: dict[bytes, int]) -> tuple[np.ndarray, list[list[str]], np.ndarray]:
-    """Windows of which every term occurs, in the order of their rarest terms: (rows, owners,
-    where the windows of each rarest term begin)."""
-    n = np.array([*(count.get(t, 0) for t in asked.terms), np.iinfo(np.int64).max])  # the last stands for no word
-    rows = asked.rows
-    there = np.flatnonzero((n[rows] > 0).all(axis=1))
-    rarest = rows[there, n[rows[there]].argmin(axis=1)]
-    order = np.argsort(rarest, kind="stable")
-    there = there[order]
-    return rows[there], [asked.owners[i] for i in there.tolist()], np.searchsorted(rarest[order], np.arange(len(asked.terms) + 1))
-
-
-def find_windows(index: DataFrame, asked: Windows, slop: int = 0) -> DataFrame:
+def find_windows(index: DataFrame, windows: DataFrame, slop: int = 0) -> DataFrame:
     """Matches of each indexed document: ``segment, place, doc_id, n_words, hits, items``.
 
     ``hits`` are the numbers of the words inside any match; ``items`` the distinct items
-    that own a matching window. Every document of the index has a row. Windows go to all
-    tasks, so ``asked`` has to be a block of bounded size.
+    that own a matching window (``terms, owners``). Every document of the index has a row.
     """
     kind = index.schema["doc_ids"].dataType.elementType.simpleString()
-    wanted = index.sparkSession.createDataFrame(pa.table({"term": pa.array([None, *asked.terms], pa.binary())}))
-    held = index.join(F.broadcast(wanted), index["term"].eqNullSafe(wanted["term"]), "left_semi")
-    count = {bytes(r["term"]): r["n"] for r in held.where("term is not null").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    rows, owners, first = _by_rarity(asked, count)
-    number = {t: i for i, t in enumerate(asked.terms)}
-
-    def candidates(present: np.ndarray) -> np.ndarray:
-        """The windows whose rarest term is present, and all others too."""
-        many = first[present + 1] - first[present]
-        at = np.repeat(first[present] - (np.cumsum(many) - many), many) + np.arange(many.sum())
-        here = np.zeros(len(number) + 1, bool)
-        here[present] = here[-1] = True
-        return at[here[rows[at]].all(axis=1)]
-
-    def run(table: pa.Table) -> pa.Table:
-        term, positions = table.column("term").to_pylist(), table.column("positions")
+    count = index.where("term IS NOT NULL").groupBy("term").agg(F.sum("n").alias("n"))
+    asked = windows.select("terms", F.explode(F.array_distinct("terms")).alias("term"))
+    held = asked.join(count, "term").groupBy("terms").agg(F.count("*").alias("known"), F.min(F.struct("n", "term")).alias("rarest"))
+    held = held.where(F.col("known") == F.size(F.array_distinct("terms"))).select("terms", F.col("rarest.term").alias("term"))
+    waiting = held.join(windows, "terms")
+    met = index.where("term IS NOT NULL").select("segment", "term").join(waiting, "term").select(F.col("segment").alias("within"), "terms", "owners")
+
+    def run(own: pa.Table, found: pa.Table) -> pa.Table:
+        term, positions = own.column("term").to_pylist(), own.column("positions")
         head = term.index(None)
-        key = table.column("doc_ids").combine_chunks().slice(head, 1).flatten()
-        begins, ends = (np.array(table.column(x)[head].as_py(), dtype=np.int64) for x in ("begins", "ends"))
-        row_of = {number[t]: i for i, t in enumerate(term) if t is not None}
-        found = candidates(np.fromiter(row_of, np.int64, len(row_of)))
-        lists = {t: _wide(positions[row_of[t]].as_py()) for t in np.unique(rows[found]).tolist() if t >= 0}
+        key = own.column("doc_ids").combine_chunks().slice(head, 1).flatten()
+        begins, ends = (np.array(own.column(x)[head].as_py(), dtype=np.int64) for x in ("begins", "ends"))
+        row_of = {t: i for i, t in enumerate(term) if t is not None}
+        lists: dict[bytes, np.ndarray] = {}
         edge = np.zeros((ends[-1] if len(ends) else 0) + GAP + 1, np.int64)
         items: list[set[str]] = [set() for _ in begins]
-        for i in found.tolist():
-            window = [t for t in rows[i].tolist() if t >= 0]
-            at = occurrences(lists, window, slop)
-            if len(at):
-                of = np.maximum(np.searchsorted(begins, at, "right") - 1, 0)
-                at = np.clip(at, begins[of], ends[of])
-                np.add.at(edge, at, 1)
-                np.add.at(edge, np.minimum(at + len(window), ends[of]), -1)
-                for d in set(of.tolist()):
-                    items[d].update(owners[i])
+        for window, owners in zip(found.column("terms").to_pylist(), found.column("owners").to_pylist()):
+            if all(t in row_of for t in window):
+                lists |= {t: _wide(positions[row_of[t]].as_py()) for t in window if t not in lists}
+                at = occurrences(lists, window, slop)
+                if len(at):
+                    of = np.maximum(np.searchsorted(begins, at, "right") - 1, 0)
+                    at = np.clip(at, begins[of], ends[of])
+                    np.add.at(edge, at, 1)
+                    np.add.at(edge, np.minimum(at + len(window), ends[of]), -1)
+                    for d in set(of.tolist()):
+                        items[d].update(owners)
         hit = np.flatnonzero(np.cumsum(edge) > 0)
         cut = np.searchsorted(hit, begins), np.searchsorted(hit, ends)
         hits = [(hit[a:z] - s).tolist() for a, z, s in zip(*cut, begins)]
         n = len(begins)
         return pa.table(
-            [pa.array(table.column("segment").to_pylist()[:1] * n, pa.string()), pa.array(range(n), pa.int64()), key, pa.array(ends - begins), pa.array(hits, pa.list_(pa.int64())), pa.array([sorted(x) for x in items], pa.list_(pa.string()))],
+            [pa.array(own.column("segment").to_pylist()[:1] * n, pa.string()), pa.array(range(n), pa.int64()), key, pa.array(ends - begins), pa.array(hits, pa.list_(pa.int64())), pa.array([sorted(x) for x in items], pa.list_(pa.string()))],
             names=["segment", "place", "doc_id", "n_words", "hits", "items"],
         )
 
-    return held.drop("n").groupBy("segment").applyInArrow(run, f"segment string, place long, doc_id {kind}, n_words long, hits array<long>, items array<string>")
-
+    schema = f"segment string, place long, doc_id {kind}, n_words long, hits array<long>, items array<string>"
+    return index.drop("n").groupBy("segment").cogroup(met.groupBy("within")).applyInArrow(run, schema)
 
-def _block(rows: DataFrame, i: int, count: int, size: int) -> Windows:
-    part = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == i) if count > 1 else rows
-    return windows_of([(r["item_id"], r["text"].encode()) for r in part.collect()], size)
 
-
-def matches(docs: DataFrame, benchmark: DataFrame, size: int = 13, slop: int = 0, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = 2 << 20) -> DataFrame:
-    """``doc_id, n_words, hits, items`` of every document.
-
-    The test set is a stated query set, whose size is measured: it goes over one stored index
-    in blocks of about ``block_bytes``, and meets only the postings of a block's own terms. If
-    there is but one block, the index holds no other terms.
-    """
+def matches(docs: DataFrame, benchmark: DataFrame, size: int = 13, slop: int = 0, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """``doc_id, n_words, hits, items`` of every document, by one index of the words that may be asked for."""
     asked = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("item_id"), F.col(item_text).alias("text")).where(F.col("text").isNotNull())
-    count = 1 + (asked.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes
-    if count == 1:
-        windows = _block(asked, 0, 1, size)
-        index, _ = materialize(build_index(docs, windows.terms, doc_id, text), "postings")
-        return find_windows(index, windows, slop).drop("segment", "place")
-    index, _ = materialize(build_index(docs, None, doc_id, text), "postings")
-    out = None
-    for i in range(count):
-        found, _ = materialize(find_windows(index, _block(asked, i, count, size), slop), "matches")
-        out = found if out is None else out.unionByName(found)
-    hits, items = (F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in ("hits", "items"))
-    return out.groupBy("segment", "place").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), hits, items).drop("segment", "place")
+    windows, _ = materialize(windows_of(asked, size), "windows")
+    index, _ = materialize(build_index(docs, term_map(windows), doc_id, text), "postings")
+    return find_windows(index, windows, slop).drop("segment", "place")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, share: int = 20, **columns) -> DataFrame:

@@ -1,6 +1,7 @@
 import datetime as dt
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -82,12 +83,11 @@ def test_contamination_equals_brute_force(spark):
     items = [(1, " ".join(words(40, 7)[:30])), (2, "Only-Two"), (3, None), (4, ""), (5, " ".join(words(80, 1)[5:40])), (5, "la la la"), (10, " ".join(words(80, 1)[5:40]))]
     rows = [*enumerate(texts()), (90, "x only; TWO y"), (91, "only"), (92, "two only two")]
     benchmark = spark.createDataFrame(items, "item_id long, text string")
-    for limit in (16 << 20, 40):  # one block, and several
-        found = decontaminate.contamination(documents(spark, rows), benchmark, block_bytes=limit).collect()
-        got = {r.doc_id: tuple(r)[1:] for r in found}
-        assert len(found) == len(rows)
-        for i, t in rows:
-            assert got[i] == brute(t, items), i
+    found = decontaminate.contamination(documents(spark, rows), benchmark).collect()
+    got = {r.doc_id: tuple(r)[1:] for r in found}
+    assert len(found) == len(rows)
+    for i, t in rows:
+        assert got[i] == brute(t, items), i
     assert decontaminate.contamination(documents(spark, []), benchmark).collect() == []
     assert not any(r.contaminated for r in decontaminate.contamination(documents(spark), benchmark.limit(0)).collect())
 
@@ -96,11 +96,27 @@ def test_stored_index_in_many_segments(spark):
     w = words(3000, 2)
     items = [(i, " ".join(w[i * 37 : i * 37 + 20])) for i in range(60)] + [(100, " ".join(w[:13][::-1])), (101, w[5]), (102, "nowhere at all")]
     rows = [(d, " ".join(w[d * 50 : d * 50 + 90])) for d in range(40)] + [(40, " ".join(w[:13][::-1])), (41, None)]
-    asked = decontaminate.windows_of([(str(i), t.encode()) for i, t in items], 13)
-    index = decontaminate.build_index(documents(spark, rows).repartition(3), segment_bytes=700)
-    assert index.select("segment").distinct().count() > 12
-    got = {r.doc_id: (r.n_words, len(r.hits), len(r["items"])) for r in decontaminate.find_windows(index, asked).collect()}
-    assert got == {d: brute(t, items)[:3] for d, t in rows}
+    asked = decontaminate.windows_of(spark.createDataFrame([(str(i), t) for i, t in items], "item_id string, text string"), 13)
+    docs = documents(spark, rows).repartition(3)
+    for terms in (None, decontaminate.term_map(asked)):
+        index = decontaminate.build_index(docs, terms, segment_bytes=700)
+        assert index.select("segment").distinct().count() > 12
+        got = {r.doc_id: (r.n_words, len(r.hits), len(r["items"])) for r in decontaminate.find_windows(index, asked).collect()}
+        assert got == {d: brute(t, items)[:3] for d, t in rows}
+    every = decontaminate.build_index(docs).agg(F.sum("n")).first()[0]
+    assert decontaminate.build_index(docs, decontaminate.term_map(asked.where("size(terms) < 13"))).agg(F.sum("n")).first()[0] < every / 50
+
+
+def test_a_large_test_set_reads_the_index_once(spark):
+    """Megabytes of items: the same plan, one scan of the postings for the counts, one for the join and one for the lists."""
+    r = random.Random(2)
+    vocabulary = [f"w{i}" for i in range(20_000)]
+    items = [(i, " ".join(r.choices(vocabulary, k=60))) for i in range(9000)]
+    rows = [(d, " ".join([*r.choices(vocabulary, k=40), *(items[d * 31][1].split()[5:30] if d % 3 == 0 else []), *r.choices(vocabulary, k=20)])) for d in range(200)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    assert sum(len(t) for _, t in items) > 3 << 20
+    got = {x.doc_id: (x.n_hit, x.n_items) for x in decontaminate.contamination(documents(spark, rows), benchmark).collect()}
+    assert got == {d: (25, 1) if d % 3 == 0 else (0, 0) for d, _ in rows}
 
 
 def test_proximity(spark):
