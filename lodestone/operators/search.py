@@ -8,6 +8,7 @@ depend on the order of arrival.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from uuid import uuid4
 
@@ -19,6 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from lodestone.functions import text, vectors
@@ -245,7 +247,8 @@ def write_vector_index(chunks: DataFrame, path: str, cells: int | None = None, p
 
     coded = known.mapInArrow(run, f"project_id {kinds['project_id']}, id {kinds['id']}, code binary, embedding {kinds['embedding']}, cell int")
     coded.hint("rebalance", F.col("cell")).write.partitionBy("cell").parquet(f"{path}/cells")
-    spark.createDataFrame([(int(dim), edges, centres.astype(float).tolist(), [w.tolist() for w in words])], "dim int, edges array<int>, centres array<array<double>>, words array<array<array<double>>>").write.parquet(f"{path}/model")
+    about = (int(dim), edges, centres.astype(float).tolist(), [w.tolist() for w in words], coded.schema.json())
+    spark.createDataFrame([about], "dim int, edges array<int>, centres array<array<double>>, words array<array<array<double>>>, kinds string").write.parquet(f"{path}/model")
 
 
 def topk_approx(queries: DataFrame, chunks: DataFrame | None = None, k: int = DEFAULT_K, index: str | None = None, probes: int = 16, refine: int = 20) -> DataFrame:
@@ -264,7 +267,7 @@ def topk_approx(queries: DataFrame, chunks: DataFrame | None = None, k: int = DE
     m = spark.read.parquet(f"{index}/model").first()
     model = spark.sparkContext.broadcast((np.array(m.centres), [np.array(w) for w in m.words]))
     dim, edges = m.dim, m.edges
-    cells = spark.read.parquet(f"{index}/cells")
+    cells = spark.read.schema(StructType.fromJson(json.loads(m.kinds))).parquet(f"{index}/cells")
     asked = queries.select("query_id", "project_id", "query_vec").where(F.size("query_vec") == dim)
 
     def near(batches):
