@@ -974,9 +974,9 @@ def dim_check(spark, d):
 IMPORTED = "SELECT {key} AS id, text AS content, lang, NULL AS n FROM documents"
 
 
-def _page(spark: SparkSession, d: str, page: Column) -> DataFrame:
-    """Documents as pages of another store's export, one page for each source and language."""
-    docs = _t(spark, d, "documents").groupBy("source", "lang", F.floor(F.col("doc_id") / 100)).agg(F.collect_list(F.struct("doc_id", "text", "lang", "n_chars")).alias("r"))
+def _page(spark: SparkSession, d: str, page: Column, size: int = 100) -> DataFrame:
+    """Documents as pages of another store's export, by source, language and ranges of ids."""
+    docs = _t(spark, d, "documents").groupBy("source", "lang", F.floor(F.col("doc_id") / size)).agg(F.collect_list(F.struct("doc_id", "text", "lang", "n_chars")).alias("r"))
     return docs.select(F.to_json(page).alias("page"))
 
 
@@ -1002,6 +1002,19 @@ def import_weaviate_pages(spark, d):
     return _shown(imports.import_weaviate(_page(spark, d, F.struct(F.struct(F.struct(r.alias("Doc")).alias("Get")).alias("data"))), text_field="body"))
 
 
+@query(IMPORTED.format(key="CAST(doc_id AS VARCHAR)"))
+def import_arriving_pages(spark, d):
+    """Pages as files that arrive in two lots; the second run takes only the files that are new."""
+    r = F.map_from_entries(F.transform("r", lambda x: F.struct(x["doc_id"].cast("string"), F.struct(x["doc_id"].cast("string").alias("id"), F.struct(x["text"].alias("content"), x["lang"].alias("lang"), x["n_chars"].alias("n")).alias("metadata")))))
+    made, folder, out, ck = _page(spark, d, F.struct(r.alias("vectors")), 1000), _fresh(spark, "pages"), _fresh(spark, "imported"), _fresh(spark, "ck")
+    odd = F.pmod(F.xxhash64("page"), F.lit(2)) == 1
+    for rows in (made.where(odd), made.where(~odd)):
+        # a file for each page
+        rows.select(F.sha2("page", 256).alias("name"), "page").write.partitionBy("name").mode("append").text(folder)
+        imports.import_arriving(spark, "pinecone", folder, out, ck, 1000).awaitTermination()
+    return _shown(spark.read.parquet(out))
+
+
 @query(IMPORTED.format(key="CAST(doc_id AS VARCHAR)"))
 def import_chroma_pages(spark, d):
     ids = F.array(F.transform("r", lambda x: x["doc_id"].cast("string")))

@@ -5,8 +5,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 _VALUES = "map<string,variant>"
 
@@ -54,3 +55,20 @@ def import_chroma(pages: DataFrame, page: str = "page", text_field: str = "conte
 
 
 IMPORTERS = {"qdrant": import_qdrant, "pinecone": import_pinecone, "weaviate": import_weaviate, "chroma": import_chroma}
+
+
+def read_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Exported pages, one file each, as ``page``; files that are no JSON give no documents. Any store that Spark reads will do."""
+    return spark.read.text(folder, wholetext=True, recursiveFileLookup=True).withColumnRenamed("value", "page")
+
+
+def stream_pages(spark: SparkSession, folder: str, files: int = 100) -> DataFrame:
+    """The same as a stream of the files that arrive, ``files`` to a micro-batch; its offsets are the files that have been read."""
+    return spark.readStream.option("maxFilesPerTrigger", files).text(folder, wholetext=True, recursiveFileLookup=True).withColumnRenamed("value", "page")
+
+
+def import_arriving(spark: SparkSession, kind: str, folder: str, out: str, checkpoint: str, files: int = 100, **options) -> StreamingQuery:
+    """Documents of the pages that have come to ``folder`` since the last run, appended to ``out``: each page once,
+    also where a run broke off."""
+    documents = IMPORTERS[kind](stream_pages(spark, folder, files), **options)
+    return documents.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

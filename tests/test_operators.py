@@ -338,6 +338,20 @@ def test_imports(spark, kind):
     assert all("n" not in r.meta for r in out) and (kind != "qdrant" or all("content" not in r.meta for r in out))
 
 
+def test_pages_that_arrive_are_imported_once(spark, tmp_path):
+    folder, out, ck = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "ck")
+    folder.mkdir()
+    page = lambda i: json.dumps({"vectors": {f"v{i}": {"id": f"v{i}", "metadata": {"content": f"text\n{i}"}}}}, indent=1)
+    for lot in ((0, 1, 2), (3,), ()):
+        for i in lot:
+            (folder / f"{i}.json").write_text(page(i))
+        (folder / f"broken{len(lot)}.json").write_text("{no json")
+        imports.import_arriving(spark, "pinecone", str(folder), out, ck, 2).awaitTermination()
+        got = sorted((r.id, r.content) for r in spark.read.parquet(out).collect())
+        assert got == sorted((f"v{i}", f"text\n{i}") for i in range(4 if lot != (0, 1, 2) else 3))
+    assert imports.import_pinecone(imports.read_pages(spark, str(folder))).count() == 4
+
+
 def test_reembedding(spark):
     docs = spark.createDataFrame([("p", f"i{i}", "", f"text {i}", {"content_hash": "h", "embed_model": "old"}) for i in range(150)], "project_id string, id string, doc_id string, content string, meta map<string,string>")
     e = embed.Embedder(lambda texts: [[float(len(t)), 1.0] for t in texts], "new", 2, 64)
