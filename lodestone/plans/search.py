@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.operators import metrics
 from lodestone.operators import search as op
+from lodestone.sources import store
 
 
 def _finish(found: DataFrame, queries: DataFrame, chunks: DataFrame, k: int, reranker: Column | None, max_per_doc: int, compress: bool) -> DataFrame:
@@ -59,7 +59,7 @@ def log_rows(queries: DataFrame, results: DataFrame, latency_ms: Column | None =
 def search_with_log(
     queries: DataFrame, chunks: DataFrame, k: int = op.DEFAULT_K, recall: int = op.DEFAULT_RECALL, hybrid: bool = False, reranker: Column | None = None, max_per_doc: int = 0, compress: bool = False, latency_ms: Column | None = None
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(results, metric rows, log rows) of one retrieval, which is kept on disk until the caller unpersists the results' session cache."""
-    found = op.retrieve_candidates(queries, chunks, max(recall, k), hybrid).persist(StorageLevel.DISK_ONLY)
+    """(results, metric rows, log rows) of one retrieval, which is written to the shared folder and goes with the driver's JVM."""
+    found = store.kept(op.retrieve_candidates(queries, chunks, max(recall, k), hybrid), "retrieval")
     results = _finish(found, queries, chunks, k, reranker, max_per_doc, compress)
     return results, *log_rows(queries, results, latency_ms, found, hybrid)

@@ -25,6 +25,16 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def kept(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` written to the shared folder and read back; the files are deleted when the driver's JVM ends."""
+    spark = rows.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    where, fs = files.locate(spark, path)
+    fs.deleteOnExit(where)
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 def append_batch(rows: DataFrame, path: str, batch: str, order: list[str], key: str = "id") -> tuple[int, int]:
     """Sink of query metrics and logs: (first id, number) of the rows, which get ids that go on from those before, in ``order``.
 
