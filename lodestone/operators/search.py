@@ -24,7 +24,7 @@ from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from lodestone.functions import text, vectors
-from lodestone.sources.store import shared_dir
+from lodestone.sources.store import kept, shared_dir
 
 DEFAULT_K, DEFAULT_RECALL = 5, 25
 #: Query rows of this many bytes at most are broadcast; beyond, both sides are shuffled.
@@ -283,6 +283,7 @@ def topk_approx(queries: DataFrame, chunks: DataFrame | None = None, k: int = DE
 
     kinds = dict(asked.dtypes)
     probing = asked.mapInArrow(near, f"query_id {kinds['query_id']}, project_id {kinds['project_id']}, unit binary, cell int")
+    probing = kept(probing, "probes")  # it is measured and then read again, as are the first candidates
     wanted = [r.cell for r in probing.select("cell").distinct().collect()]  # cells are a bounded number
     cells = cells.where(F.col("cell").isin(wanted))
     met = cells.select("project_id", "cell", "id", "code").join(small(probing), ["project_id", "cell"])
@@ -304,6 +305,7 @@ def topk_approx(queries: DataFrame, chunks: DataFrame | None = None, k: int = DE
     schema = f"query_id {kinds['query_id']}, project_id {dict(cells.dtypes)['project_id']}, cell int, id {dict(cells.dtypes)['id']}, guess double"
     order = Window.partitionBy("query_id").orderBy(F.col("guess").desc(), "id")
     first = met.mapInArrow(guess, schema).withColumn("n", F.row_number().over(order)).where(F.col("n") <= k * refine).drop("n", "guess")
+    first = kept(first, "candidates")
     exact = cells.select("project_id", "cell", "id", "embedding").join(small(first), ["project_id", "cell", "id"]).join(small(asked.select("query_id", "query_vec")), "query_id")
     return _top(exact.select("query_id", "id", vectors.cosine(F.col("embedding"), F.col("query_vec")).alias("score")).where("score is not null"), k)
 
@@ -426,8 +428,9 @@ def _index_hits(asked: DataFrame, path: str) -> DataFrame:
     terms = by(asked.select("query_id", F.col("project_id").cast(kinds["project_id"]).alias("project_id"), F.size("terms").alias("n"), F.posexplode("terms").alias("number", "term")))
     met = counts.join(small(terms), ["bucket", "project_id", "term"])
     rarest = met.groupBy("query_id", "project_id", "n").agg(F.count("*").alias("known"), F.min_by("term", F.struct("chunks", "term")).alias("term")).where("known = n").drop("known")
+    rarest = kept(rarest, "rarest")  # each of these is measured and then read again
     found = index.select("bucket", "project_id", "term", "id").join(small(by(rarest)), ["bucket", "project_id", "term"]).select("query_id", "project_id", "id", "n")
-    wanted = found.join(terms.drop("project_id", "n"), "query_id")
+    wanted = kept(found.join(terms.drop("project_id", "n"), "query_id"), "candidates")
     places = index.join(small(wanted), ["bucket", "project_id", "term", "id"]).groupBy("query_id", "project_id", "id", "n")
     all_hits = F.flatten(F.collect_list(F.transform("positions", lambda p: F.struct(p.alias("at"), F.col("number").alias("term")))))
     return places.agg(F.count("*").alias("held"), F.array_sort(all_hits).alias("hits")).where("held = n").drop("held")
