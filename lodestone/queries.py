@@ -975,8 +975,10 @@ IMPORTED = "SELECT {key} AS id, text AS content, lang, NULL AS n FROM documents"
 
 
 def _page(spark: SparkSession, d: str, page: Column, size: int = 100) -> DataFrame:
-    """Documents as pages of another store's export, by source, language and ranges of ids."""
-    docs = _t(spark, d, "documents").groupBy("source", "lang", F.floor(F.col("doc_id") / size)).agg(F.collect_list(F.struct("doc_id", "text", "lang", "n_chars")).alias("r"))
+    """Documents as pages of another store's export, by source, language and ranges of ids.
+
+    A page's rows are in order, so that it is the same text however often it is made."""
+    docs = _t(spark, d, "documents").groupBy("source", "lang", F.floor(F.col("doc_id") / size)).agg(F.array_sort(F.collect_list(F.struct("doc_id", "text", "lang", "n_chars"))).alias("r"))
     return docs.select(F.to_json(page).alias("page"))
 
 

@@ -352,6 +352,17 @@ def test_pages_that_arrive_are_imported_once(spark, tmp_path):
     assert imports.import_pinecone(imports.read_pages(spark, str(folder))).count() == 4
 
 
+def test_a_page_is_the_same_text_however_its_rows_arrive(spark, tmp_path):
+    from lodestone import queries
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("doc_id < 100")
+    made = []
+    for n, order in enumerate((F.col("doc_id"), F.col("doc_id").desc())):
+        docs.coalesce(1).sortWithinPartitions(order).write.parquet(f"{tmp_path}/{n}/documents.parquet")
+        made.append(sorted(r.page for r in queries._page(spark, f"{tmp_path}/{n}", F.struct("r")).collect()))
+    assert made[0] == made[1]
+
+
 def test_reembedding(spark):
     docs = spark.createDataFrame([("p", f"i{i}", "", f"text {i}", {"content_hash": "h", "embed_model": "old"}) for i in range(150)], "project_id string, id string, doc_id string, content string, meta map<string,string>")
     e = embed.Embedder(lambda texts: [[float(len(t)), 1.0] for t in texts], "new", 2, 64)
