@@ -29,6 +29,8 @@ from lodestone.sources.store import kept, shared_dir
 DEFAULT_K, DEFAULT_RECALL = 5, 25
 #: Query rows of this many bytes at most are broadcast; beyond, both sides are shuffled.
 BROADCAST_BYTES = 32 << 20
+#: Scores that a task holds at a time, whatever the number of queries.
+CELLS = 1 << 20
 
 
 def resolve_options(requests: DataFrame) -> DataFrame:
@@ -80,16 +82,35 @@ def _scores(asked: np.ndarray, known: np.ndarray, metric: str) -> np.ndarray:
     return np.divide(asked @ known.T, size, out=np.full(size.shape, np.nan), where=size > 0)
 
 
-def _best(scores: np.ndarray, ids: list, k: int):
-    """(row, column) of the k best scores of each row, ties by id."""
+def _best(scores: np.ndarray, ids: list, k: int, held: np.ndarray | None = None):
+    """(row, column) of the k best scores of each row, ties by id.
+
+    ``held`` has each row's k best rounded scores so far, the least first: what is below that is left out, and they are brought up to date.
+    """
     places = np.round(np.where(np.isnan(scores), -np.inf, scores), 9)
-    for r, row in enumerate(places):
+    for r in range(len(places)) if held is None or not places.size else np.flatnonzero(places.max(1) >= held[:, 0]).tolist():
+        row = places[r]
         at = np.flatnonzero(row >= np.partition(row, len(row) - k)[len(row) - k]) if len(row) > k else np.arange(len(row))
-        at = at[row[at] > -np.inf].tolist()
-        for c in sorted(at, key=lambda c: (-row[c], ids[c]))[:k] if len(at) > k else at:
+        at = at[row[at] > -np.inf]
+        at = at if held is None else at[row[at] >= held[r, 0]]
+        if len(at) > k:
+            at = np.array(sorted(at.tolist(), key=lambda c: (-row[c], ids[c]))[:k])
+        if held is not None and len(at):
+            held[r] = np.sort(np.concatenate([held[r], row[at]]))[-k:]
+        for c in at.tolist():
             yield r, c
 
 
+def _met(asked: np.ndarray, known: np.ndarray, ids: list, k: int, metric: str, held: np.ndarray | None = None):
+    """(queries, chunks, scores) of each query's k best, for as many queries at a time as ``CELLS`` scores allow."""
+    rows = max(1, CELLS // max(1, len(known)))
+    for a in range(0, len(asked), rows):
+        scores = _scores(asked[a : a + rows], known, metric)
+        met = np.array(list(_best(scores, ids, k, None if held is None else held[a : a + rows])), np.int64).reshape(-1, 2)
+        if len(met):
+            yield met[:, 0] + a, met[:, 1], scores[met[:, 0], met[:, 1]]
+
+
 def _dim(queries: DataFrame) -> int:
     return queries.agg(F.max(F.size("query_vec"))).first()[0] or 0
 
@@ -99,8 +120,8 @@ def topk_dense(queries: DataFrame, chunks: DataFrame, k: int = DEFAULT_K, metric
 
     Cosine scores are similarities; with ``l2`` the score is 1 - squared distance. Vectors that are null, of another
     length than the queries' or hold what is no number are near nothing, nor, by cosine, zero vectors. Queries of checked size
-    go to all chunks; more of them meet the chunks in tiles. Either way a batch's scores are one matrix product, and
-    only its best rows go on.
+    go to all chunks; more of them meet the chunks in tiles. Either way scores are matrix products of a bounded size, and
+    only the best rows of each go on.
     """
     k = k if k > 0 else DEFAULT_K
     asked = queries.select("query_id", "project_id", "query_vec").where("query_vec IS NOT NULL")
@@ -131,6 +152,8 @@ def _scan_scores(asked: DataFrame, known: DataFrame, k: int, metric: str) -> Dat
     schema, query_kind, _ = _scored(asked, known)
 
     def run(batches):
+        # a task's best scores so far, where they are few: a batch passes on only what may be among them
+        held = {p: np.full((len(ids), k), -np.inf) for p, (ids, _) in sent.value.items() if len(ids) * k <= 4 * CELLS}
         for b in batches:
             fit, m = _matrix(b.column("embedding"), dim) if dim and b.num_rows else (np.empty(0, np.int64), None)
             project = b.column("project_id").dictionary_encode()
@@ -141,10 +164,9 @@ def _scan_scores(asked: DataFrame, known: DataFrame, k: int, metric: str) -> Dat
                     ids, q = sent.value[p]
                     rows = pa.array(fit[own])
                     names = b.column("id").take(rows)
-                    scores = _scores(q, m[own], metric)
-                    met = list(_best(scores, names.to_pylist(), k))
-                    at = pa.array([c for _, c in met], pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array([ids[r] for r, _ in met], query_kind), b.column("project_id").take(rows).take(at), names.take(at), pa.array([scores[x] for x in met], pa.float64())], names=["query_id", "project_id", "id", "score"])
+                    for r, c, score in _met(q, m[own], names.to_pylist(), k, metric, held.get(p)):
+                        at = pa.array(c)
+                        yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in r.tolist()], query_kind), b.column("project_id").take(rows).take(at), names.take(at), pa.array(score)], names=["query_id", "project_id", "id", "score"])
 
     return known.mapInArrow(run, schema)
 
@@ -189,9 +211,8 @@ def _tile_scores(asked: DataFrame, known: DataFrame, k: int, metric: str, size:
             for r in range(b.num_rows):
                 q, e = (np.frombuffer(b.column(c)[r].as_buffer(), np.float64).reshape(-1, dim) for c in ("query_matrix", "matrix"))
                 ids, asking = b.column("keys")[r].as_py(), b.column("asking")[r].as_py()
-                scores = _scores(q, e, metric)
-                met = list(_best(scores, ids, k))
-                yield pa.RecordBatch.from_arrays([pa.array([asking[i] for i, _ in met], query_kind), b.column("project_id").take(pa.array([r] * len(met), pa.int64())), pa.array([ids[c] for _, c in met], id_kind), pa.array([scores[x] for x in met], pa.float64())], names=["query_id", "project_id", "id", "score"])
+                for i, c, score in _met(q, e, ids, k, metric):
+                    yield pa.RecordBatch.from_arrays([pa.array([asking[x] for x in i.tolist()], query_kind), b.column("project_id").take(pa.array([r] * len(c), pa.int64())), pa.array([ids[x] for x in c.tolist()], id_kind), pa.array(score)], names=["query_id", "project_id", "id", "score"])
 
     return left.join(right, ["project_id", "part"]).mapInArrow(run, schema)
 

@@ -5,8 +5,10 @@ import math
 import random
 import re
 import time
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -265,6 +267,39 @@ def test_a_stored_vector_index_reads_the_probed_cells(spark, tmp_path):
     assert search.topk_approx(q, index=str(tmp_path / "none")).collect() == []
 
 
+def caught(monkeypatch, df):
+    """Makes ``mapInArrow`` return its function, so that a test can run a task by itself."""
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, run, schema: run)
+
+
+def peak_mb(make):
+    """(what ``make`` gives, the most that it held at a time)."""
+    tracemalloc.start()
+    try:
+        return make(), tracemalloc.get_traced_memory()[1] / 2**20
+    finally:
+        tracemalloc.stop()
+
+
+def test_a_task_holds_few_scores_however_many_ask(spark, monkeypatch):
+    r = np.random.default_rng(3)
+    q, m = r.normal(size=(1000, 4)).round(1), r.normal(size=(10_000, 4)).round(1)
+    asks = spark.createDataFrame([(i, "p", v) for i, v in enumerate(q.tolist())], "query_id long, project_id string, query_vec array<double>")
+    known = spark.createDataFrame([], "project_id string, id long, embedding array<double>")
+    batches = [pa.RecordBatch.from_pydict({"project_id": ["p"] * 5000, "id": list(range(a, a + 5000)), "embedding": m[a : a + 5000].tolist()}) for a in (0, 5000)]
+    caught(monkeypatch, known)
+    run = search._scan_scores(asks, known, 5, "l2")
+    out, peak = peak_mb(lambda: list(run(iter(batches))))
+    assert peak < 80
+    best = {}
+    for b in out:
+        for x in b.to_pylist():
+            best.setdefault(x["query_id"], []).append((-round(x["score"], 9), x["id"]))
+    for i in range(0, 1000, 50):
+        exact = np.round(1 - ((m - q[i]) ** 2).sum(1), 9)
+        assert [c for _, c in sorted(best[i])[:5]] == sorted(range(10_000), key=lambda c: (-exact[c], c))[:5]
+
+
 @pytest.mark.parametrize("metric", ["cosine", "l2"])
 def test_many_queries_meet_chunks_in_tiles(spark, monkeypatch, metric):
     r = np.random.default_rng(1)
