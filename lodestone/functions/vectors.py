@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.functions.batches import slices
 from lodestone.functions.text import tokens
 
 
@@ -39,7 +40,7 @@ def hash_embedding(rows: DataFrame, key: str, text: str, dim: int = 64) -> DataF
     kind = rows.schema[key].dataType.simpleString()
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches, "words", 1 << 19):
             words = b.column("words")
             size = np.diff(np.asarray(words.offsets))
             flat = words.flatten().dictionary_encode()

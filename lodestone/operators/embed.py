@@ -9,8 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.functions.batches import slices
 from lodestone.operators import chunks
 
+#: Bytes of text that a task has in hand at a time, whatever a batch holds.
+BYTES = 4 << 20
 Embed = Callable[[list[str]], list[list[float]]]
 
 
@@ -28,7 +31,7 @@ class Embedder:
 
 def _embed(rows: DataFrame, fn: Embed, e: Embedder, text: str, to: str) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]):
-        for b in batches:
+        for b in slices(batches, text, BYTES):
             texts = [t or "" for t in b.column(text).to_pylist()]
             out: list[list[float]] = []
             for i in range(0, len(texts), e.batch):

@@ -24,6 +24,7 @@ from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from lodestone.functions import text, vectors
+from lodestone.functions.batches import slices
 from lodestone.sources.store import kept, shared_dir
 
 DEFAULT_K, DEFAULT_RECALL = 5, 25
@@ -31,6 +32,8 @@ DEFAULT_K, DEFAULT_RECALL = 5, 25
 BROADCAST_BYTES = 32 << 20
 #: Scores that a task holds at a time, whatever the number of queries.
 CELLS = 1 << 20
+#: Words that a task looks at together, whatever a batch holds.
+WORDS = 1 << 19
 
 
 def resolve_options(requests: DataFrame) -> DataFrame:
@@ -339,7 +342,7 @@ def postings(chunks: DataFrame) -> DataFrame:
     kinds = dict(chunks.select("project_id", "id").dtypes)
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches, "words", WORDS):
             words = b.column("words")
             size = np.diff(np.asarray(words.offsets))
             row = np.repeat(np.arange(len(size)), size)
@@ -410,7 +413,7 @@ def _scan_hits(asked: DataFrame, chunks: DataFrame) -> DataFrame:
     kinds = dict(asked.dtypes) | dict(chunks.select("id").dtypes)
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches, "words", WORDS):
             out = list(_hits(queries.value, b.column("words"), b.column("project_id"))) if queries.value and b.num_rows else []
             if out:
                 rows = pa.array([r for _, r, _, _ in out])

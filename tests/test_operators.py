@@ -300,6 +300,19 @@ def test_a_task_holds_few_scores_however_many_ask(spark, monkeypatch):
         assert [c for _, c in sorted(best[i])[:5]] == sorted(range(10_000), key=lambda c: (-exact[c], c))[:5]
 
 
+def test_a_task_holds_few_words_and_texts_however_large_a_batch_is(spark, monkeypatch):
+    rows = spark.createDataFrame([], "project_id string, id long, content string")
+    caught(monkeypatch, rows)
+    words = [[f"w{(i * 7 + j) % 50}" for j in range(1000)] for i in range(3000)]
+    batch = pa.RecordBatch.from_pydict({"project_id": ["p"] * 3000, "id": list(range(3000)), "words": words})
+    n, peak = peak_mb(lambda: sum(b.num_rows for b in search.postings(rows)(iter([batch]))))
+    assert n == 3000 * 50 and peak < 60
+    batch = pa.RecordBatch.from_pydict({"project_id": ["p"] * 3000, "id": list(range(3000)), "content": ["x" * 10_000 + str(i) for i in range(3000)]})
+    e = embed.Embedder(lambda texts: [[float(t[10_000:])] for t in texts], dim=1)
+    made, peak = peak_mb(lambda: [v[0] for b in embed.embed_documents(rows, e)(iter([batch])) for v in b.column("embedding").to_pylist()])
+    assert made == list(map(float, range(3000))) and peak < 15
+
+
 @pytest.mark.parametrize("metric", ["cosine", "l2"])
 def test_many_queries_meet_chunks_in_tiles(spark, monkeypatch, metric):
     r = np.random.default_rng(1)
