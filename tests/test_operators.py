@@ -267,6 +267,21 @@ def test_a_stored_vector_index_reads_the_probed_cells(spark, tmp_path):
     assert search.topk_approx(q, index=str(tmp_path / "none")).collect() == []
 
 
+def test_a_vector_index_measures_how_many_cells_a_search_has_to_probe(spark, tmp_path):
+    from lodestone import queries
+
+    d, path = "/root/testdata/sf0.01", str(tmp_path / "vectors")
+    q, c = queries.vector_queries(spark, d), queries.vector_chunks(spark, d)
+    search.write_vector_index(c, path, cells=128)
+    exact = {(r.query_id, r.id) for r in search.topk_dense(q, c, 5).collect()}
+    near = {(r.query_id, r.id): r.score for r in search.topk_approx(q, index=path).collect()}
+    assert len(exact & set(near)) / len(exact) >= 0.9
+    # queries that are too many to be sent to all tasks have the same results
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(search, "BROADCAST_BYTES", 0)
+        assert {(r.query_id, r.id): r.score for r in search.topk_approx(q, index=path).collect()} == pytest.approx(near)
+
+
 def caught(monkeypatch, df):
     """Makes ``mapInArrow`` return its function, so that a test can run a task by itself."""
     monkeypatch.setattr(type(df), "mapInArrow", lambda self, run, schema: run)
