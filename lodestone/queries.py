@@ -890,10 +890,10 @@ def approx_latency(spark, d):
 # ---- streams, replayed from the tables in micro-batches of one file ----
 
 
-def _replayed(spark: SparkSession, rows: DataFrame, parts: int = 3, folder: str | None = None) -> tuple[DataFrame, str]:
+def _replayed(spark: SparkSession, rows: DataFrame, parts: int = 3, folder: str | None = None, files: int = 1) -> tuple[DataFrame, str]:
     folder = folder or _fresh(spark, "arrivals")
     rows.repartition(parts).write.mode("append").parquet(folder)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder), folder
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(folder), folder
 
 
 @query("SELECT event_type AS type, count(*) AS events FROM events GROUP BY 1")
@@ -950,8 +950,9 @@ def stream_sync(spark, d):
     changed = first.where("doc_id % 7 <> 2 and doc_id % 10 = 3").withColumn("content", F.concat("content", F.lit(" changed"))).select(*fields, F.lit(False).alias("deleted"))
     gone = first.where("doc_id % 7 = 2").select(*fields, F.lit(True).alias("deleted"))
     folder, base, ck = _fresh(spark, "arrivals"), _fresh(spark, "collection"), _fresh(spark, "ck")
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     for rows in (here, changed.unionByName(gone)):
-        stream, _ = _replayed(spark, rows, 1, folder)
+        stream, _ = _replayed(spark, rows, parts, folder, parts)  # each lot is one micro-batch
         jobs.sync_stream(stream, base, ck, lambda f: chunks.chunk_files(f, 1000), rows=200).awaitTermination()
     return collection.read_chunks(spark, base).select("project_id", "id", "content_hash")
 

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -161,34 +160,47 @@ def query_log(entries: DataFrame, state: str, checkpoint: str, keep: int) -> Str
     return keep_state(metrics.logged(entries), lambda rows: metrics.prune_log(rows, keep), state, checkpoint)
 
 
+_FILE = ["project_id", "source_dir", "source_file"]
+#: Groups that files are dealt to; a group's files of a micro-batch are one call, and its state is by file.
+GROUPS = 256
+
+
 class _Known(StatefulProcessor):
-    """What a file's chunks hashed to when they were last seen: only chunks that differ go on."""
+    """What the chunks of a group's files hashed to when they were last seen: only chunks that differ go on."""
 
     def __init__(self, columns: list[str], prune: bool):
         self.columns, self.prune = columns, prune
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.known = handle.getMapState("known", "id string", "hash string")
+        self.known = handle.getMapState("known", ", ".join(f"{c} string" for c in _FILE), "ids array<string>, hashes array<string>")
 
     def handleInputRows(self, key, rows, timerValues):
-        rows = pd.concat(list(rows))
-        chunks = rows[~rows["gone"].astype(bool)]
-        known = {k[0]: v[0] for k, v in self.known.iterator()}
-        fresh = chunks[np.array([known.get(i) != h or not h for i, h in zip(chunks["id"], chunks["content_hash"])], bool)]
-        for i, h in zip(fresh["id"], fresh["content_hash"]):
-            self.known.updateValue((i,), (h,))
-        yield fresh
-        now = set(chunks["id"])
-        # a file that is gone takes all of its chunks along; one that has become shorter does if it is asked for
-        lost = [i for i in known if i not in now] if self.prune or not len(chunks) else []
-        for i in lost:
-            self.known.removeKey((i,))
+        rows = pd.concat(list(rows), ignore_index=True)
+        gone, ids, hashes = rows["gone"].astype(bool).tolist(), rows["id"].tolist(), rows["content_hash"].tolist()
+        files: dict = {}
+        for n, file in enumerate(zip(*(rows[c].tolist() for c in _FILE))):
+            files.setdefault(file, []).append(n)
+        fresh, lost = [], []
+        for file, at in files.items():
+            had = self.known.getValue(file)
+            known = {} if had is None else dict(zip(*had))
+            chunks = [n for n in at if not gone[n]]
+            new = [n for n in chunks if known.get(ids[n]) != hashes[n] or not hashes[n]]
+            now = {ids[n] for n in chunks}
+            # a file that is gone takes all of its chunks along; one that has become shorter does if it is asked for
+            left = [i for i in known if i not in now] if self.prune or not chunks else []
+            after = {i: h for i, h in known.items() if i not in set(left)} | {ids[n]: hashes[n] for n in new}
+            if after and (new or left):
+                self.known.updateValue(file, (list(after), list(after.values())))
+            elif left:
+                self.known.removeKey(file)
+            fresh += new
+            lost += [(*file, i) for i in left]
+        yield rows.loc[sorted(fresh), self.columns]
         if lost:
             out = pd.DataFrame({c: [None] * len(lost) for c in self.columns})
-            out["id"], out["gone"] = lost, True
-            for c, v in zip(("project_id", "source_dir", "source_file"), key):
-                out[c] = v
-            yield out.astype({c: t for c, t in rows.dtypes.items() if t == object})
+            out[[*_FILE, "id"]], out["gone"] = lost, True
+            yield out.astype({c: t for c, t in rows[self.columns].dtypes.items() if t == object})
 
     def close(self) -> None:
         pass
@@ -198,13 +210,14 @@ def changed_chunks(changes: DataFrame, chunk: Callable[[DataFrame], DataFrame],
     """Chunks that are new or changed, and with ``gone`` true the ids of those that went, of a stream of files.
 
     ``chunk`` makes points of files; rows of ``changes`` with ``deleted`` true are files that are gone. State is one
-    hash for each chunk, by file, and a micro-batch reads and writes only that of its own files.
+    hash for each chunk, by file, and a micro-batch reads and writes only that of its own files, each at once.
     """
     made = chunk(changes.where(~F.col("deleted"))).withColumn("gone", F.lit(False))
-    gone = changes.where("deleted").select("project_id", "source_dir", "source_file", F.lit(True).alias("gone"))
+    gone = changes.where("deleted").select(*_FILE, F.lit(True).alias("gone"))
     rows = made.unionByName(gone, allowMissingColumns=True)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.groupBy("project_id", "source_dir", "source_file").transformWithStateInPandas(_Known(rows.columns, prune_orphan_chunks), schema, "append", "none")
+    grouped = rows.withColumn("__group", F.pmod(F.xxhash64(*_FILE), F.lit(GROUPS)).cast("int")).groupBy("__group")
+    return grouped.transformWithStateInPandas(_Known(rows.columns, prune_orphan_chunks), schema, "append", "none")
 
 
 def sync_stream(changes: DataFrame, base: str, checkpoint: str, chunk: Callable[[DataFrame], DataFrame], prune_orphan_chunks: bool = False, rows: int = collection.ROWS) -> StreamingQuery:

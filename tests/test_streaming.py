@@ -1,5 +1,6 @@
 import json
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -106,3 +107,32 @@ def test_only_changes_go_on(spark, tmp_path):
     each = lambda batch, i: out.append(sorted((r.id[-1], r.gone) for r in batch.collect()))
     jobs.keyed_state(spark, lambda: stream.writeStream.foreachBatch(each).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()).awaitTermination()
     assert [x for x in out if x] == [[("0", False), ("1", False)], [("1", False)], [("0", True), ("1", True)]]
+
+
+def test_a_group_of_files_asks_its_state_once_for_each():
+    class State(dict):
+        calls = 0
+
+        def getValue(self, key):
+            self.calls += 1
+            return self.get(key)
+
+        def updateValue(self, key, value):
+            self.calls += 1
+            self[key] = value
+
+        def removeKey(self, key):
+            self.calls += 1
+            del self[key]
+
+    state = State()
+    columns = ["project_id", "source_dir", "source_file", "id", "content_hash", "gone"]
+    known = jobs._Known(columns, False)
+    known.known = state
+    made = lambda rows: [(r.source_file, r.id, r.gone) for f in known.handleInputRows((0,), iter([pd.DataFrame(rows, columns=columns, dtype=object)]), None) for r in f.itertuples()]
+    chunk = lambda f, i, h: ("p", None, f"f{f}", f"{f}#{i}", h, False)
+    first = [chunk(f, i, "h") for i in range(4) for f in range(300)]
+    assert sorted(made(first)) == sorted((f"f{f}", f"{f}#{i}", False) for f in range(300) for i in range(4)) and state.calls <= 600
+    assert made(first) == [] and state.calls <= 900
+    assert sorted(made([chunk(1, 0, "h"), chunk(1, 1, "other"), ("p", None, "f2", None, None, True), ("p", None, "f999", None, None, True)])) == [("f1", "1#1", False), *(("f2", f"2#{i}", True) for i in range(4))]
+    assert len(state) == 299
