@@ -88,12 +88,14 @@ def _scores(asked: np.ndarray, known: np.ndarray, metric: str) -> np.ndarray:
 
 
 def _best(scores: np.ndarray, ids: list, k: int, held: np.ndarray | None = None):
-    """(row, column) of the k best scores of each row, ties by id.
+    """(rows, columns) of the k best scores of each row, ties by id.
 
     ``held`` has each row's k best rounded scores so far, the least first: what is below that is left out, and they are brought up to date.
     """
     places = np.round(np.where(np.isnan(scores), -np.inf, scores), 9)
-    for r in range(len(places)) if held is None or not places.size else np.flatnonzero(places.max(1) >= held[:, 0]).tolist():
+    rows = np.arange(len(places)) if held is None or not places.size else np.flatnonzero(places.max(1) >= held[:, 0])
+    met = [np.empty(0, np.int64)]
+    for r in rows.tolist():
         row = places[r]
         at = np.flatnonzero(row >= np.partition(row, len(row) - k)[len(row) - k]) if len(row) > k else np.arange(len(row))
         at = at[row[at] > -np.inf]
@@ -102,8 +104,8 @@ def _best(scores: np.ndarray, ids: list, k: int, held: np.ndarray | None = None)
             at = np.array(sorted(at.tolist(), key=lambda c: (-row[c], ids[c]))[:k])
         if held is not None and len(at):
             held[r] = np.sort(np.concatenate([held[r], row[at]]))[-k:]
-        for c in at.tolist():
-            yield r, c
+        met.append(at)
+    return np.repeat(rows, [len(at) for at in met[1:]]), np.concatenate(met)
 
 
 def _met(asked: np.ndarray, known: np.ndarray, ids: list, k: int, metric: str, held: np.ndarray | None = None):
@@ -111,9 +113,9 @@ def _met(asked: np.ndarray, known: np.ndarray, ids: list, k: int, metric: str, h
     rows = max(1, CELLS // max(1, len(known)))
     for a in range(0, len(asked), rows):
         scores = _scores(asked[a : a + rows], known, metric)
-        met = np.array(list(_best(scores, ids, k, None if held is None else held[a : a + rows])), np.int64).reshape(-1, 2)
-        if len(met):
-            yield met[:, 0] + a, met[:, 1], scores[met[:, 0], met[:, 1]]
+        r, c = _best(scores, ids, k, None if held is None else held[a : a + rows])
+        if len(r):
+            yield r + a, c, scores[r, c]
 
 
 def _dim(queries: DataFrame) -> int:
@@ -137,11 +139,11 @@ def topk_dense(queries: DataFrame, chunks: DataFrame, k: int = DEFAULT_K, metric
     return best.select("query_id", "id", *columns, "score", "rank")
 
 
-def _scored(asked: DataFrame, known: DataFrame) -> tuple[str, pa.DataType, pa.DataType]:
-    """The schema of scored pairs, and Arrow's types of the two ids in it."""
+def _scored(asked: DataFrame, known: DataFrame) -> tuple[str, pa.DataType]:
+    """The schema of scored pairs, and Arrow's type of the query's id in it."""
     q, i = asked.schema["query_id"].dataType, known.schema["id"].dataType
     project = known.schema["project_id"].dataType.simpleString()
-    return f"query_id {q.simpleString()}, project_id {project}, id {i.simpleString()}, score double", to_arrow_type(q), to_arrow_type(i)
+    return f"query_id {q.simpleString()}, project_id {project}, id {i.simpleString()}, score double", to_arrow_type(q)
 
 
 def _scan_scores(asked: DataFrame, known: DataFrame, k: int, metric: str) -> DataFrame:
@@ -152,14 +154,14 @@ def _scan_scores(asked: DataFrame, known: DataFrame, k: int, metric: str) -> Dat
     for r in rows:
         if len(r.query_vec) == dim and None not in r.query_vec and dim:
             groups.setdefault(r.project_id, []).append(r)
-    packed = {p: ([r.query_id for r in g], np.array([r.query_vec for r in g], np.float64)) for p, g in groups.items()}
+    schema, query_kind = _scored(asked, known)
+    packed = {p: (pa.array([r.query_id for r in g], query_kind), np.array([r.query_vec for r in g], np.float64)) for p, g in groups.items()}
     sent = asked.sparkSession.sparkContext.broadcast(packed)
-    schema, query_kind, _ = _scored(asked, known)
 
     def run(batches):
-        # a task's best scores so far, where they are few: a batch passes on only what may be among them
-        held = {p: np.full((len(ids), k), -np.inf) for p, (ids, _) in sent.value.items() if len(ids) * k <= 4 * CELLS}
-        for b in batches:
+        # a task's best scores so far, of the projects that it meets, while there is room: a batch passes on only what may be among them
+        held, room = {}, 4 * CELLS
+        for b in slices(batches, "embedding", CELLS):
             fit, m = _matrix(b.column("embedding"), dim) if dim and b.num_rows else (np.empty(0, np.int64), None)
             project = b.column("project_id").dictionary_encode()
             code = project.indices.to_numpy(zero_copy_only=False)
@@ -169,9 +171,11 @@ def _scan_scores(asked: DataFrame, known: DataFrame, k: int, metric: str) -> Dat
                     ids, q = sent.value[p]
                     rows = pa.array(fit[own])
                     names = b.column("id").take(rows)
+                    if p not in held and len(ids) * k <= room:
+                        held[p], room = np.full((len(ids), k), -np.inf), room - len(ids) * k
                     for r, c, score in _met(q, m[own], names.to_pylist(), k, metric, held.get(p)):
                         at = pa.array(c)
-                        yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in r.tolist()], query_kind), b.column("project_id").take(rows).take(at), names.take(at), pa.array(score)], names=["query_id", "project_id", "id", "score"])
+                        yield pa.RecordBatch.from_arrays([ids.take(pa.array(r)), b.column("project_id").take(rows).take(at), names.take(at), pa.array(score)], names=["query_id", "project_id", "id", "score"])
 
     return known.mapInArrow(run, schema)
 
@@ -183,7 +187,7 @@ def _tiles(rows: DataFrame, key: str, vector: str, dim: int, size: int) -> DataF
 
     def run(batches):
         part, tile = TaskContext.get().partitionId(), 0
-        for b in batches:
+        for b in slices(batches, vector, CELLS):
             fit, m = _matrix(b.column(vector), dim)
             names = b.column("project_id").dictionary_encode()
             code = names.indices.to_numpy(zero_copy_only=False)[fit] if len(fit) else np.empty(0, np.int64)
@@ -209,15 +213,15 @@ def _tile_scores(asked: DataFrame, known: DataFrame, k: int, metric: str, size:
     left = _tiles(known, "id", "embedding", dim, size).withColumn("part", F.pmod(F.xxhash64("tile"), F.lit(spread)).cast("int"))
     right = _tiles(asked, "query_id", "query_vec", dim, size).select("project_id", F.col("keys").alias("asking"), F.col("matrix").alias("query_matrix"))
     right = right.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
-    schema, query_kind, id_kind = _scored(asked, known)
+    schema = _scored(asked, known)[0]
 
     def run(batches):
         for b in batches:
             for r in range(b.num_rows):
                 q, e = (np.frombuffer(b.column(c)[r].as_buffer(), np.float64).reshape(-1, dim) for c in ("query_matrix", "matrix"))
-                ids, asking = b.column("keys")[r].as_py(), b.column("asking")[r].as_py()
-                for i, c, score in _met(q, e, ids, k, metric):
-                    yield pa.RecordBatch.from_arrays([pa.array([asking[x] for x in i.tolist()], query_kind), b.column("project_id").take(pa.array([r] * len(c), pa.int64())), pa.array([ids[x] for x in c.tolist()], id_kind), pa.array(score)], names=["query_id", "project_id", "id", "score"])
+                names, asking = b.column("keys")[r].values, b.column("asking")[r].values
+                for i, c, score in _met(q, e, names.to_pylist(), k, metric):
+                    yield pa.RecordBatch.from_arrays([asking.take(pa.array(i)), b.column("project_id").take(pa.array(np.full(len(c), r))), names.take(pa.array(c)), pa.array(score)], names=["query_id", "project_id", "id", "score"])
 
     return left.join(right, ["project_id", "part"]).mapInArrow(run, schema)
 

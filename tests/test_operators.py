@@ -315,6 +315,37 @@ def test_a_task_holds_few_scores_however_many_ask(spark, monkeypatch):
         assert [c for _, c in sorted(best[i])[:5]] == sorted(range(10_000), key=lambda c: (-exact[c], c))[:5]
 
 
+def scan_peak(spark, monkeypatch, asks, batches, k):
+    """(number of rows, the most that a task of the scan held at a time)."""
+    kinds = "query_id long, project_id string, query_vec array<double>"
+    known = spark.createDataFrame([], "project_id string, id long, embedding array<double>")
+    caught(monkeypatch, known)
+    run = search._scan_scores(spark.createDataFrame(asks, kinds), known, k, "cosine")
+    return peak_mb(lambda: sum(b.num_rows for b in run(iter(batches))))
+
+
+def test_a_task_holds_few_best_scores_however_many_projects_ask(spark, monkeypatch):
+    asks = [(i, f"p{i % 200}", [1.0, i / 7]) for i in range(4000)]
+    b = pa.RecordBatch.from_pydict({"project_id": [f"p{i % 200}" for i in range(2000)], "id": list(range(2000)), "embedding": [[1.0, i / 9] for i in range(2000)]})
+    n, peak = scan_peak(spark, monkeypatch, asks, [b], 5000)
+    assert n == 4000 * 10 and peak < 60
+
+
+def test_a_task_holds_few_pairs_however_few_chunks_a_batch_has(spark, monkeypatch):
+    asks = [(i, "p", [1.0, i / 7]) for i in range(15_000)]
+    b = pa.RecordBatch.from_pydict({"project_id": ["p"] * 60, "id": list(range(60)), "embedding": [[1.0, i / 9] for i in range(60)]})
+    n, peak = scan_peak(spark, monkeypatch, asks, [b], 60)
+    assert n == 15_000 * 60 and peak < 100
+
+
+def test_a_task_holds_few_vectors_however_long_they_are(spark, monkeypatch):
+    m = np.random.default_rng(5).normal(size=(3000, 2000))
+    vectors = pa.ListArray.from_arrays(np.arange(3001, dtype=np.int32) * 2000, pa.array(m.reshape(-1)))
+    b = pa.RecordBatch.from_arrays([pa.array(["p"] * 3000), pa.array(range(3000)), vectors], names=["project_id", "id", "embedding"])
+    n, peak = scan_peak(spark, monkeypatch, [(7, "p", m[7].tolist())], [b], 3000)
+    assert n == 3000 and peak < 50
+
+
 def test_a_task_holds_few_words_and_texts_however_large_a_batch_is(spark, monkeypatch):
     rows = spark.createDataFrame([], "project_id string, id long, content string")
     caught(monkeypatch, rows)
